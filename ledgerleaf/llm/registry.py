@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from .audio import op1_audio_features
+from .decontaminate import OP5_SQL, op5_decontamination
 from .packing import op10_best_fit_packing
+from .secrets import op2_secret_scan
 from .token_counts import op8_token_counts
 from .token_files import op7_token_files
+from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
+    "op1_audio_features": op1_audio_features,
+    "op2_secret_scan": op2_secret_scan,
+    "op4_url_filter": op4_url_filter,
+    "op5_decontamination": op5_decontamination,
     "op7_token_files": op7_token_files,
     "op8_token_counts": op8_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": OP4_SQL,
+    "op5_decontamination": OP5_SQL,
+}
