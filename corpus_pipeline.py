@@ -7,18 +7,45 @@ read again; all but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerleaf.llm import common
-from ledgerleaf.llm.packing import pack_documents
+from ledgerleaf.llm import common, decontaminate, near_dup, packing, quality, secrets
 from ledgerleaf.llm.tokens import vocabulary
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores 0.5 or more."""
+    model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
+    return docs.where(quality.scores(spark, model, common.text_of("text")) >= 0.5)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near_dup.deduplicate(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontaminate.without_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mask; n_chars follows the text."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs every document into sequences of at most 2048 tokens."""
-    return pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    """Every document in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("pack", pack)]
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("packing", pack),
+]
 
 #: Trained scores, minimum-hash signatures and byte-pair tokens are not SQL.
 ORACLE_SQL = None
