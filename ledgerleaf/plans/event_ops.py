@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,5 +142,6 @@ def latest(versions: DataFrame, key: Sequence[str], version: str = "version") ->
 
 def superseded(versions: DataFrame, key: Sequence[str], version: str = "version") -> DataFrame:
     """All rows but the latest of each key: the history."""
-    heads = versions.groupBy(*key).agg(F.max(version).alias("__head"))
-    return versions.join(heads, list(key)).where(F.col(version) < F.col("__head")).select(*versions.columns)
+    heads = versions.groupBy(*key).agg(F.max(version).alias("__head")).withColumnsRenamed({k: f"__{k}" for k in key})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])  # a missing tenant is a key too
+    return versions.join(heads, same).where(F.col(version) < F.col("__head")).select(*versions.columns)
