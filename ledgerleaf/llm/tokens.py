@@ -14,22 +14,23 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
 _L = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
 _N = "0-9²³¹¼-¾"
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: Pre-tokens of the word vocabulary, of a lower-cased piece without spaces.
-_WORD = re.compile(f"{_CONTRACTIONS}|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
-#: Pre-tokens of the byte-level vocabulary.
-_BYTE = re.compile(f"{_CONTRACTIONS}| ?[{_L}]+| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+(?!\\S)|\\s+")
-#: Pieces made of these only are split here; İ is lower-cased to two characters.
+#: Pre-tokens of lower-cased pieces of the word vocabulary, one piece a line.
+_WORD = re.compile(f"\n|{_CONTRACTIONS}|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
+#: Pre-tokens of pieces of the byte-level vocabulary, after each a zero character.
+_BYTE = re.compile(f"\0|{_CONTRACTIONS}| ?[{_L}]+| ?[{_N}]+| ?[^\\s\0{_L}{_N}]+|\\s+(?!\\S)|\\s+")
+#: Pieces made of these only are split here (İ is lower-cased to two characters);
+#: white space at the end of a piece would see what comes next.
 _PLAIN_WORD = re.compile("[!-~¡-įı-ſ]*")
-_PLAIN_BYTE = re.compile("[\n -~¡-ſ]*")
-_ODD = re.compile("<\\||[\x00\x0b\x0c\x1c-\x1f\x85\xa0]")
-_RUNS = re.compile(r"\s\s|\A\s|\s\Z")
+_PLAIN_BYTE = re.compile("(?:[\n -~¡-ſ]*[!-~¡-ſ])?")
+#: Spaces that not every library takes for spaces, and the end of pieces here.
+_ODD = re.compile("[\0\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -44,7 +45,7 @@ class TextEncoder:
     """Ids of whole texts as little-endian bytes of `dtype` (the narrowest that
     holds the vocabulary), equal to the library's without added special tokens."""
 
-    def __init__(self, path: str, cap: int = 250_000):
+    def __init__(self, path: str, cap: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,67 +60,60 @@ class TextEncoder:
             raise ValueError("only word-split or byte-level BPE files are supported")
         spec |= {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
         self.pieces = Tokenizer.from_str(json.dumps(spec))
-        self.dtype = np.dtype("<u2") if self.whole.get_vocab_size(True) <= 65536 else np.dtype("<u4")
+        small = self.whole.get_vocab_size(True) <= 0xFF00
+        self.dtype = np.dtype("<u2" if small else "<u4")
+        self.end = b"\xff" * self.dtype.itemsize
         self.letters = _byte_letters()
         self.cap, self.young, self.old = cap, {}, {}
 
     def _cut(self, text: str) -> list[str]:
         if self.by_word:
             return text.split()
-        if _RUNS.search(text):
+        if text[:1] == " " or text[-1:] == " " or any(p in text for p in _PAIRS):
             return _CUT.split(text)
-        return text.replace(" ", "\x00 ").split("\x00")
+        return text.replace(" ", "\0 ").split("\0")
 
     def _learn(self, fresh: set[str]) -> None:
         if len(self.young) + len(fresh) > self.cap:
             self.old, self.young = self.young, {}
-        plain, pattern = (_PLAIN_WORD, _WORD) if self.by_word else (_PLAIN_BYTE, _BYTE)
-        simple, other = [], []
-        for p in fresh:
-            (simple if plain.fullmatch(p) else other).append(p)
+        plain, pattern, mark = (_PLAIN_WORD, _WORD, "\n") if self.by_word else (_PLAIN_BYTE, _BYTE, "\0")
+        simple, other = list(fresh), []
+        if not plain.fullmatch("".join(simple)) or not self.by_word and any(p[-1:].isspace() for p in simple):
+            simple = [p for p in fresh if plain.fullmatch(p)]
+            other = list(fresh.difference(simple))
         if other:
             for p, e in zip(other, self.whole.encode_batch(other, add_special_tokens=False)):
                 self.young[p] = np.array(e.ids, self.dtype).tobytes()
         if not simple:
             return
-        parts = [pattern.findall(p.lower() if self.by_word else p) for p in simple]
-        distinct = list(dict.fromkeys(chain.from_iterable(parts)))
-        ids = dict.fromkeys(distinct, b"")
+        text = mark.join(simple)
+        flat = pattern.findall(text.lower() if self.by_word else text)
+        distinct = dict.fromkeys(flat)
+        distinct.pop(mark, None)
+        ids: dict[str, bytes] = {mark: self.end}
         if distinct:
-            shown = [w.encode().decode("latin-1").translate(self.letters) for w in distinct]
+            shown = "\0".join(distinct).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
             e = self.pieces.encode(shown, is_pretokenized=True, add_special_tokens=False)
-            at, got = np.array(e.word_ids, np.int64), np.array(e.ids, self.dtype)
-            ends = np.searchsorted(at, np.arange(len(distinct)), side="right")
-            starts = np.concatenate(([0], ends[:-1]))
-            raw, k = got.tobytes(), self.dtype.itemsize
-            ids = {w: raw[a * k : b * k] for w, a, b in zip(distinct, starts.tolist(), ends.tolist())}
-        for p, ws in zip(simple, parts):
-            self.young[p] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+            ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(shown) - 1), side="right")
+            marked = np.insert(np.array(e.ids, self.dtype), ends, np.iinfo(self.dtype).max)
+            ids.update(zip(distinct, marked.tobytes().split(self.end)))
+        # the end mark's bytes are in no id, so the joined ids can be cut at it
+        self.young.update(zip(simple, b"".join(map(ids.__getitem__, flat)).split(self.end)))
 
     def looked_up(self, texts: list[str]) -> list[list | None]:
         """What is kept for each piece of each text; None for texts that go to
         the library whole."""
-        cuts = [None if _ODD.search(t) else self._cut(t) for t in texts]
-        young, old = self.young, self.old
-        found, fresh = [], set()
-        for cut in cuts:
-            vals = None if cut is None else list(map(young.get, cut))
-            if vals and None in vals:
-                for i, v in enumerate(vals):
-                    if v is None:
-                        p = cut[i]
-                        if (v := old.get(p)) is not None:
-                            young[p] = vals[i] = v
-                        else:
-                            fresh.add(p)
-            found.append(vals)
+        cuts = [None if "<|" in t or _ODD.search(t) else self._cut(t) for t in texts]
+        fresh = set().union(*(c for c in cuts if c is not None)).difference(self.young)
         if fresh:
-            self._learn(fresh)
-            young = self.young
-            for k, vals in enumerate(found):
-                if vals and None in vals:
-                    found[k] = [young[p] if v is None else v for p, v in zip(cuts[k], vals)]
-        return found
+            again = fresh.intersection(self.old)
+            self.young.update({p: self.old[p] for p in again})
+            kept = self.young
+            if fresh := fresh.difference(again):
+                self._learn(fresh)
+            if kept is not self.young:  # a new generation: what these texts use is in either
+                return [None if c is None else [self.young[p] if p in self.young else kept[p] for p in c] for c in cuts]
+        return [None if c is None else list(map(self.young.__getitem__, c)) for c in cuts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of self.dtype."""
