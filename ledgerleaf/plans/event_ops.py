@@ -114,8 +114,8 @@ def snapshot_gap(heads: DataFrame, snapshots: DataFrame, threshold: int) -> Data
 
 def lag(events: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """name, last_seq, head, lag of every checkpoint (name, last_seq)."""
-    head = head_sequence(events)
-    return checkpoints.join(F.broadcast(head)).select("name", "last_seq", "head", F.greatest(F.col("head") - F.col("last_seq"), F.lit(0)).cast("long").alias("lag"))
+    found = checkpoints.select("name", "last_seq", head_sequence(events).scalar().alias("head"))
+    return found.withColumn("lag", F.greatest(F.col("head") - F.col("last_seq"), F.lit(0)).cast("long"))
 
 
 def retention_counts(events: DataFrame) -> DataFrame:
