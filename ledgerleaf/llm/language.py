@@ -9,7 +9,8 @@ language against the rest.  Presence vectors are multiplied in batches: presence
 by landmarks, kernel rows by the dual weights.
 
 The sample is bounded: about SAMPLE texts of each language, chosen by a hash of
-the id at a rate that follows from the counts, of at most SAMPLE_BYTES bytes each.
+the id at a rate that follows from the counts, of at most SAMPLE_BYTES bytes each
+and MAX_SAMPLE in all; of the languages the MAX_LANGUAGES most frequent count.
 
 Null texts and such without a letter are "und" with score 0.  The score is the
 softmax of the regressions, sharpened by SHARP, of the predicted language; ties
@@ -32,7 +33,8 @@ HASHES = 1 << 13
 NGRAMS = (1, 2, 3, 4)
 LANDMARKS, SAMPLE, SAMPLE_BYTES = 96, 150, 32_768
 RIDGE, SHARP = 1e-3, 8.0
-MAX_LANGUAGES = 1000
+#: Languages told apart (the most frequent ones), and training texts in all at most.
+MAX_LANGUAGES, MAX_SAMPLE = 500, 4000
 #: Code points hashed at once, and texts multiplied at once.
 BLOCK, BATCH = 1 << 18, 128
 _OTHER = re.compile(r"[\W\d_]+")
@@ -115,12 +117,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES,
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()  # a row for each language
     if not counts:
         return train([], [])
+    sample = max(4, min(sample, MAX_SAMPLE // len(counts)))
     of = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     chosen = F.lit(False)
     for r in counts:
         chosen = chosen | ((F.col("lang") == r.lang) & (of < int((1 << 30) * min(1.0, sample / r["count"]))))
     found = rows.where(chosen & (F.octet_length("text") <= sample_bytes)).withColumn("h", F.xxhash64("doc_id"))
-    found = found.orderBy("h", "doc_id", "text").limit(2 * sample * len(counts)).collect()
+    found = found.orderBy("h", "doc_id", "text").limit(MAX_SAMPLE).collect()
     return train([r.text for r in found], [r.lang for r in found])
 
 
