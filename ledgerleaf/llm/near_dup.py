@@ -19,11 +19,16 @@ Joining.  Signatures are cut into BANDS bands of ROWS; documents that agree in a
 band share a bucket.  At the threshold a pair shares no bucket with probability
 (1 - 0.8**ROWS)**BANDS, below 1e-4.  Texts with the same words are one node of
 the following, whatever their number.  In a bucket each node is compared with the
-least one, its centre, by the exact similarity.  Distance is a metric, so a node
-that is not linked to the centre can only be linked to nodes whose distance from
-the centre differs by at most 1 - THRESHOLD; those pairs are compared as well,
-unless the links so far join them.  No bucket is ever gathered or expanded into
-all its pairs for nodes that are linked to the centre, and nothing is capped.
+least one, its centre, by the exact similarity.  A node that is not linked to the
+centre C may still be linked to another member, and is looked for by its edits:
+the shingle occurrences that are in one of the two, node and C, only.  Nodes N, M
+of sizes n, m with dN, dM edits that share c of them differ in dN + dM - 2c, and a
+similarity of 0.8 means (n + m) / 9 at most; if N is not linked to C, then c >= 1
+follows.  So an equality join on edits finds every such pair.  Edits of a node are
+ordered by how many nodes have them, rarest first, and a shared edit counts only
+if enough edits follow it on both sides, which the first shared one of any linked
+pair does.  Pairs that the links so far join are left out, the rest is compared.
+No bucket is gathered or expanded into all its pairs, and nothing is capped.
 
 Null and empty texts have no shingles: texts without words are alike only if
 they are equal (null counts as empty).  Rows may repeat ids: each row is a
@@ -38,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,29 +183,83 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, similarity of every pair (a, b) of nodes."""
-    pairs = common.stored(pairs, "pairs")
+def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of the nodes of pairs (a, b)."""
     ids = common.stored(pairs.select("a").union(pairs.select("b")).distinct().toDF("node"), "pair-ids")
-    needed = common.stored(texts.join(_few(ids), "node", "left_semi"), "pair-texts")
+    return common.stored(texts.join(_few(ids), "node", "left_semi"), "pair-texts")
+
+
+def _with_texts(pairs: DataFrame, needed: DataFrame) -> DataFrame:
+    return pairs.join(needed.toDF("b", "text_b"), "b").join(needed.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+
+
+class _Shingles:
+    """Shingles by node, of the nodes met last."""
+
+    def __init__(self) -> None:
+        self.known: dict[int, tuple] = {}
+
+    def of(self, node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if node not in self.known:
+            while len(self.known) >= 64:
+                self.known.pop(next(iter(self.known)))
+            self.known[node] = shingles(word_hashes(text))
+        return self.known[node]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple] = {}
 
-        def of(node: int, text: str) -> tuple:
-            if node not in known:
-                while len(known) >= 64:
-                    known.pop(next(iter(known)))
-                known[node] = shingles(word_hashes(text))
-            return known[node]
+def _compared(pairs: DataFrame, needed: DataFrame) -> DataFrame:
+    """a, b, similarity of every pair (a, b) of nodes."""
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Shingles()
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            found = [similarity(of(i, s), of(j, t)) for i, j, s, t in zip(a, b, x, y)]
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            found = [similarity(own.of(i, s), own.of(j, t)) for i, j, s, t in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
-    rows = pairs.join(needed.toDF("b", "text_b"), "b").join(needed.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-    return common.stored(rows.mapInArrow(compare, "a long, b long, similarity double"), "similarities")
+    return common.stored(_with_texts(pairs, needed).mapInArrow(compare, "a long, b long, similarity double"), "similarities")
+
+
+def occurrences(found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A weighted set as a plain one: each occurrence of a shingle is an element."""
+    ids, counts = found
+    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return _mix(np.repeat(ids, counts) + number.astype(np.uint64) * _C2)
+
+
+def _edits(pairs: DataFrame, needed: DataFrame) -> DataFrame:
+    """centre, node, size (of the node), edits of pairs (centre a, node b)."""
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Shingles()
+        for batch in batches:
+            sizes, edits = [], []
+            for i, j, s, t in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = occurrences(own.of(i, s)), occurrences(own.of(j, t))
+                sizes.append(len(y))
+                edits.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(edits, pa.list_(pa.int64()))], ["centre", "node", "size", "edits"])
+
+    return common.stored(_with_texts(pairs, needed).mapInArrow(differ, "centre long, node long, size long, edits array<long>"), "edits")
+
+
+def _edit_pairs(edits: DataFrame, loose: DataFrame) -> DataFrame:
+    """a, b: pairs with a loose node whose edits leave the threshold possible.
+    loose: centre, node."""
+    each = edits.select("centre", "node", "size", F.size("edits").cast("long").alias("d"), F.explode("edits").alias("edit"))
+    shared = common.stored(each.groupBy("centre", "edit").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "shared-edits")
+    rows = each.join(shared, ["centre", "edit"])
+    own = Window.partitionBy("centre", "node")
+    # edits of one node alone come first, then the rarest
+    place = F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("nodes", "edit")) - 1
+    rows = rows.withColumn("place", place).join(loose.withColumn("is_loose", F.lit(True)), ["centre", "node"], "left")
+    rows = common.stored(rows.select("centre", "edit", "node", "size", "d", "place", F.coalesce("is_loose", F.lit(False)).alias("is_loose")), "placed-edits")
+    other = rows.toDF("centre", "edit", "node2", "size2", "d2", "place2", "is_loose2")
+    needed = (F.col("d") + F.col("d2") - (F.col("size") + F.col("size2")) * ((1 - THRESHOLD) / (1 + THRESHOLD))) / 2
+    possible = F.least(F.col("d") - F.col("place"), F.col("d2") - F.col("place2")) >= needed - 1e-6
+    once = ~F.col("is_loose2") | (F.col("node") < F.col("node2"))
+    pairs = rows.where("is_loose").join(other, ["centre", "edit"]).where((F.col("node") != F.col("node2")) & once & possible)
+    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
 def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -208,25 +267,21 @@ def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     spread = nodes.select("node", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "centre")
     shared = common.stored(shared, "buckets")
-    members = common.stored(spread.join(shared, "key").where("node <> centre").select("key", "node", "centre"), "members")
-    first = _compared(members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), texts)
+    members = spread.join(shared, "key").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    pairs = common.stored(members.distinct(), "pairs")
+    needed = _texts_of(pairs, texts)
+    first = _compared(pairs, needed)
     links = first.where(F.col("similarity") >= THRESHOLD).select("a", "b")
-    apart = first.where(F.col("similarity") < THRESHOLD)
-    if not apart.take(1):
+    loose = first.where(F.col("similarity") < THRESHOLD).select("a", "b")
+    if not loose.take(1):
         return links
-    # members of buckets with a node that is not linked to the centre
-    sims = first.toDF("centre", "node", "similarity")
-    loose = common.stored(members.join(sims.where(F.col("similarity") < THRESHOLD), ["centre", "node"]), "loose")
-    buckets = loose.select("key").distinct()
-    others = common.stored(members.join(buckets, "key", "left_semi").join(sims, ["centre", "node"]).select("key", F.col("node").alias("other"), F.col("similarity").alias("other_similarity")), "loose-others")
-    pairs = loose.join(others, "key").where((F.col("node") != F.col("other")) & (F.abs(F.col("similarity") - F.col("other_similarity")) <= 1 - THRESHOLD + 1e-9))
-    pairs = pairs.where((F.col("other_similarity") >= THRESHOLD) | (F.col("node") < F.col("other")))
-    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    around = common.stored(pairs.join(loose.select("a").distinct(), "a", "left_semi"), "loose-centres")
+    more = _edit_pairs(_edits(around, needed), loose.toDF("centre", "node"))
     joined = components(links)
     for end in ("a", "b"):
-        pairs = pairs.join(joined.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    second = _compared(pairs.where("root_a <> root_b").select("a", "b"), texts)
-    return links.union(second.where(F.col("similarity") >= THRESHOLD).select("a", "b"))
+        more = more.join(joined.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    more = common.stored(more.where("root_a <> root_b").select("a", "b"), "pairs")
+    return links.union(_compared(more, needed).where(F.col("similarity") >= THRESHOLD).select("a", "b"))
 
 
 def classes(base: DataFrame) -> DataFrame:
