@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,8 +39,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_OPEN: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are removed at the end, but for the last one, which must
+    be all that is read afterwards."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+        for path in made[:-1]:
+            drop_path(spark, path)
+        if _OPEN and made:
+            _OPEN[-1].append(made[-1])
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

@@ -287,13 +287,14 @@ def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 def classes(base: DataFrame) -> DataFrame:
     """same, keeper_doc, keeper, class_size of every distinct `same` of base (node,
     doc, text, same, keys): the row of its class with the least id."""
-    alike = base.groupBy("same").agg(F.min("node").alias("node"), F.min(F.struct("doc", "node")).alias("least"), F.count(F.lit(1)).alias("n"))
-    alike = common.stored(alike, "alike")
-    own = base.select("node", "keys", "text").join(alike.select("node"), "node", "left_semi")
-    roots = components(_links(own.where(F.size("keys") > 0).select("node", "keys"), own.select("node", "text")))
-    alike = alike.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    whole = alike.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("class_size"))
-    return common.stored(alike.select("same", "root").join(whole, "root").select("same", F.col("least.doc").alias("keeper_doc"), F.col("least.node").alias("keeper"), "class_size"), "classes")
+    with common.scratch(base.sparkSession):
+        alike = base.groupBy("same").agg(F.min("node").alias("node"), F.min(F.struct("doc", "node")).alias("least"), F.count(F.lit(1)).alias("n"))
+        alike = common.stored(alike, "alike")
+        nodes = base.select("node", "keys").where(F.size("keys") > 0).join(alike.select("node"), "node", "left_semi")
+        roots = components(_links(nodes, base.select("node", "text")))
+        alike = alike.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        whole = alike.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("class_size"))
+        return common.stored(alike.select("same", "root").join(whole, "root").select("same", F.col("least.doc").alias("keeper_doc"), F.col("least.node").alias("keeper"), "class_size"), "classes")
 
 
 def _based(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
