@@ -45,7 +45,7 @@ def presence(text: str) -> np.ndarray:
     """Which hashed n-grams a text contains, as 0 and 1; all 0 without letters."""
     out = np.zeros(HASHES, np.float32)
     plain = _OTHER.sub(" ", text.lower()).strip()
-    if not plain:
+    if not any(map(str.isalpha, plain)):  # figures such as ½ are no letters
         return out
     codes = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), "<u4")
     shift = np.uint64(64 - HASHES.bit_length() + 1)
