@@ -25,9 +25,9 @@ the shingle occurrences that are in one of the two, node and C, only.  Nodes N,
 of sizes n, m with dN, dM edits that share c of them differ in dN + dM - 2c, and a
 similarity of 0.8 means (n + m) / 9 at most; if N is not linked to C, then c >= 1
 follows.  So an equality join on edits finds every such pair.  Edits of a node are
-ordered by how many nodes have them, rarest first, and a shared edit counts only
-if enough edits follow it on both sides, which the first shared one of any linked
-pair does.  Pairs that the links so far join are left out, the rest is compared.
+ordered by how many nodes have them, rarest first, so two nodes meet only at edits
+early enough for a link, and the shared edits are counted where they meet.  Nodes
+that the links so far join do not meet; pairs found are compared like the others.
 No bucket is gathered or expanded into all its pairs, and nothing is capped.
 
 Null and empty texts have no shingles: texts without words are alike only if
@@ -43,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -243,23 +243,33 @@ def _edits(pairs: DataFrame, needed: DataFrame) -> DataFrame:
     return common.stored(_with_texts(pairs, needed).mapInArrow(differ, "centre long, node long, size long, edits array<long>"), "edits")
 
 
-def _edit_pairs(edits: DataFrame, loose: DataFrame) -> DataFrame:
-    """a, b: pairs with a loose node whose edits leave the threshold possible.
-    loose: centre, node."""
+def _edit_links(edits: DataFrame, loose: DataFrame, joined: DataFrame) -> DataFrame:
+    """a, b: links of a loose node to a node of another component.
+
+    loose: centre, node; joined: node, root of the links so far.  A node's edits are
+    placed in order, those of it alone first, then the rarest.  A link needs so many
+    shared edits that the first of them has a place below size / 4 + 1 on both sides
+    and enough edits after it; only such rows meet, and the shared edits of two that
+    meet are counted in the join itself."""
     each = edits.select("centre", "node", "size", F.size("edits").cast("long").alias("d"), F.explode("edits").alias("edit"))
     shared = common.stored(each.groupBy("centre", "edit").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "shared-edits")
-    rows = each.join(shared, ["centre", "edit"])
-    own = Window.partitionBy("centre", "node")
-    # edits of one node alone come first, then the rarest
-    place = F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("nodes", "edit")) - 1
-    rows = rows.withColumn("place", place).join(loose.withColumn("is_loose", F.lit(True)), ["centre", "node"], "left")
-    rows = common.stored(rows.select("centre", "edit", "node", "size", "d", "place", F.coalesce("is_loose", F.lit(False)).alias("is_loose")), "placed-edits")
-    other = rows.toDF("centre", "edit", "node2", "size2", "d2", "place2", "is_loose2")
-    needed = (F.col("d") + F.col("d2") - (F.col("size") + F.col("size2")) * ((1 - THRESHOLD) / (1 + THRESHOLD))) / 2
-    possible = F.least(F.col("d") - F.col("place"), F.col("d2") - F.col("place2")) >= needed - 1e-6
+    order = F.array_sort(F.collect_list(F.struct("nodes", "edit")))
+    sets = each.join(shared, ["centre", "edit"]).groupBy("centre", "node").agg(F.first("size").alias("size"), F.first("d").alias("d"), order.alias("order"))
+    sets = sets.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sets = sets.join(loose.withColumn("is_loose", F.lit(True)), ["centre", "node"], "left")
+    sets = sets.select("centre", "node", "root", "size", "d", F.coalesce("is_loose", F.lit(False)).alias("is_loose"), F.col("order.edit").alias("kept"))
+    rows = sets.select("*", F.posexplode("kept").alias("at", "edit")).withColumn("place", F.col("d") - F.size("kept") + F.col("at"))
+    # half of the hash is enough to count: the few pairs it lets through are compared again
+    rows = rows.where(F.col("place") <= F.col("size") / 4 + 1).select("centre", "edit", "node", "root", "size", "d", "place", "is_loose", F.transform("kept", lambda e: F.shiftright(e, 32).cast("int")).alias("kept"))
+    rows = rows.withColumn("slack", F.size("kept") - F.size(F.array_distinct("kept")))  # edits of one node with equal halves
+    rows = common.stored(rows, "placed-edits")
+    other = rows.toDF("centre", "edit", *[f"{c}2" for c in rows.columns[2:]])
+    needed = (F.col("d") + F.col("d2") - (F.col("size") + F.col("size2")) * ((1 - THRESHOLD) / (1 + THRESHOLD))) / 2 - 1e-6
+    possible = F.least(F.col("d") - F.col("place"), F.col("d2") - F.col("place2")) >= needed
     once = ~F.col("is_loose2") | (F.col("node") < F.col("node2"))
-    pairs = rows.where("is_loose").join(other, ["centre", "edit"]).where((F.col("node") != F.col("node2")) & once & possible)
-    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    enough = F.when(possible, F.size(F.array_intersect("kept", "kept2")) + F.col("slack") >= needed).otherwise(F.lit(False))
+    found = rows.where("is_loose").join(other, ["centre", "edit"]).where((F.col("root") != F.col("root2")) & once & enough)
+    return found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
 def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -276,11 +286,7 @@ def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     if not loose.take(1):
         return links
     around = common.stored(pairs.join(loose.select("a").distinct(), "a", "left_semi"), "loose-centres")
-    more = _edit_pairs(_edits(around, needed), loose.toDF("centre", "node"))
-    joined = components(links)
-    for end in ("a", "b"):
-        more = more.join(joined.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    more = common.stored(more.where("root_a <> root_b").select("a", "b"), "pairs")
+    more = common.stored(_edit_links(_edits(around, needed), loose.toDF("centre", "node"), components(links)), "pairs")
     return links.union(_compared(more, needed).where(F.col("similarity") >= THRESHOLD).select("a", "b"))
 
 
