@@ -26,12 +26,15 @@ _WORKERS: dict[str, PieceCounter] = {}
 class PieceCounter(TextEncoder):
     """Counts instead of ids: pieces map to numbers, texts to sums."""
 
-    def _learn(self, fresh: set[str]) -> None:
-        super()._learn(fresh)
+    def _learn_pieces(self, fresh: set[str]) -> None:
+        super()._learn_pieces(fresh)
         k = self.dtype.itemsize
         for p in fresh:
             self.young[p] = len(self.young[p]) // k
 
+    def tail(self, mark: str) -> int:
+        return len(super().tail(mark)) // self.dtype.itemsize
+
     def count(self, texts: list[str]) -> list[int]:
         """The number of tokens of each text."""
         return [

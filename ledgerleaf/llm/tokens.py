@@ -28,6 +28,8 @@ _BYTE = re.compile(f"\0|{_CONTRACTIONS}| ?[{_L}]+| ?[{_N}]+| ?[^\\s\0{_L}{_N}]+|
 #: white space at the end of a piece would see what comes next.
 _PLAIN_WORD = re.compile("[!-~¡-įı-ſ]*")
 _PLAIN_BYTE = re.compile("(?:[\n -~¡-ſ]*[!-~¡-ſ])?")
+_PLAIN_WORDS, _PLAIN_BYTES = re.compile("[\n!-~¡-įı-ſ]*"), re.compile("[\0\n -~¡-ſ]*")
+_TAILS = (",", ".")
 #: Spaces that not every library takes for spaces, and the end of pieces here.
 _ODD = re.compile("[\0\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
@@ -45,7 +47,7 @@ class TextEncoder:
     """Ids of whole texts as little-endian bytes of `dtype` (the narrowest that
     holds the vocabulary), equal to the library's without added special tokens."""
 
-    def __init__(self, path: str, cap: int = 500_000):
+    def __init__(self, path: str, cap: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,6 +66,10 @@ class TextEncoder:
         self.dtype = np.dtype("<u2" if small else "<u4")
         self.end = b"\xff" * self.dtype.itemsize
         self.letters = _byte_letters()
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.lengths = np.zeros(self.whole.get_vocab_size(True), np.int64)
+        for token, i in spec["model"]["vocab"].items():
+            self.lengths[i] = len(token.removesuffix(suffix) if suffix else token)
         self.cap, self.young, self.old = cap, {}, {}
 
     def _cut(self, text: str) -> list[str]:
@@ -76,9 +82,29 @@ class TextEncoder:
     def _learn(self, fresh: set[str]) -> None:
         if len(self.young) + len(fresh) > self.cap:
             self.old, self.young = self.young, {}
-        plain, pattern, mark = (_PLAIN_WORD, _WORD, "\n") if self.by_word else (_PLAIN_BYTE, _BYTE, "\0")
+        # a letter or digit before a last comma or stop always ends a pre-token there
+        ends = [p for p in fresh if p[-1:] in _TAILS and p[-2:-1].lower().isalnum()]
+        if ends:
+            bases = {p[:-1] for p in ends}
+            unknown = bases.difference(self.young)
+            again = unknown.intersection(self.old)
+            self.young.update({p: self.old[p] for p in again})
+            self._learn_pieces(fresh.difference(ends).union(unknown.difference(again)))
+            tails = {t: self.tail(t) for t in _TAILS}
+            self.young.update({p: self.young[p[:-1]] + tails[p[-1]] for p in ends})
+        else:
+            self._learn_pieces(fresh)
+
+    def tail(self, mark: str) -> bytes:
+        """The ids of a comma or stop that follows a letter or digit."""
+        return np.array(self.whole.encode(mark, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn_pieces(self, fresh: set[str]) -> None:
+        pattern, mark = (_WORD, "\n") if self.by_word else (_BYTE, "\0")
         simple, other = list(fresh), []
-        if not plain.fullmatch("".join(simple)) or not self.by_word and any(p[-1:].isspace() for p in simple):
+        text = mark.join(simple) + mark
+        if not (_PLAIN_WORDS.fullmatch(text) if self.by_word else _PLAIN_BYTES.fullmatch(text) and " \0" not in text and "\n\0" not in text):
+            plain = _PLAIN_WORD if self.by_word else _PLAIN_BYTE
             simple = [p for p in fresh if plain.fullmatch(p)]
             other = list(fresh.difference(simple))
         if other:
@@ -93,9 +119,12 @@ class TextEncoder:
         ids: dict[str, bytes] = {mark: self.end}
         if distinct:
             shown = "\0".join(distinct).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
-            e = self.pieces.encode(shown, is_pretokenized=True, add_special_tokens=False)
-            ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(shown) - 1), side="right")
-            marked = np.insert(np.array(e.ids, self.dtype), ends, np.iinfo(self.dtype).max)
+            got = np.array(self.pieces.encode_batch_fast([shown], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
+            # tokens cover their pre-token letter by letter, so lengths tell where each ends
+            spans, lengths = np.cumsum(self.lengths[got]), np.cumsum(np.fromiter(map(len, shown), np.int64, len(shown)))
+            if not len(got) or spans[-1] != lengths[-1]:
+                raise RuntimeError("the vocabulary does not cover all bytes")
+            marked = np.insert(got, np.searchsorted(spans, lengths[:-1]) + 1, np.iinfo(self.dtype).max)
             ids.update(zip(distinct, marked.tobytes().split(self.end)))
         # the end mark's bytes are in no id, so the joined ids can be cut at it
         self.young.update(zip(simple, b"".join(map(ids.__getitem__, flat)).split(self.end)))
