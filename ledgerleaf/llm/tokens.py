@@ -47,7 +47,7 @@ class TextEncoder:
     """Ids of whole texts as little-endian bytes of `dtype` (the narrowest that
     holds the vocabulary), equal to the library's without added special tokens."""
 
-    def __init__(self, path: str, cap: int = 800_000):
+    def __init__(self, path: str, cap: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
