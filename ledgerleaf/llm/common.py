@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Rows of an Arrow batch: whole texts travel to Python, so batches are kept short.
 BATCH_ROWS = 512
@@ -116,3 +117,31 @@ def _arrow(t: T.DataType) -> pa.DataType:
 def crc_mod(column: str, by: int) -> Column:
     """crc32 of the id written as text, modulo `by`."""
     return F.crc32(F.col(f"`{column}`").cast("string").cast("binary")) % F.lit(by)
+
+
+def stratified(rows: DataFrame, key: str, quotas: Callable[[dict], dict], late: Column, *by: str) -> DataFrame:
+    """Of each value of key, the quotas(counts) rows with the least hashes of the
+    columns `by`; rows with `late` only where the others are too few.  Adds __h, the
+    order.
+
+    Rows are counted by the bits of their hash, which says how far down enough rows
+    of each key lie, so that only about twice the sample is dealt by key."""
+    spark = rows.sparkSession
+    h = F.xxhash64(*by).bitwiseAND(F.lit((1 << 61) - 1)) + F.when(late, F.lit(1 << 61)).otherwise(F.lit(0))
+    rows = rows.withColumn("__h", h).withColumn("__bits", F.length(F.bin("__h")))
+    levels: dict = {}
+    for r in rows.groupBy(key, "__bits").count().collect():
+        levels.setdefault(r[key], {})[r["__bits"]] = r["count"]
+    quota, cuts = quotas({k: sum(v.values()) for k, v in levels.items()}), []
+    for k, found in levels.items():
+        have = 0
+        for bits in sorted(found):
+            have += found[bits]
+            if have >= quota[k]:
+                break
+        cuts.append((k, bits, quota[k]))
+    cut = spark.createDataFrame(cuts, T.StructType([rows.schema[key], T.StructField("__cut", T.IntegerType()), T.StructField("__quota", T.IntegerType())]))
+    rows = rows.join(F.broadcast(cut), key).where("__bits <= __cut")
+    most = max([n for *_, n in cuts], default=0)  # a constant bound, which Spark applies before it deals the rows
+    place = F.row_number().over(Window.partitionBy(key).orderBy("__h", *by))
+    return rows.withColumn("__place", place).where(F.col("__place") <= most).where("__place <= __quota").drop("__bits", "__cut", "__quota", "__place")

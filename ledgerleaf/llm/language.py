@@ -8,9 +8,12 @@ approximation; on its features a kernel ridge regression is solved for each
 language against the rest.  Presence vectors are multiplied in batches: presence
 by landmarks, kernel rows by the dual weights.
 
-The sample is bounded: about SAMPLE texts of each language, chosen by a hash of
-the id at a rate that follows from the counts, of at most SAMPLE_BYTES bytes each
-and MAX_SAMPLE in all; of the languages the MAX_LANGUAGES most frequent count.
+The sample is bounded: of each language the SAMPLE texts with the least hashes of
+id and text, fewer where the languages are many: MAX_SAMPLE in all, but one of each
+language at least.  Texts without letters do not count; of those over SAMPLE_BYTES
+bytes the first SAMPLE_BYTES / 4 characters do, where a language has too few others.
+No language is left out.  There are LANDMARKS landmarks, or one for each language
+up to MAX_LANDMARKS.
 
 Null texts and such without a letter are "und" with score 0.  The score is the
 softmax of the regressions, sharpened by SHARP, of the predicted language; ties
@@ -33,8 +36,8 @@ HASHES = 1 << 13
 NGRAMS = (1, 2, 3, 4)
 LANDMARKS, SAMPLE, SAMPLE_BYTES = 96, 150, 32_768
 RIDGE, SHARP = 1e-3, 8.0
-#: Languages told apart (the most frequent ones), and training texts in all at most.
-MAX_LANGUAGES, MAX_SAMPLE = 500, 4000
+#: Training texts in all (more only if there are more languages), and landmarks at most.
+MAX_SAMPLE, MAX_LANDMARKS = 4000, 1024
 #: Code points hashed at once, and texts multiplied at once.
 BLOCK, BATCH = 1 << 18, 128
 _OTHER = re.compile(r"[\W\d_]+")
@@ -82,15 +85,17 @@ def train(texts: list[str], names: list[str], landmarks: int = LANDMARKS, ridge:
         return Model([], np.zeros((0, HASHES), np.float32), np.zeros((0, 0)))
     # landmarks in turn from each language, so that rare ones are spanned too
     order = sorted(range(len(own)), key=lambda i: ((own[:i] == own[i]).sum(), own[i]))
-    marks = x[order[:landmarks]]
+    marks = x[order[: max(landmarks, min(len(classes), MAX_LANDMARKS))]]
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     kept = values > 1e-6 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])
     z = kernel(x, marks) @ root
     z1 = np.hstack([z, np.ones((len(z), 1))])
-    y = np.where(own[:, None] == np.array(classes)[None, :], 1.0, -1.0)
     weigh = np.array([len(own) / (len(classes) * (own == c).sum()) for c in own])[:, None]
-    solved = np.linalg.solve(z1.T @ (weigh * z1) + ridge * len(z) * np.eye(z1.shape[1]), z1.T @ (weigh * y))
+    # 1 for the language and -1 for the rest: twice the sums of each language less all
+    sums = np.zeros((len(classes), z1.shape[1]))
+    np.add.at(sums, np.searchsorted(classes, own), weigh * z1)
+    solved = np.linalg.solve(z1.T @ (weigh * z1) + ridge * len(z) * np.eye(z1.shape[1]), (2 * sums - (weigh * z1).sum(0)).T)
     return Model(classes, marks, np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32))
 
 
@@ -114,16 +119,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES,
     """Trains on rows with a language, ids whose crc32 modulo 4 is 2 left out."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), common.text_of(text_col).alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (common.crc_mod("doc_id", 4) != 2))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()  # a row for each language
-    if not counts:
-        return train([], [])
-    sample = max(4, min(sample, MAX_SAMPLE // len(counts)))
-    of = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r.lang) & (of < int((1 << 30) * min(1.0, sample / r["count"]))))
-    found = rows.where(chosen & (F.octet_length("text") <= sample_bytes)).withColumn("h", F.xxhash64("doc_id"))
-    found = found.orderBy("h", "doc_id", "text").limit(MAX_SAMPLE).collect()
+    late = F.octet_length("text") > sample_bytes
+    rows = rows.withColumn("late", late).withColumn("text", F.when(late, F.substring("text", 1, max(1, sample_bytes // 4))).otherwise(F.col("text")))
+    # letters, also those newer than the JVM's tables
+    rows = rows.where(F.col("text").rlike(r"[\p{L}\p{Cn}]"))
+
+    def quotas(counts: dict) -> dict:
+        return dict.fromkeys(counts, max(1, min(sample, MAX_SAMPLE // max(1, len(counts)))))
+
+    found = common.stratified(rows, "lang", quotas, F.col("late"), "doc_id", "text").collect()
+    found.sort(key=lambda r: (r["__h"], str(r.doc_id), r.text, r.lang))
     return train([r.text for r in found], [r.lang for r in found])
 
 

@@ -250,3 +250,22 @@ def test_language(spark, odd):
     x, y = language.presence("abab cd"), language.presence("ab")
     assert language.kernel(x[None], x[None])[0, 0] == pytest.approx(1) and 0 < language.kernel(x[None], y[None])[0, 0] < 1
     assert language.identify(odd.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_language_learns_every_language(spark):
+    """More than 500 languages; one whose texts are nearly all over the byte bound, one with only such."""
+    rng = np.random.default_rng(5)
+    words = {f"l{k:03d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(6)] for k in range(520)}
+    rows = [(w, lang) for lang, w in words.items() for _ in range(4)]
+    rows = [(i, " ".join(rng.permutation(w).tolist()), lang) for i, (w, lang) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language.fit(docs).names) == {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.99
+    rows = [(i, "kuru mata " * (1 if i % 100 == 0 else 400), "few") for i in range(2000)]
+    rows += [(5000 + i, "zelo bipu " * 400, "long") for i in range(40)]
+    rows += [(6000 + i, "nothing but plain words", "many") for i in range(2000)]
+    rows += [(9000, "qorv dask", "one"), *[(9001, "trin vols", "same")] * 300]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, sample=20, sample_bytes=1000)
+    assert model.names == sorted({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}) and {"few", "long", "many"} <= set(model.names)
