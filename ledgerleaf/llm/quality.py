@@ -5,8 +5,10 @@ n-grams of its words (3 to 5, between < and >), all hashed into BUCKETS rows, an
 of one more feature for each word that repeats the word before it; a softmax
 layer turns the average into class probabilities.  The
 vectors and the layer are trained by stochastic gradient descent in numpy, on
-whole texts of a bounded sample of labelled rows: the SAMPLE documents with the
-least hashes of their ids, of which those of at most SAMPLE_BYTES bytes count.
+whole texts of a bounded sample of labelled documents: SAMPLE of them, half of
+each class (more of one if the other has fewer), with the least hashes of their
+ids.  Documents over SAMPLE_BYTES bytes count by their first SAMPLE_BYTES / 4
+characters, and only where a class has too few others.
 Words are runs of non-space.
 
 Scoring needs no vectors: both steps before the softmax are linear, so each
@@ -154,15 +156,23 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Trains on rows of docs with a label, ids whose crc32 modulo 3 is 1 left out.
 
-    The sample is chosen among the labels, which are small; only texts of its
-    rows come to the driver, sample * sample_bytes at most."""
+    The sample is drawn for each class from the labels that have a document, one row
+    for each id (the least text of a repeated one); only its texts come to the driver,
+    sample * sample_bytes at most."""
     rows = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     rows = rows.where(F.col("label").isin(0, 1) & (common.crc_mod("doc_id", 3) != 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
-    chosen = rows.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample)
-    texts = common.id_and_text(docs, id_col, text_col).where(F.octet_length("text") <= sample_bytes)
-    found = texts.join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "label", "text").collect()
-    found = sorted(found, key=lambda r: (r.h, r.doc_id, r.text))[:sample]
-    return train([r.text for r in found], [r.label for r in found])
+    late = F.octet_length("text") > sample_bytes
+    texts = common.id_and_text(docs, id_col, text_col).withColumn("late", late)
+    rows = texts.groupBy("doc_id").agg(F.min("late").alias("late")).join(rows, "doc_id")
+
+    def quotas(counts: dict) -> dict:
+        return {k: max(1, sample // 2, sample - sum(counts.values()) + n) for k, n in counts.items()}
+
+    chosen = common.stratified(rows, "label", quotas, F.col("late"), "doc_id").select("doc_id", "label", "__h")
+    texts = texts.withColumn("text", F.when(F.col("late"), F.substring("text", 1, max(1, sample_bytes // 4))).otherwise(F.col("text")))
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("__h", "doc_id", "label").agg(F.min(F.struct("late", "text")).alias("r")).collect()
+    found = sorted(found, key=lambda r: (r["__h"], r.doc_id))
+    return train([r.r.text for r in found], [r.label for r in found])
 
 
 _SCORE = T.StructType([T.StructField("score", T.DoubleType())])

@@ -269,3 +269,21 @@ def test_language_learns_every_language(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language.fit(docs, sample=20, sample_bytes=1000)
     assert model.names == sorted({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}) and {"few", "long", "many"} <= set(model.names)
+
+
+def test_quality_sample_holds_both_classes(spark, monkeypatch):
+    """Zeros are rare; some labelled texts are long, repeated or absent."""
+    docs = [(i, f"fine words of document {i}") for i in range(3000)] + [(i, "x " * 900) for i in range(3000, 3050)]
+    docs += [(4000, "CHEAP DEAL b"), (4002, "CHEAP DEAL"), (4003, "CHEAP DEAL")] + [(i, f"fine copy {k}") for i in range(20) for k in range(30)]
+    labels = [(i, 1) for i in range(3050)] + [(i, 0) for i in range(4000, 4004)] + [(i, 0) for i in range(7000, 7100)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, own: seen.append((texts, own)))
+    quality.fit(docs, labels, sample=40, sample_bytes=1000)
+    texts, own = seen.pop()
+    zeros = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in (4000, 4002, 4003))
+    assert own.count(0) == zeros > 0 and len(own) == 40 and max(map(len, texts)) < 1000
+    # a class with long texts only is still there
+    quality.fit(docs.where("doc_id < 10 or doc_id between 3000 and 3049"), labels.selectExpr("doc_id", "int(doc_id < 3000) as quality"), sample=40, sample_bytes=1000)
+    texts, own = seen.pop()
+    assert 0 in own and 1 in own and len(own) <= 40 and max(map(len, texts)) <= 250
