@@ -287,3 +287,16 @@ def test_quality_sample_holds_both_classes(spark, monkeypatch):
     quality.fit(docs.where("doc_id < 10 or doc_id between 3000 and 3049"), labels.selectExpr("doc_id", "int(doc_id < 3000) as quality"), sample=40, sample_bytes=1000)
     texts, own = seen.pop()
     assert 0 in own and 1 in own and len(own) <= 40 and max(map(len, texts)) <= 250
+
+
+def test_secrets_finds_short_random_values():
+    model, rng = secrets.GuessCost(), np.random.default_rng(11)
+    for value in ("k7m2x9q4", "T7x2Q9b4", "kmxq7294", "83017264", "830172649"):
+        assert [s[1:3] for s in secrets.guess_spans(f"pwd: {value} ", model)] == [(5, 5 + len(value))], value
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for letters in (digits, digits + "abcdef", lower, lower + digits, lower + lower.upper() + digits):
+        for n in range(8, 12):
+            values = ["".join(rng.choice(list(letters), n)) for _ in range(300)]
+            assert np.mean([bool(secrets.guess_spans(f"pwd: {v}", model)) for v in values]) > 0.97, (letters, n)
+    for value in ("password1", "Password2020", "19990101", "qwertyuiop", "12345678", "aaaaaaaaaa", "P@ssw0rd2020"):
+        assert secrets.guess_spans(f"pwd: {value}", model) == [], value
