@@ -4,7 +4,7 @@ Each distinct pre-token is counted once by a worker (its count is kept in a
 bounded table), the table is joined to the pre-token list of each text, and the
 counts are summed; no list of ids is built for a text.  The join is done inside
 the worker that holds the text: a shuffled join would move one row for each
-distinct pre-token of each document, several times the bytes of the texts.
+distinct pre-token of each document (the README has the bytes).
 
 Null and empty texts have 0 bytes and 0 tokens.  Repeated rows each give a row;
 other columns of the input are ignored, whatever their names.
