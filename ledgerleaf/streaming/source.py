@@ -21,8 +21,11 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceStreamReader):
-    """Reads the files that the commit log names; a micro-batch takes at most
-    maxEventsPerTrigger sequence numbers, one partition for each file."""
+    """Reads the files that the commit log names, one partition for each file.
+
+    Spark tells a reader neither the trigger nor the offset of the checkpoint before
+    it asks for an end, and asks once in an availableNow run: the first end is the
+    head of the log.  Those after it are at most maxEventsPerTrigger further on."""
 
     def __init__(self, options: dict):
         parsed = urlparse(options["path"])
@@ -30,7 +33,7 @@ class _Reader(DataSourceStreamReader):
             raise ValueError("this source reads logs on shared local paths")
         self.root, self.most = parsed.path.rstrip("/"), int(options.get("maxeventspertrigger", 0))
         self.start = int(options.get("startafter", 0))
-        self._at = None
+        self._at = None  # the end given last
 
     def _state(self) -> dict:
         folder = os.path.join(self.root, "_log")
@@ -49,16 +52,13 @@ class _Reader(DataSourceStreamReader):
         return {"seq": self.start}
 
     def latestOffset(self) -> dict:
-        head = self._state()["head"]
-        if self._at is None:
-            self._at = self.start
-        if self.most:
+        head = max(self._state()["head"], self.start)
+        if self.most and self._at is not None:
             head = min(head, self._at + self.most)
-            self._at = head
-        return {"seq": max(head, self.start)}
+        self._at = head
+        return {"seq": head}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        self._at = max(self._at or 0, end["seq"])
         files = []
         for folder in self._state()["folders"]:
             path = os.path.join(self.root, folder)
@@ -108,7 +108,7 @@ class EventSource(DataSource):
 def read_stream(spark: SparkSession, root: str, start_after: int = 0, max_events: int = 0):
     """A streaming DataFrame of a store's log (its folder, such as <root>/main).
 
-    max_events bounds a micro-batch; a run that ends by itself (availableNow) takes
-    one bound only, so leave it at 0 there."""
+    max_events bounds the micro-batches after the first of a run, which takes all
+    events there are; a run that ends by itself (availableNow) has no bound."""
     spark.dataSource.register(EventSource)
     return spark.readStream.format(NAME).option("path", root).option("startAfter", str(start_after)).option("maxEventsPerTrigger", str(max_events)).load()

@@ -9,7 +9,7 @@ from ledgerleaf.operators.events import Event
 from ledgerleaf.operators.upcasting import UpcasterRegistry
 from ledgerleaf.plans.event_ops import SubscriptionFilter
 from ledgerleaf.streaming.projections import CustomProjection, Daemon, FunctionProjection, ViewProjection, read_view
-from ledgerleaf.streaming.source import read_stream
+from ledgerleaf.streaming.source import _Reader, read_stream
 from ledgerleaf.streaming.subscriptions import MANUAL, Options, Subscriptions
 
 
@@ -123,6 +123,25 @@ def test_streaming_source_agrees_with_batch(spark, store):
     assert got == [(x.global_seq, x.typ) for x in e.fetch_after(0, 100)]
 
 
+def test_bounded_source_delivers_the_whole_log(spark, store, tmp_path):
+    """Two availableNow runs over a log longer than max_events, and later batches of one reader."""
+    e = orders(store)
+
+    def seen():
+        stream = read_stream(spark, f"{store.root}/main", max_events=2)
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        return sorted(r.global_seq for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    first = [x.global_seq for x in e.fetch_after(0, 100)]
+    assert len(first) > 2 and seen() == first
+    reader = _Reader({"path": f"{store.root}/main", "maxeventspertrigger": "2"})
+    assert reader.latestOffset() == {"seq": first[-1]}
+    e.append("more", [Event("Ping", {}) for _ in range(5)])
+    assert [reader.latestOffset()["seq"] - first[-1] for _ in range(4)] == [2, 4, 5, 5]
+    assert seen() == [x.global_seq for x in e.fetch_after(0, 100)]
+
+
 def test_live_cache(spark):
     from ledgerleaf.store import Breadcrumbs, LiveCache, Metrics
 
