@@ -22,6 +22,8 @@ from pyspark.sql.window import Window
 BATCH_ROWS = 512
 #: Spark's own default, which is the only value that prepare() replaces.
 _DEFAULT_BATCH = "10000"
+#: Keys that are treated as hot at most, and rows of a key that never make it hot.
+HOT_KEYS, HOT_ROWS = 20_000, 1_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -35,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver see."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines see")
         found = "file://" + tempfile.mkdtemp(prefix="ledgerleaf-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -75,6 +79,37 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_bound(total: int) -> int:
+    """Of `total` rows fewer than HOT_KEYS keys have more than so many."""
+    return max(HOT_ROWS, total // HOT_KEYS)
+
+
+def hot_join(rows: DataFrame, table: DataFrame, on: list[str], total: int, n: str = "n") -> DataFrame:
+    """Inner join of `total` rows with a table of one row a key, in which n is the
+    number of rows of the key or more.  Rows of hot keys meet a broadcast of those
+    keys (HOT_KEYS at most) where they are; the others are dealt out by key."""
+    most = hot_bound(total)
+    hot = table.where(F.col(n) > most)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.where(F.col(n) <= most), on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """key, parts of the hot keys of rows (HOT_KEYS at most)."""
+    most = hot_bound(rows.count())
+    return rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts")).where("parts > 1")
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """Inner join with a table of one row a key whose rows are too wide to broadcast:
+    rows of a hot key are dealt out to its parts by `by`, and the table's row is
+    repeated for each part."""
+    hot, part = F.broadcast(hot), F.coalesce("parts", F.lit(1))
+    rows = rows.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64(by), part).cast("int")).drop("parts")
+    table = table.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), part - 1))).drop("parts")
+    return rows.join(table, [key, "part"]).drop("part")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -18,21 +18,34 @@ with the probability of the similarity.
 Joining.  Signatures are cut into BANDS bands of ROWS; documents that agree in a
 band share a bucket.  At the threshold a pair shares no bucket with probability
 (1 - 0.8**ROWS)**BANDS, below 1e-4.  Texts with the same words are one node of
-the following, whatever their number.  In a bucket each node is compared with the
-least one, its centre, by the exact similarity.  A node that is not linked to the
-centre C may still be linked to another member, and is looked for by its edits:
-the shingle occurrences that are in one of the two, node and C, only.  Nodes N, M
-of sizes n, m with dN, dM edits that share c of them differ in dN + dM - 2c, and a
-similarity of 0.8 means (n + m) / 9 at most; if N is not linked to C, then c >= 1
-follows.  So an equality join on edits finds every such pair.  Edits of a node are
-ordered by how many nodes have them, rarest first, so two nodes meet only at edits
-early enough for a link, and the shared edits are counted where they meet.  Nodes
-that the links so far join do not meet; pairs found are compared like the others.
-No bucket is gathered or expanded into all its pairs, and nothing is capped.
+the following, whatever their number.  The centre of a bucket is its member that
+meets most others in all its buckets (ties: the least node), which lies near the
+middle of a group of copies; every other member is compared with it by the exact
+similarity, and the links so found are joined to components.
+
+A node is open around a centre C if it is in another component than C.  Its links
+to other members are looked for by edits: the shingle occurrences that are in one
+of the two, node and C, only.  Nodes N, M of sizes n, m with dN, dM edits that share
+c of them differ in dN + dM - 2c, and a similarity of 0.8 means (n + m) / 9 at most,
+so c >= (dN + dM - (n + m) / 9) / 2, and c >= 1 if N is open.  A linked pair of which
+none is open is in one component already.  Edits of a node are ordered by how many
+nodes have them, rarest first; the first edit that a linked pair shares has at most
+d - c edits before it on either side.  How far that goes depends on the other's
+number of edits, so a node is placed at an edit once for each class of such numbers
+(of ratio 1 + 1 / CLASSES) that leaves a link possible there, and only rows of
+matching classes meet: an equality join on centre, edit and both classes.  Pairs
+found are compared like the others.  This finds every link of an open node, and
+nothing is gathered, expanded into all its pairs or capped.  A text gives a number
+of rows in proportion to its length.
+
+Keys that may hold many rows (bucket, centre, edit, text) are split: those above a
+bound are at most common.HOT_KEYS, and only their keys are broadcast.
 
 Null and empty texts have no shingles: texts without words are alike only if
-they are equal (null counts as empty).  Rows may repeat ids: each row is a
-document.  Other columns are kept by deduplicate() and ignored otherwise.
+they are equal (null counts as empty).  Very long texts are taken whole.  Rows may
+repeat ids: each row is a document, and among equal ids one row is kept.  An empty
+table gives an empty result.  Other columns, whatever their names, are kept by
+deduplicate() and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -54,6 +67,8 @@ from .decontaminate import _TO_WORDS
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 7, 40
 K = ROWS * BANDS
+#: Classes of numbers of edits: each is wider than the one before by 1 / CLASSES.
+CLASSES = 4
 #: Ids that are sent to all executors at most; beyond that they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -190,7 +205,9 @@ def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _with_texts(pairs: DataFrame, needed: DataFrame) -> DataFrame:
-    return pairs.join(needed.toDF("b", "text_b"), "b").join(needed.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    """pairs (a, b, more) with both texts; a may be a centre of very many pairs."""
+    rows = pairs.join(needed.toDF("b", "text_b"), "b")
+    return common.salted_join(rows, needed.toDF("a", "text_a"), "a", "b", common.hot_keys(pairs, "a"))
 
 
 class _Shingles:
@@ -217,7 +234,8 @@ def _compared(pairs: DataFrame, needed: DataFrame) -> DataFrame:
             found = [similarity(own.of(i, s), own.of(j, t)) for i, j, s, t in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
-    return common.stored(_with_texts(pairs, needed).mapInArrow(compare, "a long, b long, similarity double"), "similarities")
+    rows = _with_texts(pairs, needed).select("a", "b", "text_a", "text_b")
+    return common.stored(rows.mapInArrow(compare, "a long, b long, similarity double"), "similarities")
 
 
 def occurrences(found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -228,108 +246,189 @@ def occurrences(found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def _edits(pairs: DataFrame, needed: DataFrame) -> DataFrame:
-    """centre, node, size (of the node), edits of pairs (centre a, node b)."""
+    """centre, node, open, root, size (of the node), centre_size, edits of pairs
+    (centre a, node b, open, root)."""
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _Shingles()
         for batch in batches:
-            sizes, edits = [], []
-            for i, j, s, t in zip(*(c.to_pylist() for c in batch.columns)):
+            sizes, around, edits = [], [], []
+            for i, j, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
                 x, y = occurrences(own.of(i, s)), occurrences(own.of(j, t))
+                around.append(len(x))
                 sizes.append(len(y))
                 edits.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(edits, pa.list_(pa.int64()))], ["centre", "node", "size", "edits"])
-
-    return common.stored(_with_texts(pairs, needed).mapInArrow(differ, "centre long, node long, size long, edits array<long>"), "edits")
-
-
-def _edit_links(edits: DataFrame, loose: DataFrame, joined: DataFrame) -> DataFrame:
-    """a, b: links of a loose node to a node of another component.
-
-    loose: centre, node; joined: node, root of the links so far.  A node's edits are
-    placed in order, those of it alone first, then the rarest.  A link needs so many
-    shared edits that the first of them has a place below size / 4 + 1 on both sides
-    and enough edits after it; only such rows meet, and the shared edits of two that
-    meet are counted in the join itself."""
-    each = edits.select("centre", "node", "size", F.size("edits").cast("long").alias("d"), F.explode("edits").alias("edit"))
-    shared = common.stored(each.groupBy("centre", "edit").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "shared-edits")
-    order = F.array_sort(F.collect_list(F.struct("nodes", "edit")))
-    sets = each.join(shared, ["centre", "edit"]).groupBy("centre", "node").agg(F.first("size").alias("size"), F.first("d").alias("d"), order.alias("order"))
-    sets = sets.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sets = sets.join(loose.withColumn("is_loose", F.lit(True)), ["centre", "node"], "left")
-    sets = sets.select("centre", "node", "root", "size", "d", F.coalesce("is_loose", F.lit(False)).alias("is_loose"), F.col("order.edit").alias("kept"))
-    rows = sets.select("*", F.posexplode("kept").alias("at", "edit")).withColumn("place", F.col("d") - F.size("kept") + F.col("at"))
-    # half of the hash is enough to count: the few pairs it lets through are compared again
-    rows = rows.where(F.col("place") <= F.col("size") / 4 + 1).select("centre", "edit", "node", "root", "size", "d", "place", "is_loose", F.transform("kept", lambda e: F.shiftright(e, 32).cast("int")).alias("kept"))
-    rows = rows.withColumn("slack", F.size("kept") - F.size(F.array_distinct("kept")))  # edits of one node with equal halves
-    rows = common.stored(rows, "placed-edits")
-    other = rows.toDF("centre", "edit", *[f"{c}2" for c in rows.columns[2:]])
-    needed = (F.col("d") + F.col("d2") - (F.col("size") + F.col("size2")) * ((1 - THRESHOLD) / (1 + THRESHOLD))) / 2 - 1e-6
-    possible = F.least(F.col("d") - F.col("place"), F.col("d2") - F.col("place2")) >= needed
-    once = ~F.col("is_loose2") | (F.col("node") < F.col("node2"))
-    enough = F.when(possible, F.size(F.array_intersect("kept", "kept2")) + F.col("slack") >= needed).otherwise(F.lit(False))
-    found = rows.where("is_loose").join(other, ["centre", "edit"]).where((F.col("root") != F.col("root2")) & once & enough)
-    return found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+            kept = [batch.column(c) for c in ("a", "b", "open", "root")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int64()), pa.array(around, pa.int64()), pa.array(edits, pa.list_(pa.int64()))], ["centre", "node", "open", "root", "size", "centre_size", "edits"])
+
+    rows = _with_texts(pairs, needed).select("a", "b", "open", "root", "text_a", "text_b")
+    return common.stored(rows.mapInArrow(differ, "centre long, node long, open boolean, root long, size long, centre_size long, edits array<long>"), "edits")
+
+
+def class_of(d: int) -> int:
+    """The class of a number of edits, at least 1."""
+    k = int(math.log(d) / math.log1p(1 / CLASSES))
+    while class_start(k + 1) <= d:
+        k += 1
+    while class_start(k) > d:
+        k -= 1
+    return k
+
+
+def class_start(k: int) -> int:
+    """The least number of edits in class k."""
+    return math.ceil((1 + 1 / CLASSES) ** k - 1e-9)
+
+
+def places(d: int, size: int, centre_size: int) -> list[tuple[int, int]]:
+    """(class, places) for each class of the number of edits that a linked node may
+    have: a first shared edit lies among so many of the d edits, rarest first.
+
+    The other has at most 5 / 4 of the size, and the centre's size and its edits."""
+    out, k = [], class_of(max(1, d - size // 4 - 1))
+    while True:
+        low, high = class_start(k), class_start(k + 1) - 1
+        shared = max(1, math.ceil((d + low - (size + min(1.25 * size, centre_size + low)) / 9) / 2 - 1e-9))
+        if shared > d or low > d + size / 4:
+            return out
+        if low <= high and shared <= high and high >= d - size / 4:
+            out.append((k, d - shared + 1))
+        k += 1
+
+
+_PLACED = "centre long, edit long, own int, other int, node long, open boolean, root long, size long, d long, place long"
+
+
+def _placed(sets: DataFrame) -> DataFrame:
+    """Rows of _PLACED from centre, node, open, root, size, centre_size, d and
+    order: the edits that others have too, rarest first, with a mark on those that
+    an open node has."""
+    names = [f.split()[0] for f in _PLACED.split(", ")]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("centre", "node", "open", "root", "size", "centre_size", "d")}
+            lists = batch.column("order")
+            inner, ends = lists.flatten(), lists.value_lengths().to_numpy().cumsum()
+            edits, asked = inner.field("edit").to_numpy(), inner.field("asked").to_numpy(zero_copy_only=False)
+            which, at, own, other, where = [], [], [], [], []
+            for i, (d, size, around, end) in enumerate(zip(of["d"].tolist(), of["size"].tolist(), of["centre_size"].tolist(), ends.tolist())):
+                begin = int(ends[i - 1]) if i else 0
+                known = begin + np.flatnonzero(asked[begin:end])
+                place_of = known - begin + d - (end - begin)  # edits of this node alone come first
+                mine = class_of(d)
+                for k, many in places(d, size, around):
+                    n = int(np.searchsorted(place_of, many))
+                    if n:
+                        which.append(np.full(n, i))
+                        at.append(known[:n])
+                        where.append(place_of[:n])
+                        own.append(np.full(n, mine, np.int32))
+                        other.append(np.full(n, k, np.int32))
+            if which:
+                w = np.concatenate(which)
+                columns = [of["centre"][w], edits[np.concatenate(at)], np.concatenate(own), np.concatenate(other), of["node"][w], of["open"][w], of["root"][w], of["size"][w], of["d"][w], np.concatenate(where)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    return common.stored(sets.mapInArrow(place, _PLACED), "placed-edits")
+
+
+def _edit_links(edits: DataFrame) -> DataFrame:
+    """a, b: possible links of an open node to a node of another component."""
+    each = edits.select("centre", "node", "open", F.explode("edits").alias("edit"))
+    shared = each.groupBy("centre", "edit").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("asked")).where("n > 1")
+    shared = common.stored(shared, "shared-edits")
+    known = common.hot_join(each.drop("open"), shared, ["centre", "edit"], edits.agg(F.sum(F.size("edits"))).first()[0] or 0)
+    order = known.groupBy("centre", "node").agg(F.array_sort(F.collect_list(F.struct("n", "edit", "asked"))).alias("order"))
+    sets = edits.withColumn("d", F.size("edits").cast("long")).drop("edits").join(order, ["centre", "node"])
+    rows = _placed(sets)
+    open_, rest = rows.where("open").alias("x"), rows.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{e}") for c, e in (("centre", "centre"), ("edit", "edit"), ("own", "other"), ("other", "own"))]
+    needed = (F.col("x.d") + F.col("y.d") - (F.col("x.size") + F.col("y.size")) * ((1 - THRESHOLD) / (1 + THRESHOLD))) / 2 - 1e-6
+    possible = F.least(F.col("x.d") - F.col("x.place"), F.col("y.d") - F.col("y.place")) >= needed
+    once = ~F.col("y.open") | (F.col("x.node") < F.col("y.node"))
+    found = open_.join(rest, [*same, F.col("x.root") != F.col("y.root"), once, possible])
+    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _starred(nodes: DataFrame) -> DataFrame:
+    """a, b: centre and member of every bucket, each pair once.  nodes: node, keys."""
+    spread = nodes.select("node", F.explode("keys").alias("key"))
+    total = (nodes.count() * BANDS) or 1
+    buckets = common.stored(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    met = common.hot_join(spread, buckets, ["key"], total).groupBy("node").agg(F.sum("n").alias("met"), F.collect_list("key").alias("keys"))
+    met = common.stored(met, "met").select("node", "met", F.explode("keys").alias("key"))
+    centres = met.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("first"))).alias("c"), F.count(F.lit(1)).alias("n"))
+    centres = common.stored(centres.select("key", (-F.col("c.first")).alias("centre"), "n"), "centres")
+    members = common.hot_join(met.select("node", "key"), centres, ["key"], total).where("node <> centre")
+    return common.stored(members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
 
 
 def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b of links that make the same components as all links.  nodes: node, keys."""
-    spread = nodes.select("node", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "centre")
-    shared = common.stored(shared, "buckets")
-    members = spread.join(shared, "key").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    pairs = common.stored(members.distinct(), "pairs")
+    pairs = _starred(nodes)
     needed = _texts_of(pairs, texts)
-    first = _compared(pairs, needed)
-    links = first.where(F.col("similarity") >= THRESHOLD).select("a", "b")
-    loose = first.where(F.col("similarity") < THRESHOLD).select("a", "b")
-    if not loose.take(1):
+    links = _compared(pairs, needed).where(F.col("similarity") >= THRESHOLD).select("a", "b")
+    roots = components(links)
+    of_centre = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(roots.toDF("a", "centre_root"), "a", "left")
+    around = common.hot_join(pairs, common.stored(of_centre, "star-centres"), ["a"], pairs.count()).join(roots.toDF("b", "root"), "b", "left")
+    around = around.select("a", "b", F.coalesce("root", "b").alias("root"), F.coalesce("centre_root", "a").alias("centre_root"), "n")
+    around = common.stored(around.select("a", "b", "root", (F.col("root") != F.col("centre_root")).alias("open"), "n"), "around")
+    opened = common.stored(around.groupBy("a").agg(F.max("open").alias("some"), F.count(F.lit(1)).alias("n")).where("some").select("a", "n"), "open-centres")
+    if not opened.take(1):
         return links
-    around = common.stored(pairs.join(loose.select("a").distinct(), "a", "left_semi"), "loose-centres")
-    more = common.stored(_edit_links(_edits(around, needed), loose.toDF("centre", "node"), components(links)), "pairs")
+    around = common.stored(common.hot_join(around.drop("n"), opened, ["a"], pairs.count()).drop("n"), "around")
+    more = common.stored(_edit_links(_edits(around, needed)), "pairs")
     return links.union(_compared(more, needed).where(F.col("similarity") >= THRESHOLD).select("a", "b"))
 
 
 def classes(base: DataFrame) -> DataFrame:
-    """same, keeper_doc, keeper, class_size of every distinct `same` of base (node,
-    doc, text, same, keys): the row of its class with the least id."""
+    """same, keeper_doc, keeper, class_size, n of every distinct `same` of base (node,
+    doc, text, same, keys): the row of its class with the least id; n rows have it."""
     with common.scratch(base.sparkSession):
         alike = base.groupBy("same").agg(F.min("node").alias("node"), F.min(F.struct("doc", "node")).alias("least"), F.count(F.lit(1)).alias("n"))
         alike = common.stored(alike, "alike")
         nodes = base.select("node", "keys").where(F.size("keys") > 0).join(alike.select("node"), "node", "left_semi")
         roots = components(_links(nodes, base.select("node", "text")))
         alike = alike.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        whole = alike.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("class_size"))
-        return common.stored(alike.select("same", "root").join(whole, "root").select("same", F.col("least.doc").alias("keeper_doc"), F.col("least.node").alias("keeper"), "class_size"), "classes")
+        whole = alike.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("m"))
+        whole = common.stored(whole, "roots")
+        found = common.hot_join(alike.select("same", "root", "n"), whole.withColumnRenamed("m", "nodes"), ["root"], alike.count(), n="nodes")
+        return common.stored(found.select("same", F.col("least.doc").alias("keeper_doc"), F.col("least.node").alias("keeper"), "class_size", "n"), "classes")
 
 
-def _based(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _based(df: DataFrame, text_col: str) -> DataFrame:
+    """row (all columns of df), node, same, keys: nothing can clash with the columns."""
     common.prepare(df.sparkSession)
     mark = common.per_text(lambda: marks, _MARK)(common.text_of(text_col))
-    rows = df.select("*", mark.alias("__mark"), F.monotonically_increasing_id().alias("__node"))
-    return common.stored(rows.select(*[F.col(f"`{c}`") for c in df.columns], "__node", F.col("__mark.same").alias("__same"), F.col("__mark.keys").alias("__keys")), "marked")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), mark.alias("mark"), F.monotonically_increasing_id().alias("node"))
+    return common.stored(rows.select("row", "node", "mark.same", "mark.keys"), "marked")
 
 
 def _plain(marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return marked.select(F.col("__node").alias("node"), F.col(f"`{id_col}`").alias("doc"), common.text_of(text_col).alias("text"), F.col("__same").alias("same"), F.col("__keys").alias("keys"))
+    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
+    return marked.select("node", F.col("row")[id_col].alias("doc"), text.alias("text"), "same", "keys")
+
+
+def _classified(base: DataFrame) -> DataFrame:
+    """node, doc, keeper_doc, keeper, class_size of every row of base."""
+    return common.hot_join(base.select("node", "doc", "same"), classes(base), ["same"], base.count())
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the least id of its class), class_size, kept (true for
     one row of each class), for every row."""
-    base = _plain(_based(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col), id_col, text_col)
-    found = classes(base)
-    rows = base.select("node", "doc", "same").join(found, "same")
+    marked = _based(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), text_col)
+    rows = _classified(_plain(marked, id_col, text_col))
     return rows.select(F.col("doc").alias("doc_id"), F.col("keeper_doc").alias("class_id"), "class_size", (F.col("node") == F.col("keeper")).alias("kept"))
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, all columns of df."""
-    marked = _based(df, id_col, text_col)
-    base = _plain(marked, id_col, text_col)
-    gone = base.select("node", "same").join(classes(base), "same").where("node <> keeper").select(F.col("node").alias("__node"))
-    kept = marked.join(_few(common.stored(gone, "dropped")), "__node", "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
+    marked = _based(df, text_col)
+    gone = _classified(_plain(marked, id_col, text_col)).where("node <> keeper").select("node")
+    kept = marked.join(_few(common.stored(gone, "dropped")), "node", "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
