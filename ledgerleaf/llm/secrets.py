@@ -5,28 +5,43 @@ _ASSIGN, _ACCESS and _HEX; matches too short are dropped after matching, so that
 matching stays leftmost and non-overlapping).
 
 On top of them, every value that follows a credential word is measured by
-dynamic programming: the cheapest way to write it as common words (also with
-look-alike characters and capitals), dates, repeats, keyboard walks and
-brute-force spans, where the cost of a way is the sum of the logarithms of the
-guesses of its parts and a charge for each part.  A value of at least MIN_VALUE
-characters that costs at least MIN_COST (log10 of guesses) adds a span of kind
-"guess"; base spans always stay.
-
-Null and empty texts have no spans.  Positions are code points, ends exclusive.
-The program is linear in the length of a value.
+dynamic programming: the cheapest way to write it as words (also with look-alike
+characters and capitals), dates, repeats, keyboard walks and brute-force spans,
+where the cost of a way is the sum of the logarithms of the guesses of its parts
+and a charge for each part after the first.  Every span of each kind takes part:
+
+* word: a dictionary word of 3 letters or more, at its rank; the dictionary is
+  COMMON_WORDS, then the whole words of a vocabulary file in the order of their
+  merges, which is by frequency (both are parameters);
+* date: a year, or a date with year, month and day in either order;
+* repeat: a unit of 1 to REPEAT_UNIT characters, two or more times;
+* walk: three or more keys of which each touches the one before.
+
+A value ends at its closing quote, or unquoted at a space, quote, comma, semicolon or
+bracket.  One of at least MIN_VALUE characters that costs at least MIN_COST (log10 of
+guesses) adds a span of kind "guess"; base spans always stay.
+
+Null and empty texts and empty tables have no spans.  Positions are code points,
+ends exclusive.  Very long texts and values are taken whole; of the starts of a repeat
+or a walk only those that can still win are kept, so the program stays near linear in
+the length of a value.  Repeated rows each give a row; other columns are ignored by
+scan_secrets() and kept by redact(), whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .tokens import vocabulary
 
 KINDS = ("assign", "access", "hex", "guess")
 #: The cost lies above that of words, dates, repeats and walks, and below that of
@@ -37,7 +52,11 @@ _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs of 16 or more: the same as all runs with the shorter ones dropped.
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CONTEXT = re.compile(r"""(?i:passwords?|passwd|passphrase|pwd|secrets?|tokens?|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)["']?\x20*(?:[:=]|\x20is\x20)\x20*["']?([!-&(-~]+)""", re.ASCII)
+_CONTEXT = re.compile(
+    r"""(?i:passwords?|passwd|passphrase|pwd|secrets?|tokens?|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)"""
+    r"""["']?\x20*(?:[:=]|\x20is\x20)\x20*(?:"([!#-~]+)"|'([!-&(-~]+)'|["']?([!#-&*+.-:=?-Z\\^-z|~-]+))""",
+    re.ASCII,
+)
 _HINT = re.compile(r"(?i:pass|pwd|secret|token|key|credential|auth)", re.ASCII)
 
 #: Common password words, most frequent first (a parameter of the operator).
@@ -53,78 +72,137 @@ COMMON_WORDS = (
 
 _LOOKALIKE = str.maketrans("@4310$57!8", "aaeiosstib")
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
-_DATE = re.compile(r"(?=((?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\2(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\3(?:19|20)\d\d|(?:19|20)\d\d))", re.ASCII)
-_REPEAT = re.compile(r"(.{1,4}?)\1{2,}", re.DOTALL)
-
-#: log10 of the charge for each part of a way to write a value.
-_PART = math.log10(2)
-_DATE_COST, _YEAR_COST = math.log10(365 * 60), math.log10(60)
+_MONTH, _DAY, _YEAR = "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12][0-9]|3[01])", "(?:19|20)[0-9][0-9]"
+_DATES = tuple(re.compile(f"(?=({d}))") for d in (_YEAR, rf"{_YEAR}([-/.]?){_MONTH}\2{_DAY}", rf"{_DAY}([-/.]?){_MONTH}\2{_YEAR}"))
+#: Characters of the unit of a repeat at most.
+REPEAT_UNIT = 32
 
+#: log10 of the charge for each part after the first: it is of one of five kinds.
+_PART = math.log10(5)
+_DATE_COST, _YEAR_COST, _SEPARATED = math.log10(365 * 60), math.log10(60), 0.6
+_WALK, _TURN = math.log10(47), math.log10(4.6)
 
-def _neighbours() -> dict[str, set[str]]:
-    """Keys that touch: the same row, and the rows above and below."""
-    place = {c: (r, i) for r, row in enumerate(_ROWS) for i, c in enumerate(row)}
-    return {a: {b for b, (s, j) in place.items() if b != a and abs(s - r) <= 1 and (j - i) in ((-1, 1) if s == r else (0, 1) if s < r else (-1, 0))} for a, (r, i) in place.items()}
+#: Row and place of each key; keys touch in a row, and with those above and below.
+_KEYS = {c: (r, i) for r, row in enumerate(_ROWS) for i, c in enumerate(row)}
 
 
-_NEAR = _neighbours()
+def step(a: str, b: str) -> tuple[int, int] | None:
+    """How a walk goes from key a to key b, or None if they do not touch."""
+    if a not in _KEYS or b not in _KEYS:
+        return None
+    (r, i), (s, j) = _KEYS[a], _KEYS[b]
+    touching = (-1, 1) if s == r else (0, 1) if s == r - 1 else (-1, 0) if s == r + 1 else ()
+    return (s - r, j - i) if j - i in touching else None
 
 
 def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() and c.isascii() else math.log10(33)
 
 
+class _Starts:
+    """Starts of parts whose cost is that of the way to the start and the logarithm of
+    the length: those that no other start beats for any end still to come."""
+
+    def __init__(self, least: int):
+        self.least, self.kept = least, []
+
+    def add(self, at: int, cost: float) -> None:
+        """at: greater than all before."""
+        kept = self.kept
+        while kept and kept[-1][1] >= cost:  # a nearer start that costs no more
+            kept.pop()
+        if not any(cost - c >= math.log10((at - a) / self.least + 1) - 1e-12 for a, c in kept):
+            kept.append((at, cost))
+
+    def best(self, end: int) -> tuple[float, int]:
+        return min((c + math.log10(end - a), a) for a, c in self.kept)
+
+
+def words_of_vocabulary(path: str) -> list[str]:
+    """Whole words of 3 letters or more of a vocabulary file with word ends, in order
+    of their merges."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model.get("end_of_word_suffix") or ""
+    found = [t.removesuffix(end) for t in sorted(model["vocab"], key=model["vocab"].get) if t.endswith(end)]
+    return [w for w in found if len(w) >= 3 and w.isascii() and w.isalpha()]
+
+
 class GuessCost:
     """Minimum-cost segmentation of values; words are ranked by their order."""
 
     def __init__(self, words=COMMON_WORDS):
-        self.ranks = {w: i + 1 for i, w in reversed(list(enumerate(words)))}
+        self.ranks: dict[str, float] = {}
+        for w in words:
+            self.ranks.setdefault(w, math.log10(len(self.ranks) + 1))
         self.longest = max(map(len, self.ranks), default=0)
 
-    def parts(self, value: str) -> list[tuple[int, int, str, float]]:
-        """All spans that are cheaper than guessing each character."""
-        low, out, n = value.lower(), [], len(value)
-        if len(low) != n:  # a capital whose small form is longer
-            low = value
-        plain = low.translate(_LOOKALIKE)
-        for a in range(n):
-            for b in range(a + 3, min(n, a + self.longest) + 1):
-                for w, extra in ((low[a:b], 0.0), (plain[a:b], math.log10(2))):
-                    if rank := self.ranks.get(w):
-                        caps = sum(c.isupper() for c in value[a:b])
-                        case = 0.0 if not caps else math.log10(2) if caps == b - a or value[a].isupper() and caps == 1 else math.log10(math.comb(b - a, caps) + 1)
-                        out.append((a, b, "word", math.log10(rank) + extra + case))
-        for m in _DATE.finditer(value):
-            a, b = m.span(1)
-            out.append((a, b, "date", (_YEAR_COST if b - a == 4 else _DATE_COST) + (0.6 if m[2] or m[3] else 0.0)))
-        for m in _REPEAT.finditer(value):
-            out.append((*m.span(), "repeat", sum(map(_brute, m[1])) + math.log10(len(m[0]) // len(m[1]))))
-        a = 0
-        for b in range(1, n + 1):
-            if b == n or low[b] not in _NEAR.get(low[b - 1], ()):
-                if b - a >= 3:
-                    turns = sum(ord(low[i + 1]) - ord(low[i]) != ord(low[i]) - ord(low[i - 1]) for i in range(a + 1, b - 1)) if low[a].isdigit() else sum(_turn(low[i - 1], low[i]) != _turn(low[i], low[i + 1]) for i in range(a + 1, b - 1))
-                    out.append((a, b, "walk", math.log10(47) + math.log10(b - a) + turns * math.log10(4.6)))
-                a = b
-        return out
+    def word_cost(self, value: str, low: str, plain: str, a: int, b: int) -> float | None:
+        """The cost of value[a:b] as a word; low and plain are its small form and the
+        form without look-alikes."""
+        costs = [self.ranks[w] + extra for w, extra in ((low[a:b], 0.0), (plain[a:b], math.log10(2))) if w in self.ranks]
+        if not costs:
+            return None
+        caps = sum(c.isupper() for c in value[a:b])
+        case = 0.0 if not caps else math.log10(2) if caps == b - a or value[a].isupper() and caps == 1 else math.log10(math.comb(b - a, caps) + 1)
+        return min(costs) + case
 
     def best(self, value: str) -> tuple[float, list[tuple[int, int, str]]]:
         """log10 of the guesses of the cheapest way, and its parts."""
-        n = len(value)
-        ends: dict[int, list[tuple[int, str, float]]] = {}
-        for a, b, kind, cost in self.parts(value):
-            ends.setdefault(b, []).append((a, kind, cost))
-        cost, brute = [0.0] * (n + 1), [math.inf] * (n + 1)
+        n, low = len(value), value.lower()
+        if len(low) != n:  # a capital whose small form is longer
+            low = value
+        plain = low.translate(_LOOKALIKE)
+        dates: dict[int, list[tuple[int, float]]] = {}
+        for k, pattern in enumerate(_DATES):
+            for m in pattern.finditer(value):
+                dates.setdefault(m.end(1), []).append((m.start(1), (_DATE_COST if k else _YEAR_COST) + (_SEPARATED if k and m[2] else 0.0)))
+        single = [_brute(c) for c in value]
+        sums = [0.0, *accumulate(single)]
+        cost, brute, run = [0.0] * (n + 1), [math.inf] * (n + 1), [0] * (n + 1)
         came: list[tuple[int, str]] = [(0, "")] * (n + 1)
-        run = [0] * (n + 1)  # where the brute-force span that ends here began
-        for i in range(1, n + 1):
-            go, start = brute[i - 1], cost[i - 1] + (_PART if i > 1 else 0.0)
-            brute[i], run[i] = (go, run[i - 1]) if go <= start else (start, i - 1)
-            brute[i] += _brute(value[i - 1])
-            cost[i], came[i] = brute[i], (run[i], "brute")
-            for a, kind, c in ends.get(i, ()):
-                if (x := cost[a] + c + (_PART if a else 0.0)) < cost[i]:
-                    cost[i], came[i] = x, (a, kind)
+        letters = 0  # characters before the end that may belong to a word
+        same = [0] * (min(REPEAT_UNIT, n // 2) + 1)  # characters equal to the one a unit before
+        repeats: list[dict[int, _Starts]] = [{} for _ in same]
+        walk, turns, last = None, [0] * (n + 1), None  # turns[i]: turns at keys before i
+
+        def before(a: int) -> float:
+            return cost[a] + (_PART if a else 0.0)
+
+        for b in range(1, n + 1):
+            # brute force: run says where the span that ends here began
+            go, begin = brute[b - 1], before(b - 1)
+            brute[b], run[b] = (go, run[b - 1]) if go <= begin else (begin, b - 1)
+            brute[b] += single[b - 1]
+            found = [(brute[b], run[b], "brute")]
+            found += [(before(a) + c, a, "date") for a, c in dates.get(b, ())]
+            letters = letters + 1 if plain[b - 1].isalpha() or low[b - 1].isalpha() else 0
+            for a in range(max(b - letters, b - self.longest), b - 2):
+                if (c := self.word_cost(value, low, plain, a, b)) is not None:
+                    found.append((before(a) + c, a, "word"))
+            for u in range(1, min(len(same) - 1, b - 1) + 1):
+                if value[b - 1] != value[b - 1 - u]:
+                    same[u] = 0
+                    if repeats[u]:
+                        repeats[u] = {}
+                    continue
+                same[u] += 1
+                if same[u] >= u:
+                    starts = repeats[u].setdefault(b % u, _Starts(2 * u))
+                    starts.add(b - 2 * u, before(b - 2 * u))
+                    c, a = starts.best(b)
+                    found.append((c - math.log10(u) + sums[b] - sums[b - u], a, "repeat"))
+            now = step(low[b - 2], low[b - 1]) if b > 1 else None
+            turns[b] = turns[b - 1] + (now is not None and last is not None and now != last)
+            if now is None:
+                walk, chain = None, b - 1
+            elif b - chain >= 3:
+                walk = walk or _Starts(3)
+                walk.add(b - 3, before(b - 3) - _TURN * turns[b - 1])
+                c, a = walk.best(b)
+                found.append((c + _WALK + _TURN * turns[b], a, "walk"))
+            last = now
+            cost[b], *came[b] = min(found)
         parts, at = [], n
         while at:
             a, kind = came[at]
@@ -133,12 +211,6 @@ class GuessCost:
         return cost[n], parts[::-1]
 
 
-def _turn(a: str, b: str) -> tuple[int, int]:
-    find = lambda c: next((r, row.index(c)) for r, row in enumerate(_ROWS) if c in row)
-    (r, i), (s, j) = find(a), find(b)
-    return s - r, j - i
-
-
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if ("=" in text or ":" in text) and _HINT.search(text):
@@ -154,9 +226,11 @@ def guess_spans(text: str, model: GuessCost, min_value: int = MIN_VALUE, min_cos
         return []
     out = []
     for m in _CONTEXT.finditer(text):
-        value = m[1].rstrip("\"',;.)")
+        value = m[m.lastindex]
+        if m.lastindex == 3:
+            value = value.rstrip(".!?:")
         if len(value) >= min_value and (cost := model.best(value)[0]) >= min_cost:
-            out.append(("guess", m.start(1), m.start(1) + len(value), cost))
+            out.append(("guess", m.start(m.lastindex), m.start(m.lastindex) + len(value), cost))
     return out
 
 
@@ -202,30 +276,41 @@ def scan(texts: list[str], model: GuessCost, mask: str | None = None) -> list[di
     return out
 
 
-def scanned(text: Column, words=COMMON_WORDS, mask: str | None = None) -> Column:
+_MODELS: dict[tuple, GuessCost] = {}
+
+
+def _model(words: tuple[str, ...], path: str | None) -> GuessCost:
+    """One model for each dictionary and Python worker."""
+    if (words, path) not in _MODELS:
+        _MODELS[words, path] = GuessCost([*words, *(words_of_vocabulary(path) if path else ())])
+    return _MODELS[words, path]
+
+
+def scanned(text: Column, words=COMMON_WORDS, vocabulary_path: str | None = None, mask: str | None = None) -> Column:
     """A struct column of the findings; `redacted` is set where there are any and
     a mask is given."""
+    words = tuple(words)
 
     def make():
-        model = GuessCost(words)
+        model = _model(words, vocabulary_path)
         return lambda texts: scan(texts, model, mask)
 
     return common.per_text(make, _ROW)(text)
 
 
-def scan_secrets(df: DataFrame, words=COMMON_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(df: DataFrame, words=COMMON_WORDS, vocabulary_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess, max_guesses_log10."""
     common.prepare(df.sparkSession)
-    rows = common.id_and_text(df, id_col, text_col).select("doc_id", scanned(F.col("text"), words).alias("r"))
+    rows = common.id_and_text(df, id_col, text_col).select("doc_id", scanned(F.col("text"), words, vocabulary_path).alias("r"))
     return rows.select("doc_id", *[f"r.{c}" for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "max_guesses_log10")])
 
 
-def redact(df: DataFrame, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+def redact(df: DataFrame, mask: str = "[SECRET]", text_col: str = "text", words=COMMON_WORDS, vocabulary_path: str | None = None) -> DataFrame:
     """df with every found span replaced by the mask; null texts stay null."""
     common.prepare(df.sparkSession)
-    clean = F.coalesce(scanned(common.text_of(text_col), mask=mask)["redacted"], F.col(f"`{text_col}`"))
+    clean = F.coalesce(scanned(common.text_of(text_col), words, vocabulary_path, mask)["redacted"], F.col(f"`{text_col}`"))
     return df.withColumn(text_col, clean)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(common.table(spark, sf_dir, "documents"))
+    return scan_secrets(common.table(spark, sf_dir, "documents"), vocabulary_path=vocabulary("word_bpe_49k.json"))
