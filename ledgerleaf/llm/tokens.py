@@ -6,7 +6,8 @@ and the ids of a text are the joined ids of its pieces.  Texts with anything
 unusual (special-token strings, control or non-breaking spaces) go to the
 library whole, pieces with letters outside Latin go to it piece by piece, and
 plain Latin pieces reach its BPE model as ready pre-tokens.  Memory is bounded:
-two generations of cached pieces, each of at most `cap` entries.
+two generations of cached pieces, each of at most `cap` entries of KEPT_CHARS
+characters; longer pieces are encoded where they occur.
 """
 
 from __future__ import annotations
@@ -28,12 +29,16 @@ _BYTE = re.compile(f"\0|{_CONTRACTIONS}| ?[{_L}]+| ?[{_N}]+| ?[^\\s\0{_L}{_N}]+|
 #: white space at the end of a piece would see what comes next.
 _PLAIN_WORD = re.compile("[!-~¡-įı-ſ]*")
 _PLAIN_BYTE = re.compile("(?:[\n -~¡-ſ]*[!-~¡-ſ])?")
+_PLAIN_TEXT = re.compile("[\t\n\r -~¡-įı-ſ]*")
+_WORDS = re.compile(f"{_CONTRACTIONS}|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
 _PLAIN_WORDS, _PLAIN_BYTES = re.compile("[\n!-~¡-įı-ſ]*"), re.compile("[\0\n -~¡-ſ]*")
 _TAILS = (",", ".")
 #: Spaces that not every library takes for spaces, and the end of pieces here.
 _ODD = re.compile("[\0\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Characters of a cached piece at most.
+KEPT_CHARS = 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -141,7 +146,14 @@ class TextEncoder:
             if fresh := fresh.difference(again):
                 self._learn(fresh)
             if kept is not self.young:  # a new generation: what these texts use is in either
-                return [None if c is None else [self.young[p] if p in self.young else kept[p] for p in c] for c in cuts]
+                found = [None if c is None else [self.young[p] if p in self.young else kept[p] for p in c] for c in cuts]
+            else:
+                found = [None if c is None else list(map(self.young.__getitem__, c)) for c in cuts]
+            for p in fresh:
+                if len(p) > KEPT_CHARS:
+                    self.young.pop(p, None)
+                    self.young.pop(p[:-1], None)
+            return found
         return [None if c is None else list(map(self.young.__getitem__, c)) for c in cuts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -152,6 +164,56 @@ class TextEncoder:
         ]
 
 
+class PreTokens:
+    """The pre-tokens of texts of a word-split vocabulary, and how many tokens each has."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if (spec.get("pre_tokenizer") or {}).get("type") != "Sequence":
+            raise ValueError("only word-split BPE files are supported")
+        self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        spec |= {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+        self.pieces = Tokenizer.from_str(json.dumps(spec))
+        self.pieces.no_truncation()
+        self.pieces.no_padding()
+        self.letters = _byte_letters()
+        self.bytes = {c: b for b, c in self.letters.items()}
+
+    def of(self, text: str) -> list[str]:
+        """All pre-tokens of a text, normalized; special strings of the vocabulary stay
+        as they are."""
+        if self.cut is not None and "<|" in text and self.cut.search(text):
+            out: list[str] = []
+            for part in self.cut.split(text):
+                out += [part] if part in self.special else self.of(part) if part else []
+            return out
+        if _PLAIN_TEXT.fullmatch(text):
+            return _WORDS.findall(text.lower())
+        if _ODD.search(text):
+            return self._by_library(text)
+        out = []
+        for piece in text.split():
+            out += _WORDS.findall(piece.lower()) if _PLAIN_WORD.fullmatch(piece) else self._by_library(piece)
+        return out
+
+    def _by_library(self, text: str) -> list[str]:
+        found = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
+        return [bytes(map(self.bytes.__getitem__, p)).decode("utf-8", "surrogatepass") for p, _ in found]
+
+    def counts(self, words: list[str]) -> list[int]:
+        """The number of tokens of each pre-token."""
+        shown = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters) for w in words]
+        found = [len(e) for e in self.pieces.encode_batch_fast([[s] for s in shown], is_pretokenized=True, add_special_tokens=False)]
+        return [1 if w in self.special else n for w, n in zip(words, found)]
+
+
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
