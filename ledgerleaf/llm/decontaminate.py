@@ -9,9 +9,12 @@ direct comparison of the words confirms an occurrence.
 
 The benchmark reaches the executors in blocks of a bounded number of bytes; each
 block is searched for in every whole text and the findings are united, so
-neither side is cut.  Null and empty texts have no words and are clean; items
-without an id, a text or words have no windows; rows that repeat an item add
-nothing.  Other columns are ignored, whatever their names.
+neither side is cut: a benchmark of n blocks is n passes over the words of a text.
+Null, empty and very long texts are taken whole; such without words are clean.  Items
+without a text or words have no windows; items without an id are searched for like
+the others, count as one item in all and have no part in the list of ids; rows that
+repeat an item add nothing.  Either table may be empty.  Rows may repeat ids; other
+columns are ignored, or kept by without_contaminated(), whatever their names.
 """
 
 from __future__ import annotations
@@ -46,12 +49,12 @@ def words_of(text: str) -> list[bytes]:
 class WuManber:
     """Searches word lists for windows of one length, all at once."""
 
-    def __init__(self, length: int, windows: Iterator[tuple[str, list[bytes], int]]):
-        """windows: (item, words of the item, start of the window)."""
+    def __init__(self, length: int, windows: Iterator[tuple[str | None, list[bytes], int]]):
+        """windows: (item, words of the item, start of the window); an item may be None."""
         self.m, self.b = length, min(2, length)
         self.default = self.m - self.b + 1
         self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, dict[bytes, list[tuple[str, list[bytes], int]]]] = {}
+        self.buckets: dict[bytes, dict[bytes, list[tuple[str | None, list[bytes], int]]]] = {}
         for item, words, start in windows:
             for end in range(self.b, self.m + 1):
                 block = b" ".join(words[start + end - self.b : start + end])
@@ -59,7 +62,7 @@ class WuManber:
             prefix = b" ".join(words[start : start + self.b])
             self.buckets.setdefault(block, {}).setdefault(prefix, []).append((item, words, start))
 
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, str]]:
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, str | None]]:
         """(start, item) of every occurrence."""
         m, n, default, shift, buckets = self.m, len(words), self.default, self.shift.get, self.buckets
         at, two = m, self.b == 2
@@ -78,7 +81,7 @@ class WuManber:
             at += 1
 
 
-def searchers(items: list[tuple[str, str]], window: int = WINDOW) -> list[WuManber]:
+def searchers(items: list[tuple[str | None, str]], window: int = WINDOW) -> list[WuManber]:
     by_length: dict[int, list] = {}
     for item, text in items:
         words = words_of(text)
@@ -102,12 +105,12 @@ def search(texts: list[str], machines: list[WuManber]) -> list[dict]:
                 spans[-1][1] = max(b, spans[-1][1])
             else:
                 spans.append([a, b])
-        out.append({"n_words": len(words), "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(items)})
+        out.append({"n_words": len(words), "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(items - {None}) + [None] * (None in items)})
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").alias("text")).where("item is not null and text is not null")
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, str]]]:
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     block, size = [], 0
     for r in rows.distinct().toLocalIterator():
         if block and size + len(r.text) > BLOCK_BYTES:
