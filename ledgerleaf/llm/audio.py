@@ -12,9 +12,12 @@ decoded.  From the decoded samples come
 * segments by hysteresis on frame energy: a segment is a run above the lower
   threshold that reaches the upper one.
 
-Long audio is resampled and transformed in blocks of BLOCK_FRAMES frames.  Every
-value of a row depends on its own bytes only, so equal texts give equal values.
-Null and empty texts give 192 blanks.  Other columns are ignored.
+Audio is resampled and transformed in blocks of BLOCK_FRAMES frames, so beside its
+bytes and its features a very long text takes no memory that grows with it.  Every
+value of a row depends on its own bytes only, so equal texts and repeated rows give
+equal values.  Null and empty texts give 192 blanks; an empty table gives an empty
+result.  Ids are of any type and may be null; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -71,18 +74,20 @@ def lowpass(up: int = UP, down: int = DOWN, taps: int = 12) -> np.ndarray:
 _FILTER = lowpass()
 
 
-def resample(x: np.ndarray, phases: np.ndarray = _FILTER, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """x at up/down times its rate: output m is phase (m*down) % up of the filter
-    over the inputs before m*down // up; silence lies before the first."""
-    taps = phases.shape[1]
-    n = len(x) * up // down
-    padded = np.concatenate((np.zeros(taps - 1, np.float32), x))
-    seen = np.lib.stride_tricks.sliding_window_view(padded, taps)
-    out = np.empty(n, np.float32)
-    for r in range(min(up, n)):
-        k = len(range(r, n, up))
-        base = r * down // up
-        out[r::up] = np.ascontiguousarray(seen[base :: down][:k]) @ phases[r * down % up]
+def resample(x: np.ndarray, begin: int = 0, end: int | None = None, phases: np.ndarray = _FILTER, up: int = UP, down: int = DOWN) -> np.ndarray:
+    """Outputs begin to end of x (8-bit samples) at up/down times its rate: output m is
+    phase (m*down) % up of the filter over the inputs before m*down // up; silence lies
+    before the first input.  Only the inputs of these outputs are read."""
+    end = len(x) * up // down if end is None else end
+    out, taps = np.empty(max(0, end - begin), np.float32), phases.shape[1]
+    if not len(out):
+        return out
+    first, last = begin * down // up - taps + 1, (end - 1) * down // up
+    part = (x[max(0, first) : last + 1].astype(np.float32) - 128) / 128
+    seen = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.zeros(max(0, -first), np.float32), part)), taps)
+    for m in range(begin, min(begin + up, end)):
+        k = len(range(m, end, up))
+        out[m - begin :: up] = np.ascontiguousarray(seen[m * down // up - begin * down // up :: down][:k]) @ phases[m * down % up]
     return out
 
 
@@ -99,17 +104,20 @@ _BANK, _HANN = mel_bank(), np.hanning(WINDOW + 1)[:-1].astype(np.float32)
 
 
 def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log-mel energies (frames, bands) and frame energies in dB; at least one frame."""
-    frames = 1 + max(0, -(-(len(x) - WINDOW) // HOP))
-    x = np.concatenate((x, np.zeros((frames - 1) * HOP + WINDOW - len(x), np.float32)))
-    seen = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
+    """log-mel energies (frames, bands) and frame energies in dB of 8-bit samples; at
+    least one frame, and silence after the last sample."""
+    n = len(x) * UP // DOWN
+    frames = 1 + max(0, -(-(n - WINDOW) // HOP))
     mel, power = [], []
     for a in range(0, frames, BLOCK_FRAMES):
-        block = seen[a : a + BLOCK_FRAMES] * _HANN
+        b = min(frames, a + BLOCK_FRAMES)
+        y = resample(x, a * HOP, min(n, (b - 1) * HOP + WINDOW))
+        y = np.concatenate((y, np.zeros((b - 1 - a) * HOP + WINDOW - len(y), np.float32)))
+        block = np.lib.stride_tricks.sliding_window_view(y, WINDOW)[::HOP] * _HANN
         power.append(np.einsum("ij,ij->i", block, block))
         spectrum = np.fft.rfft(block, FFT)
-        mel.append((spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ _BANK)
-    return np.log(np.concatenate(mel) + 1e-6).astype(np.float32), 10 * np.log10(np.concatenate(power) + 1e-10)
+        mel.append(np.log((spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ _BANK + 1e-6).astype(np.float32))
+    return np.concatenate(mel), 10 * np.log10(np.concatenate(power) + 1e-10)
 
 
 def segments(energy: np.ndarray, enter: float = ENTER_DB, leave: float = LEAVE_DB) -> list[tuple[int, int]]:
@@ -166,8 +174,7 @@ def audio_features(media: DataFrame) -> DataFrame:
 
     def one(doc: object, n: int, stored: bytes) -> tuple:
         payload = samples_of(stored)
-        x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-        mel, energy = log_mel(resample(x))
+        mel, energy = log_mel(np.frombuffer(payload, np.uint8))
         spans = [{"start_s": a * step, "end_s": b * step} for a, b in segments(energy)]
         return doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), len(mel), spans, tensors(mel)
 
@@ -189,4 +196,4 @@ def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audio_features(media)
     voiced = F.aggregate("segments", F.lit(0.0), lambda total, s: total + (s["end_s"] - s["start_s"]))
     feature = F.concat_ws(":", F.col("frames").cast("string"), F.size("segments").cast("string"), F.round(voiced, 4).cast("string"), F.sha2("tensors", 256))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "frames")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "frames", "segments", "tensors")

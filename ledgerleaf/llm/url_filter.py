@@ -7,11 +7,16 @@ URLs without a rule are looked up in the list: a blocked Bloom filter (blocks of
 exact hash join that removes the false positives; the rest never moves.
 
 The filter is a table of blocks.  Its size follows the list and is known from a
-count: up to BROADCAST_BYTES it is broadcast, beyond that it is joined by block.
+count: up to BROADCAST_BYTES it is broadcast, beyond that it is joined by block with
+the distinct URLs.  Possible hits are counted by URL before they meet the list, so a
+URL travels once however many pages have it, and the URLs found go back to the pages:
+broadcast where they are FOUND_ROWS at most, else joined with hot ones apart.
 Only DataFrame functions are used.
 
-Null URLs and such without "://" have an empty host and path, fit no rule and are
-not in the list.  Repeated rows each give a row.  Other columns are ignored.
+Null, empty and very long URLs are taken like others; such without "://" have an empty
+host and path, fit no rule and are not in the list.  Repeated rows each give a row and
+repeated list entries count once; of rules of equal length the first by name wins.
+Either table may be empty.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from . import common
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS, BLOCK_BITS, BITS_PER_URL = 8, 256, 16
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES, FOUND_ROWS = 64 << 20, 500_000
 #: Query parameters that do not change the page.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
 
@@ -43,8 +48,17 @@ RULES = (
     Rule("allow", "org", "/fr/"),
 )
 
-#: Name parts of hosts whose pages op4 lists.
-LISTED_HOSTS = r"(^|\.)(adult|casino|free-bets|cheap-pills|spam-farm|ads-track)[a-z-]*\."
+#: The list of op4 is made by rule: these sites in each top domain, language and number.
+SITES, DOMAINS, LANGUAGES = ("casino-win", "free-bets", "cheap-pills"), ("example.com", "example.net", "example.org"), ("en", "de", "fr", "es")
+FIRST, LAST = 1000, 5999
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """url: the list of op4, which no other table has a part in."""
+    rows = spark.range(FIRST, LAST + 1)
+    for name, values in (("site", SITES), ("domain", DOMAINS), ("lang", LANGUAGES)):
+        rows = rows.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return rows.select(F.concat(F.lit("https://"), "site", F.lit("."), "domain", F.lit("/"), "lang", F.lit("/"), F.col("id").cast("string")).alias("url"))
 
 
 def _after(url: Column) -> Column:
@@ -103,33 +117,40 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
 def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", listed_verdict: str = "block", other_verdict: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict.  listed: one column of URLs."""
     listed = common.stored(listed.select(canonical(F.col(f"`{listed.columns[0]}`")).alias("canon")).where("canon <> ''").distinct(), "listed-urls")
-    n = listed.count()
-    blocks = max(1, n * BITS_PER_URL // BLOCK_BITS)
+    blocks = max(1, listed.count() * BITS_PER_URL // BLOCK_BITS)
     table = common.stored(bloom(listed, blocks), "bloom-blocks")
-    if blocks * 40 <= BROADCAST_BYTES:
-        table = F.broadcast(table)
 
     url = F.col("url")
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"))
     rows = rows.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canon"))
-    rows = rows.withColumn("r", rule_for(F.col("host"), F.col("path"), rules)).withColumn("block", block_of(F.col("canon"), blocks))
-    out = ["page_id", "host", "path"]
-    ruled = rows.where("r is not null").select(*out, "r.rule", "r.verdict")
-    rest = rows.where("r is null").join(table, "block", "left")
+    rows = rows.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
     possible = F.lit(True)
     for k, bits in enumerate(_words(F.col("canon"))):
-        possible = possible & (F.coalesce(F.col(f"w{k}"), F.lit(0).cast("long")).bitwiseAND(bits) == bits)
-    no_rule = F.lit(None).cast("string").alias("rule")
-    misses = rest.where(~possible).select(*out, no_rule, F.lit(other_verdict).alias("verdict"))
-    hits = rest.where(possible).select(*out, "canon").join(listed.withColumn("is_listed", F.lit(True)), "canon", "left")
-    hits = hits.select(*out, no_rule, F.when(F.col("is_listed"), F.lit(listed_verdict)).otherwise(F.lit(other_verdict)).alias("verdict"))
-    return ruled.unionByName(misses).unionByName(hits)
+        possible = possible & (F.col(f"w{k}").bitwiseAND(bits) == bits)
+    asked = rows.where("r is null and canon <> ''").select("canon").withColumn("block", block_of(F.col("canon"), blocks))
+    if blocks * 40 <= BROADCAST_BYTES:
+        hits = asked.join(F.broadcast(table), "block").where(possible).groupBy("canon").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counted = asked.groupBy("canon", "block").agg(F.count(F.lit(1)).alias("n"))
+        hits = counted.join(table, "block").where(possible).select("canon", "n")
+    found = common.stored(hits.join(listed, "canon").withColumn("is_listed", F.lit(True)), "urls-found")
+
+    probe = F.when(F.col("r").isNull(), F.col("canon"))
+    rows = rows.select("page_id", "host", "path", "r", probe.alias("canon"))
+    if found.count() <= FOUND_ROWS:
+        joined = rows.join(F.broadcast(found), "canon", "left")
+    else:
+        most = common.hot_bound(pages.count())
+        hot, cold = F.broadcast(found.where(F.col("n") > most)), found.where(F.col("n") <= most)
+        rest = rows.where("canon is not null").join(hot.select("canon"), "canon", "left_anti").join(cold, "canon", "left")
+        ruled = rows.where("canon is null").select("*", F.lit(None).cast("long").alias("n"), F.lit(None).cast("boolean").alias("is_listed"))
+        joined = rows.join(hot, "canon").unionByName(rest).unionByName(ruled)
+    verdict = F.when(F.col("r").isNotNull(), F.col("r.verdict")).when(F.col("is_listed"), F.lit(listed_verdict)).otherwise(F.lit(other_verdict))
+    return joined.select("page_id", "host", "path", "r.rule", verdict.alias("verdict"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = common.table(spark, sf_dir, "pages")
-    listed = pages.where(host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
-    return judge(pages, listed)
+    return judge(common.table(spark, sf_dir, "pages"), listed_urls(spark))
 
 
 OP4_SQL = r"""
@@ -140,7 +161,9 @@ c AS (SELECT page_id, host, path, list_sort(list_filter(string_split(query, '&')
 d AS (SELECT page_id, host, path, CASE WHEN host = '' THEN '' ELSE
       regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)\.', '') || regexp_replace(path, '(\.html?|/)+$', '')
       || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canon FROM c),
-l AS (SELECT DISTINCT canon FROM d WHERE regexp_matches(host, '(^|\.)(adult|casino|free-bets|cheap-pills|spam-farm|ads-track)[a-z-]*\.') AND canon <> ''),
+l AS (SELECT s.site || '.' || m.dom || '/' || g.lang || '/' || CAST(n.i AS VARCHAR) AS canon
+      FROM (SELECT unnest(['casino-win', 'free-bets', 'cheap-pills']) AS site) s, (SELECT unnest(['example.com', 'example.net', 'example.org']) AS dom) m,
+           (SELECT unnest(['en', 'de', 'fr', 'es']) AS lang) g, (SELECT unnest(range(1000, 6000)) AS i) n),
 r AS (SELECT d.*, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
       WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
       WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
