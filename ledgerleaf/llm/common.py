@@ -154,15 +154,14 @@ def crc_mod(column: str, by: int) -> Column:
     return F.crc32(F.col(f"`{column}`").cast("string").cast("binary")) % F.lit(by)
 
 
-def stratified(rows: DataFrame, key: str, quotas: Callable[[dict], dict], late: Column, *by: str) -> DataFrame:
+def stratified(rows: DataFrame, key: str, quotas: Callable[[dict], dict], *by: str) -> DataFrame:
     """Of each value of key, the quotas(counts) rows with the least hashes of the
-    columns `by`; rows with `late` only where the others are too few.  Adds __h, the
-    order.
+    columns `by`.  Adds __h, the order.
 
     Rows are counted by the bits of their hash, which says how far down enough rows
     of each key lie, so that only about twice the sample is dealt by key."""
     spark = rows.sparkSession
-    h = F.xxhash64(*by).bitwiseAND(F.lit((1 << 61) - 1)) + F.when(late, F.lit(1 << 61)).otherwise(F.lit(0))
+    h = F.xxhash64(*by).bitwiseAND(F.lit((1 << 61) - 1))
     rows = rows.withColumn("__h", h).withColumn("__bits", F.length(F.bin("__h")))
     levels: dict = {}
     for r in rows.groupBy(key, "__bits").count().collect():

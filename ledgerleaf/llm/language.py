@@ -10,14 +10,17 @@ by landmarks, kernel rows by the dual weights.
 
 The sample is bounded: of each language the SAMPLE texts with the least hashes of
 id and text, fewer where the languages are many: MAX_SAMPLE in all, but one of each
-language at least.  Texts without letters do not count; of those over SAMPLE_BYTES
-bytes the first SAMPLE_BYTES / 4 characters do, where a language has too few others.
-No language is left out.  There are LANDMARKS landmarks, or one for each language
-up to MAX_LANDMARKS.
-
-Null texts and such without a letter are "und" with score 0.  The score is the
-softmax of the regressions, sharpened by SHARP, of the predicted language; ties
-go to the first name.  Without any training text every text is "und".
+language at least.  Texts without letters do not count.  Whole texts are made to
+presence bits where they lie, so the driver gets HASHES bits a text.  No language is
+left out.  There are LANDMARKS landmarks, or one for each language up to
+MAX_LANDMARKS.
+
+Null texts and such without a letter are "und" with score 0.  Very long texts are
+taken whole.  The score is the softmax of the regressions, sharpened by SHARP, of the
+predicted language; ties go to the first name.  Without any training text every text
+is "und".  Repeated rows are each a row, in the sample too, and equal texts have equal
+results; an empty table gives an empty result.  Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -32,9 +35,9 @@ from pyspark.sql import types as T
 
 from . import common
 
-HASHES = 1 << 13
+HASHES = 1 << 15
 NGRAMS = (1, 2, 3, 4)
-LANDMARKS, SAMPLE, SAMPLE_BYTES = 96, 150, 32_768
+LANDMARKS, SAMPLE = 96, 150
 RIDGE, SHARP = 1e-3, 8.0
 #: Training texts in all (more only if there are more languages), and landmarks at most.
 MAX_SAMPLE, MAX_LANDMARKS = 4000, 1024
@@ -75,21 +78,34 @@ class Model:
     weights: np.ndarray
 
 
-def train(texts: list[str], names: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """One-versus-rest kernel ridge regression in the Nyström space."""
-    x = np.stack([presence(t) for t in texts]) if texts else np.zeros((0, HASHES), np.float32)
-    known = x.any(1)
-    x, own = x[known], np.array(names)[known] if len(names) else np.array([])
+def packed(texts: list[str]) -> list[bytes]:
+    """Presence as bits."""
+    return [np.packbits(presence(t) > 0).tobytes() for t in texts]
+
+
+def _unpacked(bits: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32)
+
+
+def train(bits: list[bytes], names: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """One-versus-rest kernel ridge regression in the Nyström space, of packed() texts."""
+    known = [i for i, b in enumerate(bits) if any(b)]
+    bits, own = [bits[i] for i in known], np.array([names[i] for i in known])
     classes = sorted(set(own.tolist()))
     if not classes:
         return Model([], np.zeros((0, HASHES), np.float32), np.zeros((0, 0)))
     # landmarks in turn from each language, so that rare ones are spanned too
-    order = sorted(range(len(own)), key=lambda i: ((own[:i] == own[i]).sum(), own[i]))
-    marks = x[order[: max(landmarks, min(len(classes), MAX_LANDMARKS))]]
+    seen: dict[str, int] = {}
+    turn = []
+    for name in own.tolist():
+        turn.append(seen.get(name, 0))
+        seen[name] = turn[-1] + 1
+    order = sorted(range(len(own)), key=lambda i: (turn[i], own[i]))
+    marks = _unpacked([bits[i] for i in order[: max(landmarks, min(len(classes), MAX_LANDMARKS))]])
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     kept = values > 1e-6 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])
-    z = kernel(x, marks) @ root
+    z = np.concatenate([kernel(_unpacked(bits[a : a + BATCH]), marks) for a in range(0, len(bits), BATCH)]) @ root
     z1 = np.hstack([z, np.ones((len(z), 1))])
     weigh = np.array([len(own) / (len(classes) * (own == c).sum()) for c in own])[:, None]
     # 1 for the language and -1 for the rest: twice the sums of each language less all
@@ -115,21 +131,25 @@ def predict(texts: list[str], model: Model) -> list[dict]:
     return out
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+_BITS = T.StructType([T.StructField("bits", T.BinaryType())])
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Trains on rows with a language, ids whose crc32 modulo 4 is 2 left out."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), common.text_of(text_col).alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (common.crc_mod("doc_id", 4) != 2))
-    late = F.octet_length("text") > sample_bytes
-    rows = rows.withColumn("late", late).withColumn("text", F.when(late, F.substring("text", 1, max(1, sample_bytes // 4))).otherwise(F.col("text")))
     # letters, also those newer than the JVM's tables
     rows = rows.where(F.col("text").rlike(r"[\p{L}\p{Cn}]"))
 
     def quotas(counts: dict) -> dict:
         return dict.fromkeys(counts, max(1, min(sample, MAX_SAMPLE // max(1, len(counts)))))
 
-    found = common.stratified(rows, "lang", quotas, F.col("late"), "doc_id", "text").collect()
-    found.sort(key=lambda r: (r["__h"], str(r.doc_id), r.text, r.lang))
-    return train([r.text for r in found], [r.lang for r in found])
+    common.prepare(docs.sparkSession)
+    chosen = common.stratified(rows, "lang", quotas, "doc_id", "text")
+    bits = common.per_text(lambda: lambda texts: [{"bits": b} for b in packed(texts)], _BITS)("text")["bits"]
+    found = chosen.select("__h", "doc_id", "lang", F.xxhash64("text").alias("t"), bits.alias("bits")).collect()
+    found.sort(key=lambda r: (r["__h"], str(r.doc_id), r.t, r.lang))
+    return train([r.bits for r in found], [r.lang for r in found])
 
 
 _ROW = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -7,18 +7,20 @@ layer turns the average into class probabilities.  The
 vectors and the layer are trained by stochastic gradient descent in numpy, on
 whole texts of a bounded sample of labelled documents: SAMPLE of them, half of
 each class (more of one if the other has fewer), with the least hashes of their
-ids.  Documents over SAMPLE_BYTES bytes count by their first SAMPLE_BYTES / 4
-characters, and only where a class has too few others.
-Words are runs of non-space.
+ids.  The texts are made to features where they lie, so the driver gets BUCKETS
+numbers a document at most.  Words are runs of non-space.
 
 Scoring needs no vectors: both steps before the softmax are linear, so each
 feature adds a number to the logit, and a word's numbers are added up once a
-worker for each distinct word (a bounded table).  A score depends on the text
-alone.
+worker for each distinct word (a table of KEPT_WORDS words of KEPT_CHARS characters
+at most; longer ones are added up where they occur).  A score depends on the text
+alone, equal texts have equal scores, and very long texts are taken whole.
 
 Null and empty texts get the score of an average without terms: the layer's
 bias.  Without two classes in the sample every score is that of the class there
-is, or 0.5 without labels.
+is, or 0.5 without labels.  Of a repeated id with labels or texts that differ the
+least label and the least text are learned; every row is scored.  An empty table gives
+an empty result.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,9 +39,9 @@ from . import common
 
 BUCKETS, WIDTH = 1 << 17, 16
 EPOCHS, RATE = 4, 0.6
-SAMPLE, SAMPLE_BYTES = 1000, 32_768
+SAMPLE = 1000
 #: Distinct words that a worker keeps the numbers of.
-KEPT_WORDS = 200_000
+KEPT_WORDS, KEPT_CHARS = 200_000, 64
 #: The bucket of a word that repeats the one before it.
 REPEAT = 0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -89,8 +91,8 @@ def shares_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, (n / n.sum()).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
-    """Two classes; each class weighs the same in sum."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
+    """Two classes; each class weighs the same in sum.  rows: shares_of() of each text."""
     y = np.array(labels, np.int64)
     share = np.bincount(y, minlength=2)
     if not len(y) or not share.all():
@@ -100,7 +102,6 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32)
-    rows = [shares_of(t) for t in texts]
     steps = epochs * len(rows)
     done = 0
     for _ in range(epochs):
@@ -142,7 +143,11 @@ class Scorer:
         if fresh and len(self.sums) + len(fresh) > KEPT_WORDS:
             self.sums, self.sizes, fresh = {}, {}, set().union(*cuts)
         self._learn(list(fresh))
-        return [self._score(c) for c in cuts]
+        found = [self._score(c) for c in cuts]
+        for w in fresh:
+            if len(w) > KEPT_CHARS:
+                del self.sums[w], self.sizes[w]
+        return found
 
     def _score(self, words: list[str]) -> float:
         if not words:
@@ -153,26 +158,32 @@ class Scorer:
         return round(float(1 / (1 + np.exp(-(total / n + self.model.bias)))), 9)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+_SHARES = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("part", T.ArrayType(T.FloatType()))])
+
+
+def _shares(texts: list[str]) -> list[dict]:
+    return [{"ids": ids.astype(np.int32), "part": part} for ids, part in map(shares_of, texts)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Trains on rows of docs with a label, ids whose crc32 modulo 3 is 1 left out.
 
     The sample is drawn for each class from the labels that have a document, one row
-    for each id (the least text of a repeated one); only its texts come to the driver,
-    sample * sample_bytes at most."""
+    for each id (the least text of a repeated one)."""
+    common.prepare(docs.sparkSession)
     rows = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     rows = rows.where(F.col("label").isin(0, 1) & (common.crc_mod("doc_id", 3) != 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
-    late = F.octet_length("text") > sample_bytes
-    texts = common.id_and_text(docs, id_col, text_col).withColumn("late", late)
-    rows = texts.groupBy("doc_id").agg(F.min("late").alias("late")).join(rows, "doc_id")
+    texts = common.id_and_text(docs, id_col, text_col)
+    rows = texts.select("doc_id").distinct().join(rows, "doc_id")
 
     def quotas(counts: dict) -> dict:
         return {k: max(1, sample // 2, sample - sum(counts.values()) + n) for k, n in counts.items()}
 
-    chosen = common.stratified(rows, "label", quotas, F.col("late"), "doc_id").select("doc_id", "label", "__h")
-    texts = texts.withColumn("text", F.when(F.col("late"), F.substring("text", 1, max(1, sample_bytes // 4))).otherwise(F.col("text")))
-    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("__h", "doc_id", "label").agg(F.min(F.struct("late", "text")).alias("r")).collect()
+    chosen = common.stratified(rows, "label", quotas, "doc_id").select("doc_id", "label", "__h")
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("__h", "doc_id", "label").agg(F.min("text").alias("text"))
+    found = found.select("__h", "doc_id", "label", common.per_text(lambda: _shares, _SHARES)("text").alias("r")).collect()
     found = sorted(found, key=lambda r: (r["__h"], r.doc_id))
-    return train([r.r.text for r in found], [r.label for r in found])
+    return train([(np.array(r.r.ids, np.int64), np.array(r.r.part, np.float32)) for r in found], [r.label for r in found])
 
 
 _SCORE = T.StructType([T.StructField("score", T.DoubleType())])
