@@ -3,7 +3,9 @@
 A document becomes its token ids and an end id; one longer than a sequence is
 cut into full pieces and a rest.  Every piece is a vector (tokens, documents,
 attention cost = tokens squared) and a sequence has a capacity for each of
-these.  Pieces are taken from the largest down; among the open sequences with
+these.  A full piece alone has the attention cost 2048 squared, and costs of parts never
+add up to more than that of their sum, so with an attention capacity that lets a full
+piece in, tokens bind first; op10 packs with DOCUMENTS, which does bind.  Pieces are taken from the largest down; among the open sequences with
 room in every dimension, a piece goes to the one that scores best by the
 weighted norm of what would be left (least) or the weighted dot product of piece
 and residual (greatest), ties to the oldest.
@@ -12,8 +14,11 @@ Pieces are written once and dealt round-robin to groups of a bounded number, and
 each group is packed alone: a group wastes less than a sequence, and no group
 grows with the data or with any key.
 
-Null and empty texts give one piece, the end id alone.  Repeated rows are packed
-each for itself.  Other columns of the input are ignored.
+Null and empty texts give one piece, the end id alone; very long texts are cut into
+as many pieces as it takes; an empty table gives an empty result.  Repeated rows are
+packed each for itself; ids are of any type and may be null.  Pieces of equal size
+are taken in their order.  Other columns of the input are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -29,8 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 from .tokens import encoder, vocabulary
 
-_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PACKED = f"{_PIECE}, sequence_id long, offset long"
+_PIECE = "piece int, start long, length long, ids_crc32 long"
+#: Documents in a sequence at most, as registered.
+DOCUMENTS = 64
 
 
 def pack(lengths: np.ndarray, tokens: int = 2048, documents: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), by: str = "norm") -> tuple[np.ndarray, np.ndarray]:
@@ -87,10 +93,13 @@ def pieces_of(df: DataFrame, vocabulary_path: str, end_id: int = 0, tokens: int
             for doc, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
                 ids = np.append(np.frombuffer(raw, enc.dtype), enc.dtype.type(end_id)).astype("<u4")
                 rows += [(doc, k, a, len(x := ids[a : a + tokens]), zlib.crc32(x.tobytes())) for k, a in enumerate(range(0, len(ids), tokens))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     rows = common.id_and_text(df, id_col, text_col)
-    return rows.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(cut, _PIECE)
+    kind = rows.schema["doc_id"].dataType
+    schema = pa.schema([("doc_id", common._arrow(kind)), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    return rows.mapInArrow(cut, f"doc_id {kind.simpleString()}, {_PIECE}")
 
 
 def pack_documents(df: DataFrame, vocabulary_path: str, end_id: int = 0, tokens: int = 2048, group: int = 16384, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
@@ -108,8 +117,9 @@ def pack_documents(df: DataFrame, vocabulary_path: str, end_id: int = 0, tokens:
         t = t.append_column("sequence_id", pa.array(sequence + (TaskContext.get().partitionId() << 32)))
         yield from t.append_column("offset", pa.array(offset)).combine_chunks().to_batches()
 
-    return pieces.repartition(groups).mapInArrow(place, _PACKED)
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    return pieces.repartition(groups).mapInArrow(place, f"doc_id {kind}, {_PIECE}, sequence_id long, offset long")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(common.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return pack_documents(common.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), documents=DOCUMENTS)

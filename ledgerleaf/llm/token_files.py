@@ -4,8 +4,9 @@ Layout of a data set, one pair of files for each range of ids:
 
 * ``<part>-<attempt>.bin``: the ids of its documents, one after another, as
   little-endian unsigned integers of the narrowest width for the vocabulary;
-* ``<part>-<attempt>.idx``: n (uint64), then n document ids (int64), then n + 1
-  offsets (uint64, in ids, from 0).
+* ``<part>-<attempt>.idx``: n (uint64), then n document ids (int64; 0 for a missing
+  one), then n + 1 offsets (uint64, in ids, from 0), then n bytes, 1 where the id is
+  missing.
 
 Documents are dealt out by ranges of (doc_id, text hash), so files hold them in
 ascending order; a manifest names the files of the attempts that succeeded, and
@@ -14,8 +15,12 @@ before it.  A task that runs again writes under another name, so a lost executor
 leaves a stray file at most.  Local files are memory-mapped, others are read
 through their file system.
 
-Null and empty texts give the end id alone.  Equal doc_ids keep all their rows,
-ordered by a hash of the text.
+Null and empty texts give the end id alone; very long texts are written in parts; an
+empty table gives no files and an empty result.  Document ids are integers (others
+raise TypeError); missing ones come first and stay missing.  Equal doc_ids keep all
+their rows, ordered by a hash of the text; rows that are equal in both lie together.
+The driver collects a row for each file.  Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .tokens import encoder, vocabulary
@@ -43,6 +49,8 @@ def write_token_files(df: DataFrame, out: str, vocabulary_path: str, end_id: int
     n_docs, n_tokens, base (ids in all the files before)."""
     spark = df.sparkSession
     common.prepare(spark)
+    if not isinstance(df.schema[id_col].dataType, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{id_col} is no integer column")
     filesystem, root = fs.FileSystem.from_uri(out)
     filesystem.create_dir(root, recursive=True)
 
@@ -52,9 +60,10 @@ def write_token_files(df: DataFrame, out: str, vocabulary_path: str, end_id: int
         part = TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex}"
         where, top = fs.FileSystem.from_uri(out)
-        ids, lengths, sink, held, size = [], [], None, [], 0
+        ids, missing, lengths, sink, held, size = [], [], [], None, [], 0
         for batch in batches:
-            ids.append(batch.column(0).to_numpy(zero_copy_only=False).astype("<i8"))
+            ids.append(batch.column(0).fill_null(0).to_numpy().astype("<i8"))
+            missing.append(batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
             for raw in enc.encode(batch.column(1).to_pylist()):
                 lengths.append(len(raw) // enc.dtype.itemsize + 1)
                 held += (raw, end)
@@ -73,6 +82,7 @@ def write_token_files(df: DataFrame, out: str, vocabulary_path: str, end_id: int
             f.write(np.array([len(lengths)], "<u8").tobytes())
             f.write(np.concatenate(ids).tobytes())
             f.write(offsets.tobytes())
+            f.write(np.concatenate(missing).tobytes())
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "width": pa.array([enc.dtype.itemsize], pa.int32()), "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])]})
 
     rows = common.id_and_text(df, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
@@ -99,14 +109,15 @@ def read_token_files(manifest: DataFrame, out: str) -> DataFrame:
         where, top = fs.FileSystem.from_uri(out)
         for batch in batches:
             for r in batch.to_pylist():
-                index = _mapped(where, f"{top}/{r['file']}.idx", "<u8")
-                n = int(index[0])
+                raw = _mapped(where, f"{top}/{r['file']}.idx", "<u1")
+                n = int(raw[:8].view("<u8")[0])
+                index, missing = raw[: 8 * (2 * n + 2)].view("<u8"), np.asarray(raw[8 * (2 * n + 2) :]).astype(bool)
                 ids, offsets = np.asarray(index[1 : n + 1]).view("<i8"), np.asarray(index[n + 1 : 2 * n + 2]).astype(np.int64)
                 data = _mapped(where, f"{top}/{r['file']}.bin", f"<u{r['width']}")
                 for a in range(0, n, 4096):
                     at = offsets[a : a + 4097]
                     crc = [zlib.crc32(data[i:j].astype("<u4").tobytes()) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-                    yield pa.RecordBatch.from_pydict({"doc_id": ids[a : a + 4096], "start": at[:-1] + r["base"], "n_tokens": np.diff(at), "ids_crc32": pa.array(crc, pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[a : a + 4096], mask=missing[a : a + 4096]), "start": at[:-1] + r["base"], "n_tokens": np.diff(at), "ids_crc32": pa.array(crc, pa.int64())})
 
     spread = manifest.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 2))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
