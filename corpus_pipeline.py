@@ -1,7 +1,10 @@
 """From raw documents to packed training sequences, in stages.
 
 Every stage works on all that the one before it kept, is written as Parquet and
-read again; all but the last return the columns of documents.
+read again; all but the last return the columns of documents.  Null and empty texts,
+repeated rows, ties, very long texts and an empty table are handled as the operators'
+docstrings say: an empty text is scored, deduplicated, kept and packed like any other.
+Extra columns, whatever their names, go through to the last stage, which drops them.
 """
 
 from __future__ import annotations
@@ -31,12 +34,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mask; n_chars follows the text."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return secrets.redact(docs, vocabulary_path=vocabulary("word_bpe_49k.json")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), documents=packing.DOCUMENTS)
 
 
 STAGES = [
