@@ -364,8 +364,9 @@ def _starred(nodes: DataFrame) -> DataFrame:
     return common.stored(members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
 
 
-def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b of links that make the same components as all links.  nodes: node, keys."""
+def _roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, root of the components of all links, for nodes that are no root.  nodes:
+    node, keys."""
     pairs = _starred(nodes)
     needed = _texts_of(pairs, texts)
     links = _compared(pairs, needed).where(F.col("similarity") >= THRESHOLD).select("a", "b")
@@ -376,10 +377,11 @@ def _links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     around = common.stored(around.select("a", "b", "root", (F.col("root") != F.col("centre_root")).alias("open"), "n"), "around")
     opened = common.stored(around.groupBy("a").agg(F.max("open").alias("some"), F.count(F.lit(1)).alias("n")).where("some").select("a", "n"), "open-centres")
     if not opened.take(1):
-        return links
+        return roots
     around = common.stored(common.hot_join(around.drop("n"), opened, ["a"], pairs.count()).drop("n"), "around")
     more = common.stored(_edit_links(_edits(around, needed)), "pairs")
-    return links.union(_compared(more, needed).where(F.col("similarity") >= THRESHOLD).select("a", "b"))
+    more = _compared(more, needed).where(F.col("similarity") >= THRESHOLD).select("a", "b")
+    return components(roots.select("root", "node").union(more)) if more.take(1) else roots
 
 
 def classes(base: DataFrame) -> DataFrame:
@@ -389,7 +391,7 @@ def classes(base: DataFrame) -> DataFrame:
         alike = base.groupBy("same").agg(F.min("node").alias("node"), F.min(F.struct("doc", "node")).alias("least"), F.count(F.lit(1)).alias("n"))
         alike = common.stored(alike, "alike")
         nodes = base.select("node", "keys").where(F.size("keys") > 0).join(alike.select("node"), "node", "left_semi")
-        roots = components(_links(nodes, base.select("node", "text")))
+        roots = _roots(nodes, base.select("node", "text"))
         alike = alike.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         whole = alike.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("m"))
         whole = common.stored(whole, "roots")
