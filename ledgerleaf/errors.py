@@ -65,3 +65,7 @@ class CommitConflict(StoreError):
 
 class QueryError(StoreError):
     """A query cannot be built."""
+
+
+class ProjectionPaused(StoreError):
+    """A projection that was to run to the head is paused."""

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import QueryError
+
 WORD = r"[A-Za-z0-9À-ɏ]+"
 _WORD = re.compile(WORD)
 
@@ -96,8 +98,19 @@ def stem(w: str) -> str:
     return w
 
 
+CONFIGS = ("simple", "english")
+
+
+def known_config(config: str) -> str:
+    """The configuration, or QueryError: words of other languages cannot be stemmed here."""
+    if config not in CONFIGS:
+        raise QueryError(f"no text search configuration {config}; there are {', '.join(CONFIGS)}")
+    return config
+
+
 def lexemes_of(text: str, config: str = "english") -> list[str]:
     """Distinct lexemes of a text, in order of their first place."""
+    known_config(config)
     words = [w.lower() for w in _WORD.findall(text)]
     if config == "english":
         words = [stem(w) for w in words if w not in STOP_WORDS]
@@ -106,6 +119,7 @@ def lexemes_of(text: str, config: str = "english") -> list[str]:
 
 def lexemes(text: Column, config: str = "english") -> Column:
     """Distinct lexemes of a text column; "simple" needs no Python."""
+    known_config(config)
     if config == "simple":
         return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0), F.lower))
 
@@ -121,9 +135,10 @@ def searchable(doc: Column) -> Column:
     return F.to_json(doc)
 
 
-def matches(text: Column, query: str, config: str = "english") -> Column:
-    """Whether the text has every lexeme of the query."""
+def matches(text: Column, query: str, config: str = "english", kept: Column | None = None) -> Column:
+    """Whether the text has every lexeme of the query; kept: its lexemes, if a column has them."""
     wanted = lexemes_of(query, config)
     if not wanted:
         return F.lit(False)
-    return F.size(F.array_except(F.array(*map(F.lit, wanted)), lexemes(text, config))) == 0
+    found = lexemes(text, config) if kept is None else kept
+    return F.size(F.array_except(F.array(*map(F.lit, wanted)), found)) == 0

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import ValidationFailed
 from ..plans import event_ops as ev
 from ..sources.commitlog import Change
-from ..store import now
+from ..store import key_of, may_hold, now
 from . import folds
 from .events import Envelope, Event, Events, envelopes
 
@@ -51,7 +51,7 @@ class AggregateRepository:
         """From the snapshot on; only later events are read."""
         agg = kind()
         store, tenant = self.events.store, self.events.tenant
-        row = store.scan("snapshots", tenant).where(F.col("stream_id") == str(stream_id)).orderBy(F.desc("version")).first()
+        row = store.scan("snapshots", tenant, may_hold(key_of(store.row_tenant(tenant), stream_id))).where(F.col("stream_id") == str(stream_id)).orderBy(F.desc("version")).first()
         if row is not None:
             agg.hydrate(json.loads(row.body), row.version)
         rest = self.events.stream(stream_id).where(F.col("stream_seq") > agg.version)
@@ -84,7 +84,7 @@ class AggregateRepository:
 def save_snapshots(events: Events, found: list[tuple[str, int, Any]]) -> None:
     own, at = events.store.row_tenant(events.tenant), now()
     rows = [(own, s, v, json.dumps(b), at) for s, v, b in found]
-    events.store.commit(lambda state: Change(add={"snapshots": events.store.frame(rows, "snapshots")}), events.tenant)
+    events.store.commit(lambda state: Change(add={"snapshots": events.store.part(rows, "snapshots", "stream_id")}), events.tenant)
 
 
 class Snapshotter:

@@ -2,25 +2,31 @@
 
 global_seq is given at commit, so it is dense and no reader can miss a late
 number; stream_seq follows the head of the stream over hot and cold events.
+
+A folder of events is of one retention class and its facts name its sequence numbers
+and streams, so the head of the log is a control value, the head of a stream and the
+next batch come from the few folders that can hold them, and hot reads open no cold
+folder.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
-from datetime import datetime
+from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..context import Context
 from ..errors import IdempotencyConflict, SchemaViolation, StreamArchived, StreamVersionConflict
 from ..functions.json_schema import violations
 from ..plans import event_ops as ev
-from ..sources.commitlog import Change, State
-from ..store import Store, now
+from ..sources.commitlog import Change, Facts, Part, State
+from ..store import MAX_KEYS, Store, key_of, may_hold, merged_facts, now
 from .upcasting import UpcasterRegistry
 
 ANY, NO_STREAM = None, 0
@@ -59,6 +65,15 @@ def envelopes(events: DataFrame) -> list[Envelope]:
     return [Envelope(r[0], r[1], r[2], r[3], json.loads(r[4]) if r[4] else None, json.loads(r[5]) if r[5] else {}, *r[6:]) for r in rows]
 
 
+def _aware(at: datetime) -> datetime:
+    return at if at.tzinfo else at.astimezone(timezone.utc)
+
+
+def _utc(at: datetime) -> str:
+    """Spark gives times without a zone, in that of this machine."""
+    return _aware(at).astimezone(timezone.utc).isoformat()
+
+
 @dataclass
 class Events:
     store: Store
@@ -79,19 +94,54 @@ class Events:
         return replace(self, upcasters=registry)
 
     # --- reads -------------------------------------------------------------------
-    def frame(self) -> DataFrame:
-        return ev.visible(self.store.scan("events", self.tenant), self.archived)
-
-    def after(self, last: int, limit: int | None = None) -> DataFrame:
-        """Global order, upcast."""
-        found = ev.after(self.frame(), last, limit)
-        return self.upcasters.apply(found)
+    def _own(self, facts: Facts) -> bool:
+        """Folders with events of the classes that are read."""
+        return self.archived or facts.get("class") != ev.COLD
+
+    def frame(self, wanted: Callable[[Facts], bool] = lambda facts: True, state: State | None = None) -> DataFrame:
+        return ev.visible(self.store.scan("events", self.tenant, lambda f: self._own(f) and wanted(f), state), self.archived)
+
+    def _pairs(self, wanted: Callable[[Facts], bool], state: State) -> list | None:
+        """The types and versions in folders, or None if one does not name its own."""
+        log = self.store.log(self.tenant)
+        found = [state.facts.get(f, {}).get("types") for f in log.folders("events", state, lambda f: self._own(f) and wanted(f))]
+        return None if None in found else [tuple(t) for types in found for t in types]
+
+    def window(self, last: int, limit: int | None, state: State) -> int | None:
+        """A sequence number up to which there are `limit` events after `last`, as far as
+        the folders' facts tell; None: there may be fewer, or all are wanted."""
+        if limit is None or self.store.row_tenant(self.tenant) is not None:
+            return None
+        log = self.store.log(self.tenant)
+        found = [state.facts.get(f, {}) for f in log.folders("events", state, self._own)]
+        if any("hi" not in f or "n" not in f for f in found):
+            return None
+        found, n = sorted((f for f in found if f["hi"] > last), key=lambda f: f["hi"]), 0
+        for f in found:
+            n += f["n"] if f["lo"] > last else 0
+            if n >= limit:
+                return f["hi"]
+        return None
+
+    def after(self, last: int, limit: int | None = None, state: State | None = None) -> DataFrame:
+        """Global order, upcast; only the folders of the next `limit` events are read."""
+        state = state or self.store.log(self.tenant).state()
+        upto = self.window(last, limit, state)
+
+        def wanted(facts: Facts) -> bool:
+            return facts.get("hi", last + 1) > last and (upto is None or facts.get("lo", upto) <= upto)
+
+        found = self.frame(wanted, state)
+        if upto is not None:
+            found = found.where(F.col("global_seq") <= upto)
+        return self.upcasters.apply(ev.after(found, last, limit), pairs=self._pairs(wanted, state))
 
     def fetch_after(self, last: int, limit: int) -> list[Envelope]:
         return envelopes(self.after(last, limit).orderBy("global_seq"))
 
     def stream(self, stream_id: str, after: int | None = None, limit: int | None = None, ascending: bool = True) -> DataFrame:
-        return ev.stream(self.frame(), str(stream_id), after, limit, ascending)
+        key = key_of(self.store.row_tenant(self.tenant), stream_id)
+        return ev.stream(self.frame(may_hold(key)), str(stream_id), after, limit, ascending)
 
     def read_stream(self, stream_id: str) -> list[tuple[int, Event]]:
         """(stream_seq, event), as stored: not upcast."""
@@ -102,7 +152,27 @@ class Events:
         return envelopes(self.upcasters.apply(self.stream(stream_id)).orderBy("stream_seq"))
 
     def head_sequence(self) -> int:
-        return ev.head_sequence(self.frame()).first()[0]
+        """The last sequence number that is visible; of folders that name theirs, only
+        the facts are read."""
+        state = self.store.log(self.tenant).state()
+        found = [state.facts.get(f, {}) for f in self.store.log(self.tenant).folders("events", state, self._own)]
+        if self.store.row_tenant(self.tenant) is None and all("hi" in f and ("class" in f or self.archived) for f in found):
+            return max((f["hi"] for f in found), default=0)
+        return ev.head_sequence(self.frame(state=state)).first()[0]
+
+    def stream_head(self, state: State, stream: str) -> int:
+        """The last stream_seq over hot and cold events; 0 for a new stream.  A job runs
+        only for folders that are too large to name their streams."""
+        own, log = self.store.row_tenant(self.tenant), self.store.log(self.tenant)
+        key = key_of(own, stream)
+        facts = [state.facts.get(f, {}) for f in state.tables.get("events", [])]
+        head = max((f["keys"][key] for f in facts if key in f.get("keys", ())), default=0)
+        if any("keys" not in f for f in facts):
+            known = log.read("events", state, lambda f: "keys" not in f).where(F.col("stream_id") == stream)
+            if own is not None:
+                known = known.where(F.col("tenant_id") == own)
+            head = max(head, known.agg(F.coalesce(F.max("stream_seq"), F.lit(0))).first()[0])
+        return head
 
     # --- appends -----------------------------------------------------------------
     def append(self, stream_id: str, events: list[Event], expected: int | None = ANY, context: Context | None = None, idempotency_key: str | None = None) -> int:
@@ -134,21 +204,22 @@ class Events:
         tenant = calls[-1][3].tenant
         own, log = self.store.row_tenant(tenant), self.store.log(tenant)
         seq, heads = state.values.get("global_seq", 0), {}
-        known = log.read("events", state)
-        if own is not None:
-            known = known.where(F.col("tenant_id") == own)
+        reader = self if self.tenant == tenant else replace(self, tenant=tenant)
         for stream, events, expected, about in calls:
             cold = self._guard(state, stream, own)
             if stream not in heads:
-                heads[stream] = known.where(F.col("stream_id") == stream).agg(F.coalesce(F.max("stream_seq"), F.lit(0))).first()[0]
+                heads[stream] = reader.stream_head(state, stream)
             if expected is not None and heads[stream] != expected:
                 raise StreamVersionConflict(f"{stream}: expected {expected}, the head is {heads[stream]}")
             if heads[stream] == 0 and not any(s[1] == stream for s in streams):
                 streams.append((own, stream, None, None, None, ev.HOT, state.version + 1))
             key = about.headers.get(IDEMPOTENCY)
             if key is not None:
-                kept = log.read("idempotency", state).where((F.col("key") == str(key)) & F.col("tenant_id").eqNullSafe(F.lit(own)))
-                if (own, str(key)) in keys or kept.take(1):
+                name, wide = key_of(own, key), [f for f in log.folders("idempotency", state) if "keys" not in state.facts.get(f, {})]
+                kept = any(name in state.facts.get(f, {}).get("keys", ()) for f in log.folders("idempotency", state))
+                if not kept and wide:
+                    kept = bool(log.read_folders("idempotency", wide).where((F.col("key") == str(key)) & F.col("tenant_id").eqNullSafe(F.lit(own))).take(1))
+                if (own, str(key)) in keys or kept:
                     raise IdempotencyConflict(str(key))
                 keys.append((own, str(key)))
             for e in events:
@@ -158,16 +229,61 @@ class Events:
                 seq, heads[stream] = seq + 1, heads[stream] + 1
                 rows.append((seq, stream, heads[stream], e.typ, json.dumps(e.body), json.dumps(about.headers), about.causation_id, about.correlation_id, e.version, own, about.user_id, e.typ == TOMBSTONE, at, ev.COLD if cold else ev.HOT))
         if rows:
-            out.add["events"] = self.store.frame(rows, "events")
+            out.add["events"] = [self._part(found) for c in (ev.HOT, ev.COLD) if (found := [r for r in rows if r[13] == c])]
             out.set["global_seq"] = seq
             for handler in self.store.inline_handlers:  # a handler that raises stops the commit
                 handler([Envelope(r[0], r[1], r[2], r[3], json.loads(r[4]), json.loads(r[5]), r[6], r[7], r[8], r[9], r[10], r[12]) for r in rows], out)
         if keys:
-            out.add["idempotency"] = self.store.frame(keys, "idempotency")
+            out.add["idempotency"] = self.store.part(keys, "idempotency", "key")
         if streams:
-            out.add["streams"] = self.store.frame(streams, "streams")
+            out.add["streams"] = self.store.part(streams, "streams", "stream_id")
+            out.add["streams"].facts["archived"] = []
         return heads[calls[-1][0]]
 
+    def _part(self, rows: list[tuple]) -> Part:
+        """New events of one retention class, with their facts."""
+        keys: dict[str, int] = {}
+        for r in rows:
+            keys[key_of(r[9], r[1])] = max(r[2], keys.get(key_of(r[9], r[1]), 0))
+        times = [r[12].isoformat() for r in rows]
+        facts: Facts = {"n": len(rows), "lo": rows[0][0], "hi": rows[-1][0], "class": rows[0][13], "t_lo": min(times), "t_hi": max(times), "types": sorted({(r[3], r[8]) for r in rows})}
+        return Part(self.store.frame(rows, "events"), facts | ({"keys": keys} if len(keys) <= MAX_KEYS else {}))
+
+    def append_frame(self, events: DataFrame) -> int:
+        """Appends many events at once; returns how many.  events: stream_id, event_type,
+        body (variant), order (a column they are numbered by; ties by stream) and, if it
+        is to be kept, created_at.  Expected heads, keys and schemas are not checked and
+        archived streams are not refused: this is for imports."""
+        own, log = self.store.row_tenant(self.tenant), self.store.log(self.tenant)
+        spark, scratch = self.store.spark, f"{log.root}/_import/{uuid.uuid4().hex}"
+        at = F.col("created_at") if "created_at" in events.columns else F.current_timestamp()
+        sorted_ = events.select("stream_id", "event_type", "body", at.alias("created_at"), "order").repartitionByRange("order", "stream_id").sortWithinPartitions("order", "stream_id")
+        sorted_.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}).write.parquet(scratch)
+        rows = spark.read.parquet(scratch)
+        counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"), F.min("created_at").alias("a"), F.max("created_at").alias("b")).orderBy("part").collect()  # a row for each partition
+        types = sorted((r[0], 1) for r in rows.select("event_type").distinct().collect())  # a few
+        n, found = 0, []
+        for r in counts:
+            found.append((r.part, n - r["first"] + 1))
+            n += r.n
+        bases = spark.createDataFrame(found, "part int, base long")
+        placed = rows.join(F.broadcast(bases), "part").withColumn("place", F.col("row") + F.col("base"))
+        placed = placed.withColumn("at", F.row_number().over(Window.partitionBy("stream_id").orderBy("place")))
+
+        def change(state: State) -> Change | None:
+            if not n:
+                return None
+            last = state.values.get("global_seq", 0)
+            heads = ev.stream_heads(log.read("events", state).where(F.col("tenant_id").eqNullSafe(F.lit(own))))
+            made = placed.join(heads, "stream_id", "left").withColumns({c: F.lit(None).cast("string") for c in ("causation_id", "correlation_id", "user_id")})
+            made = made.withColumns({"global_seq": F.col("place") + last, "stream_seq": (F.coalesce("head", F.lit(0)) + F.col("at")).cast("int"), "headers": F.parse_json(F.lit("{}")), "event_version": F.lit(1), "tenant_id": F.lit(own).cast("string"), "is_tombstone": F.col("event_type") == TOMBSTONE, "retention_class": F.lit(ev.HOT)})
+            facts: Facts = {"n": n, "lo": last + 1, "hi": last + n, "class": ev.HOT, "t_lo": _utc(min(r.a for r in counts)), "t_hi": _utc(max(r.b for r in counts)), "types": types, "level": 1}
+            part = Part(made.repartitionByRange("global_seq").sortWithinPartitions("global_seq"), facts, {"parquet.bloom.filter.enabled#stream_id": "true"})
+            return Change(add={"events": part}, set={"global_seq": last + n})
+
+        self.store.commit(change, self.tenant)
+        return n
+
     def append_tombstone(self, stream_id: str, reason: str) -> int:
         return self.append(stream_id, [Event(TOMBSTONE, {"reason": reason})])
 
@@ -177,8 +293,12 @@ class Events:
         return ev.latest(frame, ["tenant_id", "stream_id"], "rev")
 
     def stream_state(self, stream_id: str, state: State | None = None):
-        own = self.store.row_tenant(self.tenant)
-        return self._streams(state).where((F.col("stream_id") == str(stream_id)) & F.col("tenant_id").eqNullSafe(F.lit(own))).first()
+        own, log = self.store.row_tenant(self.tenant), self.store.log(self.tenant)
+        folders = log.folders("streams", state, may_hold(key_of(own, stream_id)))
+        if not folders:
+            return None
+        rows = log.read_folders("streams", folders).where((F.col("stream_id") == str(stream_id)) & F.col("tenant_id").eqNullSafe(F.lit(own)))
+        return rows.orderBy(F.desc("rev")).first()
 
     def is_archived(self, stream_id: str) -> bool:
         row = self.stream_state(stream_id)
@@ -186,10 +306,13 @@ class Events:
 
     def _guard(self, state: State, stream: str, own: str | None) -> bool:
         """Refuses writes to archived streams; with the redirect on they go cold."""
-        row = self._streams(state).where((F.col("stream_id") == stream) & F.col("tenant_id").eqNullSafe(F.lit(own))).first()
+        facts = [state.facts.get(f, {}) for f in state.tables.get("streams", [])]
+        if all("archived" in f and key_of(own, stream) not in f["archived"] for f in facts):
+            return False  # it never was
+        row = self.stream_state(stream, state)
         if row is None or row.archived_at is None and (row.retention_class or "").lower() != ev.COLD:
             return False
-        if self.store.archive_redirect:
+        if state.values.get("archive_redirect", self.store.archive_redirect):
             return True
         raise StreamArchived(stream)
 
@@ -198,7 +321,9 @@ class Events:
 
         def change(state: State) -> Change:
             row = (own, str(stream_id), now() if cold else None, by, reason, ev.COLD if cold else ev.HOT, state.version + 1)
-            return Change(add={"streams": self.store.frame([row], "streams")})
+            part = self.store.part([row], "streams", "stream_id")
+            part.facts["archived"] = [key_of(own, stream_id)] if cold else []
+            return Change(add={"streams": part})
 
         self.store.commit(change, self.tenant)
 
@@ -210,24 +335,55 @@ class Events:
 
     def archive_before(self, before: datetime, stream_id: str | None = None, dry_run: bool = False) -> int:
         """Moves events older than `before` to the cold class; returns their number.
-        All columns are kept."""
+        All columns are kept, and only folders with such events are written anew."""
         own, seen = self.store.row_tenant(self.tenant), {}
         old = (F.col("retention_class") == ev.HOT) & (F.col("created_at") < F.lit(before))
         if stream_id is not None:
             old = old & (F.col("stream_id") == str(stream_id))
         if own is not None:
             old = old & (F.col("tenant_id") == own)
+        old = F.coalesce(old, F.lit(False))
+        holds = may_hold(key_of(own, stream_id)) if stream_id is not None else lambda facts: True
+
+        def touched(facts: Facts) -> bool:
+            return facts.get("class") != ev.COLD and holds(facts) and ("t_lo" not in facts or datetime.fromisoformat(facts["t_lo"]) < _aware(before))
 
         def change(state: State) -> Change | None:
-            frame = self.store.log(self.tenant).read("events", state)
-            seen["n"] = frame.where(old).count()
+            log = self.store.log(self.tenant)
+            folders = log.folders("events", state, touched)
+            frame = log.read_folders("events", folders)
+            sums = {bool(r[0]): r for r in frame.groupBy(old.alias("old")).agg(F.count(F.lit(1)), F.min("global_seq"), F.max("global_seq"), F.min("created_at"), F.max("created_at")).collect()}
+            seen["n"] = sums[True][1] if True in sums else 0
             if dry_run or not seen["n"]:
                 return None
-            return Change(replace={"events": frame.withColumn("retention_class", F.when(old, F.lit(ev.COLD)).otherwise(F.col("retention_class")))})
+            about = merged_facts([state.facts.get(f, {}) for f in folders])
+            level = max(state.facts.get(f, {}).get("level", 0) for f in folders)
+            parts = []
+            for moved, r in sums.items():
+                kind = ev.COLD if moved else ev.HOT if "class" in about else None
+                facts = about | {"n": r[1], "lo": r[2], "hi": r[3], "t_lo": _utc(r[4]), "t_hi": _utc(r[5]), "level": level} | ({"class": kind} if kind else {})
+                rows = frame.where(old if moved else ~old)
+                parts.append(Part(rows.withColumn("retention_class", F.lit(ev.COLD)) if moved else rows, facts))
+            return Change(swap={"events": (folders, parts)})
 
         self.store.commit(change, self.tenant)
         return seen["n"]
 
+    def archive_in_batches(self, before: datetime, streams: int = 100, max_batches: int | None = None) -> int:
+        """Moves old events of some streams at a time, and marks streams without hot events
+        left as archived; returns the number of events.  A stopped run goes on where it was."""
+        total, done = 0, 0
+        while max_batches is None or done < max_batches:
+            wanted = [r.stream_id for r in ev.archive_candidates(self.hot_only().frame(), F.lit(before), streams).collect()]  # `streams` rows at most
+            if not wanted:
+                break
+            for stream in wanted:
+                total += self.archive_before(before, stream)
+                if not self.hot_only().stream(stream, limit=1).take(1):
+                    self.archive_stream(stream, "archive", "no hot events left")
+            done += 1
+        return total
+
     def archive_status(self) -> DataFrame:
         return ev.retention_counts(self.store.scan("events", self.tenant))
 

@@ -9,31 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import CONJOINED, SCHEMA_PER_TENANT, SINGLE, tenant_schema
-from ..functions import jsonpath
+from ..promoted import PROMOTED_TYPES, Promoted, promote  # noqa: F401  promote is part of this module's interface
 from ..store import TABLES
 
-#: Types that a promoted column can have, and Spark's names for them.
-PROMOTED_TYPES = {"text": "string", "integer": "int", "bigint": "bigint", "numeric": "decimal(38,18)", "boolean": "boolean", "timestamptz": "timestamp", "uuid": "string", "jsonb": "variant"}
-
-
-@dataclass(frozen=True)
-class Promoted:
-    """A document path kept as a native column; transform is a template of {value}."""
-
-    path: str
-    column: str
-    kind: str = "text"
-    transform: str = "{value}"
-
-
-def promote(frame: DataFrame, fields: list[Promoted], doc: str = "doc") -> DataFrame:
-    """frame with promoted columns; any SQL template is allowed here."""
-    for p in fields:
-        raw = jsonpath.value(F.col(doc), p.path) if p.kind == "jsonb" else jsonpath.text(F.col(doc), p.path).cast(PROMOTED_TYPES[p.kind])
-        frame = frame.withColumn("__value", raw).withColumn(p.column, F.expr(p.transform.replace("{value}", "__value"))).drop("__value")
-    return frame
-
-
 @dataclass
 class Config:
     mode: str = SINGLE

@@ -1,20 +1,22 @@
 """Event upcasting: chains of upcasters from (type, version) to later ones.
 
-Upcasters either map a body Column to a Column (they stay in the plan) or a
-Python object to an object.  The distinct (type, version) pairs of a batch are
-few; each one's chain is resolved on the driver with a check for cycles and
-compiled into one branch of a CASE.  Version 0 registers a wildcard for its
-type: it is used where no exact upcaster is, once for each type.
+Upcasters map a body Column to a Column (they stay in the plan), a Python object to
+an object (neighbouring ones run as one Arrow function over a batch), or take fields
+from a table by a key of the body (a left join).  The distinct (type, version) pairs
+of a log are few and named by its folders; each one's chain is resolved on the driver
+with a check for cycles and compiled into one branch of a CASE.  Version 0 registers
+a wildcard for its type: it is used where no exact upcaster is, once for each type.
 """
 
 from __future__ import annotations
 
 import json
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +25,22 @@ from ..errors import UpcastingCycle, UpcastingFailed
 Key = tuple[str, int]
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """Fields of a body taken from a table of one row a key; a body whose key has no row
+    gets nulls."""
+
+    table: DataFrame
+    key: str
+    path: str
+    fields: tuple[tuple[str, str], ...]
+
+
 @dataclass(frozen=True)
 class Upcaster:
     source: Key
     target: Key
-    body: Callable[[Any], Any]
+    body: Callable[[Any], Any] | Lookup
     native: bool = False
 
 
@@ -41,6 +54,12 @@ class UpcasterRegistry:
         self._by_source[source] = Upcaster(source, target, body, native)
         return self
 
+    def register_lookup(self, source: Key, target: Key, table: DataFrame, key: str, path: str, fields: dict[str, str]) -> UpcasterRegistry:
+        """Sets fields (name -> column of the table) of the row whose key equals the
+        value at path (a JSON path such as $.customer_id)."""
+        self._by_source[source] = Upcaster(source, target, Lookup(table, key, path, tuple(fields.items())), True)
+        return self
+
     def upcaster(self, source: Key, target: Key, native: bool = False) -> Callable:
         """Decorator form of register()."""
 
@@ -98,41 +117,69 @@ class UpcasterRegistry:
             typ, version = step.target
         return typ, version, body
 
-    def apply(self, events: DataFrame, typ: str = "event_type", version: str = "event_version", body: str = "body") -> DataFrame:
-        """events with body (variant), type and version brought up to date."""
+    def apply(self, events: DataFrame, typ: str = "event_type", version: str = "event_version", body: str = "body", pairs: Iterable[Key] | None = None) -> DataFrame:
+        """events with body (variant), type and version brought up to date.  pairs: the
+        types and versions that occur, or more; without them a job looks."""
         if not self._by_source:
             return events
-        types = sorted({k[0] for k in self._by_source})
-        pairs = [(r[0], r[1]) for r in events.where(F.col(typ).isin(types)).select(typ, version).distinct().collect()]  # a few pairs
+        types, columns = {k[0] for k in self._by_source}, events.columns
+        if pairs is None:
+            pairs = [(r[0], r[1]) for r in events.where(F.col(typ).isin(sorted(types))).select(typ, version).distinct().collect()]  # a few pairs
         new_type, new_version, new_body = F.col(typ), F.col(version), F.col(body)
-        for pair in sorted(pairs):
+        for pair in sorted({tuple(p) for p in pairs if p[0] in types}):
             steps = self.chain(pair)
             if not steps:
                 continue
             here = (F.col(typ) == pair[0]) & (F.col(version) == pair[1])
             # only the rows of this pair enter the chain
-            value = F.when(here, F.col(body))
+            value, python = F.when(here, F.col(body)), []
             for step in steps:
-                value = self._step(step, value)
-            new_body = F.when(here, value).otherwise(new_body)
+                if not step.native:
+                    python.append(step)
+                    continue
+                value, python = self._python(python, value), []
+                if isinstance(step.body, Lookup):
+                    events, value = self._looked_up(events, step.body, value)
+                else:
+                    value = step.body(value)
+            new_body = F.when(here, self._python(python, value)).otherwise(new_body)
             new_type = F.when(here, F.lit(steps[-1].target[0])).otherwise(new_type)
             new_version = F.when(here, F.lit(steps[-1].target[1])).otherwise(new_version)
-        return events.withColumns({body: new_body, typ: new_type, version: new_version.cast("int")})
+        return events.withColumns({body: new_body, typ: new_type, version: new_version.cast("int")}).select(*[F.col(f"`{c}`") for c in columns])
 
     @staticmethod
-    def _step(step: Upcaster, value: Column) -> Column:
-        if step.native:
-            return step.body(value)
+    def _looked_up(events: DataFrame, step: Lookup, value: Column) -> tuple[DataFrame, Column]:
+        """events with the row of the table beside each, and the value with its fields."""
+        n = len(events.columns)
+        kept, key = f"__body_{n}", f"__key_{n}"
+        names = {column: f"__{n}_{i}" for i, (_, column) in enumerate(step.fields)}
+        table = step.table.select(F.col(f"`{step.key}`").cast("string").alias(key), *[F.col(f"`{c}`").alias(a) for c, a in names.items()])
+        events = events.withColumn(kept, value)
+        events = events.join(table, F.try_variant_get(F.col(kept), step.path, "string") == F.col(key), "left")
+        return events, with_fields(F.col(kept), {field: F.col(names[column]) for field, column in step.fields})
 
-        def run(text: str | None) -> str | None:
+    @staticmethod
+    def _python(steps: list[Upcaster], value: Column) -> Column:
+        """value after Python upcasters, all in one pass over a batch."""
+        if not steps:
+            return value
+
+        def one(text: str | None) -> str | None:
             if text is None:
                 return None
-            try:
-                return json.dumps(step.body(json.loads(text)))
-            except Exception as e:
-                raise UpcastingFailed(f"{step.source} to {step.target}: {e}") from e
+            found = json.loads(text)
+            for step in steps:
+                try:
+                    found = step.body(found)
+                except Exception as e:
+                    raise UpcastingFailed(f"{step.source} to {step.target}: {e}") from e
+            return json.dumps(found)
+
+        def run(texts: pa.Array) -> pa.Array:
+            return pa.array([one(t) for t in texts.to_pylist()], pa.string())
 
-        return F.try_parse_json(F.udf(run, "string", useArrow=True)(F.to_json(value)))
+        run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        return F.try_parse_json(F.arrow_udf(run, "string")(F.to_json(value)))
 
 
 def with_fields(value: Column, fields: dict[str, Column | str | int | float | bool | None]) -> Column:

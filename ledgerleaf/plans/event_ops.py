@@ -40,7 +40,8 @@ class SubscriptionFilter:
 
 
 def visible(events: DataFrame, include_archived: bool, tenant: str | None = None) -> DataFrame:
-    """Hot events, and cold ones if asked for: a predicate on the partition column."""
+    """Hot events, and cold ones if asked for: a predicate on the class column, which the
+    store's folders name, so that it opens no folder of cold events."""
     if not include_archived and "retention_class" in events.columns:
         events = events.where(F.col("retention_class") == HOT)
     return events if tenant is None else events.where(F.col("tenant_id") == tenant)

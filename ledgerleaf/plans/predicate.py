@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fulltext, json_values, jsonpath
 from ..functions.jsonpath import Path
@@ -28,6 +29,21 @@ class Source:
     doc: Column
     promoted: dict[tuple[str, ...], Column] = field(default_factory=dict)
     search: Column | None = None
+    #: Kept lexemes, their configuration, and the types of the native columns.
+    lexemes: tuple[Column, str] | None = None
+    kinds: dict[tuple[str, ...], T.DataType] = field(default_factory=dict)
+
+    def fits(self, path: Path, literal: Any) -> bool:
+        """Whether a native column holds values of the JSON type of a literal; unknown
+        types are taken to."""
+        kind = self.kinds.get(jsonpath.parse(path))
+        if kind is None or literal is None:
+            return True
+        if isinstance(literal, bool):
+            return isinstance(kind, T.BooleanType)
+        if isinstance(literal, (int, float)):
+            return isinstance(kind, T.NumericType)
+        return not isinstance(literal, str) or not isinstance(kind, (T.NumericType, T.BooleanType, T.VariantType))
 
     def native(self, path: Path) -> Column | None:
         return self.promoted.get(jsonpath.parse(path))
@@ -41,7 +57,7 @@ class Source:
 
     def number(self, path: Path) -> Column:
         own = self.native(path)
-        return jsonpath.number(self.doc, path) if own is None else own.cast("double")
+        return jsonpath.number(self.doc, path) if own is None else own.try_cast("double")
 
     def searched(self) -> Column:
         return fulltext.searchable(self.doc) if self.search is None else self.search
@@ -139,6 +155,8 @@ class _Compare(Predicate):
         if self.op == "eq":
             own = source.native(self.path)
             if own is not None and not isinstance(self.literal, (list, dict)):
+                if not source.fits(self.path, self.literal):  # JSON values of two types are never equal
+                    return F.when(own.isNotNull(), F.lit(False))
                 return own.isNull() if self.literal is None else own == F.lit(self.literal)
             return json_values.equals(source.value(self.path), self.literal)
         if self.op == "contains":
@@ -159,7 +177,8 @@ class _FullText(Predicate):
     language: str
 
     def compile(self, source: Source) -> Column:
-        return fulltext.matches(source.searched(), self.query, self.language)
+        kept = source.lexemes[0] if source.lexemes and source.lexemes[1] == self.language else None
+        return fulltext.matches(source.searched(), self.query, self.language, kept)
 
 
 @dataclass(frozen=True)

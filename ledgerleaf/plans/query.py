@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import NotFound, QueryError, TenantRequired
 from ..functions import jsonpath
@@ -35,6 +36,8 @@ class Collection:
     tenant_col: str | None = None
     promoted: dict[str, str] = field(default_factory=dict)
     search_col: str | None = None
+    #: A column of kept lexemes and their configuration.
+    lexemes_col: tuple[str, str] | None = None
 
     @staticmethod
     def from_table(frame: DataFrame, id_col: str) -> Collection:
@@ -183,7 +186,9 @@ class DocumentQuery:
         c = self.collection
         column = lambda name: F.col(f"{DOCS}.`{name}`")
         promoted = {jsonpath.parse(p): column(name) for p, name in c.promoted.items()}
-        return Source(column(c.doc_col), promoted, column(c.search_col) if c.search_col else None)
+        kept = (column(c.lexemes_col[0]), c.lexemes_col[1]) if c.lexemes_col else None
+        kinds = {jsonpath.parse(p): c.frame.schema[name].dataType for p, name in c.promoted.items()}
+        return Source(column(c.doc_col), promoted, column(c.search_col) if c.search_col else None, kept, kinds)
 
     def _reader(self, source: str | None) -> Source:
         if source is None or source == DOCS:
@@ -192,7 +197,7 @@ class DocumentQuery:
             if inc.alias == source:
                 if inc.doc_col:
                     return Source(F.col(f"{source}.`{inc.doc_col}`"))
-                return Source(F.lit(None), {(c,): F.col(f"{source}.`{c}`") for c in inc.frame.columns})
+                return Source(F.lit(None), {(c,): F.col(f"{source}.`{c}`") for c in inc.frame.columns}, kinds={(f.name,): f.dataType for f in inc.frame.schema})
         raise QueryError(f"no include has the alias {source}")
 
     def _base(self) -> DataFrame:
@@ -245,7 +250,8 @@ class DocumentQuery:
     def _order(self, source: str | None, path: Path, numeric: bool, descending: bool) -> Column:
         reader = self._reader(source)
         own = reader.native(path)
-        key = own if numeric and own is not None else reader.number(path) if numeric else reader.text(path)
+        is_number = own is not None and isinstance(reader.kinds.get(jsonpath.parse(path)), T.NumericType)
+        key = own if numeric and is_number else reader.number(path) if numeric else reader.text(path)
         return key.desc_nulls_first() if descending else key.asc_nulls_last()
 
     def _aggregated(self, frame: DataFrame, keys: bool) -> DataFrame:

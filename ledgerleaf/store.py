@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 from . import context as ctx
 from .errors import TenantNotFound
 from .session import configure
-from .sources.commitlog import Change, CommitLog
+from .functions import fulltext
+from .promoted import Promoted, promote
+from .sources.commitlog import FAN, Change, CommitLog, Facts, Part, State
 
 _S, _L, _I, _B, _TS, _V = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.TimestampType(), T.VariantType()
 
@@ -37,6 +39,51 @@ TABLES = {
 }
 
 
+#: Keys that the facts of a folder name at most; folders with more are searched.
+MAX_KEYS = 1000
+#: Rows of a file of a merged folder, the order of its rows and the column with a Bloom filter.
+FILE_ROWS = 1_000_000
+ORDER = {"events": ("global_seq", "stream_id"), "docs": ("id", "id"), "idempotency": ("key", "key"), "streams": ("stream_id", "stream_id"), "snapshots": ("stream_id", "stream_id"), "views": ("key", "key"), "dlq": ("id", "name")}
+
+
+def key_of(tenant: str | None, name: object) -> str:
+    """How facts name a stream, a document or an idempotency key of a tenant."""
+    return f"{tenant or ''}|{name}"
+
+
+def may_hold(key: str) -> Callable[[Facts], bool]:
+    """Whether a folder may hold rows of a key: those that name no keys may."""
+    return lambda facts: "keys" not in facts or key in facts["keys"]
+
+
+def merged_facts(found: list[Facts]) -> Facts:
+    """The facts of the rows of several folders together."""
+    out: Facts = {}
+    if all("n" in f for f in found):
+        out["n"] = sum(f["n"] for f in found)
+    for name, best in (("lo", min), ("hi", max), ("t_lo", min), ("t_hi", max)):
+        if all(name in f for f in found):
+            out[name] = best(f[name] for f in found)
+    if len(classes := {f.get("class") for f in found}) == 1 and None not in classes:
+        out["class"] = classes.pop()
+    if all("keys" in f for f in found):
+        keys: dict[str, int] = {}
+        for f in found:
+            for k, v in f["keys"].items():
+                keys[k] = max(v, keys.get(k, v))
+        if len(keys) <= MAX_KEYS:
+            out["keys"] = keys
+    if all("archived" in f for f in found):
+        archived = sorted({k for f in found for k in f["archived"]})
+        if len(archived) <= MAX_KEYS:
+            out["archived"] = archived
+    if all("types" in f for f in found):
+        out["types"] = sorted({tuple(t) for f in found for t in f["types"]})
+    if len(columns := {tuple(f.get("columns", ())) for f in found}) == 1:
+        out["columns"] = list(columns.pop())
+    return out
+
+
 def now() -> datetime:
     return datetime.now(timezone.utc)
 
@@ -111,9 +158,16 @@ class Store:
     resolver: Callable[[], str | None] | None = None
     defaults: ctx.Context = field(default_factory=ctx.Context)
     archive_redirect: bool = False
+    promoted: tuple[Promoted, ...] = ()
+    search: str | None = None
+    auto_merge: bool = True
 
     def __post_init__(self) -> None:
         configure(self.spark)
+        if self.search is not None:
+            fulltext.known_config(self.search)
+        #: The tables of this store: documents carry the columns kept for them at write.
+        self.tables = TABLES | {"docs": T.StructType([*DOCS.fields, *self._kept_fields()])}
         self.metrics, self.crumbs = Metrics(), Breadcrumbs()
         self._logs: dict[str, CommitLog] = {}
         self.inline_handlers: list = []
@@ -128,12 +182,13 @@ class Store:
         if name not in self._logs:
             if self.mode == ctx.SCHEMA_PER_TENANT and not self.tenant_exists(tenant):
                 raise TenantNotFound(f"no namespace {name}; call ensure_tenant() first")
-            self._logs[name] = CommitLog(self.spark, f"{self.root}/{name}", TABLES)
+            self._logs[name] = CommitLog(self.spark, f"{self.root}/{name}", self.tables)
         return self._logs[name]
 
-    def scan(self, table: str, tenant: str | None = None) -> DataFrame:
-        """The only way to a table: applies the tenant's namespace or filter."""
-        frame = self.log(tenant).read(table)
+    def scan(self, table: str, tenant: str | None = None, wanted: Callable[[Facts], bool] | None = None, state: State | None = None) -> DataFrame:
+        """The only way to a table: applies the tenant's namespace or filter; folders
+        that hold nothing wanted are not opened."""
+        frame = self.log(tenant).read(table, state, wanted)
         own = self.row_tenant(tenant)
         return frame.where(frame.tenant_id == own) if own is not None else frame
 
@@ -141,8 +196,29 @@ class Store:
         """What the tenant column of this tenant's rows holds."""
         return self.tenant(tenant) if self.mode == ctx.CONJOINED else None
 
-    def commit(self, make: Callable, tenant: str | None = None):
-        return self.log(tenant).commit(make)
+    def commit(self, make: Callable, tenant: str | None = None) -> State:
+        state = self.log(tenant).commit(make)
+        if self.auto_merge:
+            self.merge(tenant, state)
+        return state
+
+    def merge(self, tenant: str | None = None, state: State | None = None) -> int:
+        """Merges small folders of tables that have FAN of a kind; the number of merges."""
+        log, done = self.log(tenant), 0
+        state = state or log.state()
+        for table, folders in state.tables.items():
+            if len(folders) < FAN or table not in ORDER:
+                continue
+            by, looked_up = ORDER[table]
+
+            def make(frame: DataFrame, found: list[Facts], by: str = by, looked_up: str = looked_up) -> Part:
+                facts = merged_facts(found)
+                n = facts.get("n") or frame.count()
+                arranged = frame.repartitionByRange(-(-n // FILE_ROWS) or 1, by).sortWithinPartitions(by)
+                return Part(arranged, facts | {"n": n}, {f"parquet.bloom.filter.enabled#{looked_up}": "true"})
+
+            done += log.merge(table, make)
+        return done
 
     def frame(self, rows: list[tuple], table: str) -> DataFrame:
         """Rows of JSON text for variant columns, as a frame of the table's schema."""
@@ -151,7 +227,55 @@ class Store:
         schema = TABLES[table]
         text = T.StructType([T.StructField(f.name, _S if f.dataType == _V else f.dataType) for f in schema])
         found = self.spark.createDataFrame(rows, text)
-        return found.select(*[F.parse_json(f.name).alias(f.name) if f.dataType == _V else f.name for f in schema])
+        found = found.select(*[F.parse_json(f.name).alias(f.name) if f.dataType == _V else f.name for f in schema])
+        return self.with_kept(found) if table == "docs" else found
+
+    def part(self, rows: list[tuple], table: str, key: str) -> Part:
+        """Rows with facts: how many, and the keys they have in the column `key`."""
+        names = TABLES[table].names
+        tenant, at = names.index("tenant_id"), names.index(key)
+        keys = {key_of(r[tenant], r[at]): 0 for r in rows}
+        facts: Facts = {"n": len(rows)} | ({"keys": keys} if len(keys) <= MAX_KEYS else {})
+        return Part(self.frame(rows, table), facts | (self.kept_facts() if table == "docs" else {}))
+
+    # --- columns kept for documents -------------------------------------------
+    def _kept_fields(self) -> list[T.StructField]:
+        fields = [T.StructField(p.column, p.data_type()) for p in self.promoted]
+        return fields + ([T.StructField("docs_search", T.ArrayType(_S))] if self.search else [])
+
+    def kept_facts(self) -> Facts:
+        names = [f"{p.path}>{p.column}:{p.kind}:{p.transform}" for p in self.promoted] + ([f"search:{self.search}"] if self.search else [])
+        return {"columns": names} if names else {}
+
+    def with_kept(self, docs: DataFrame) -> DataFrame:
+        """Documents with their promoted columns and lexemes."""
+        from pyspark.sql import functions as F
+
+        docs = promote(docs, list(self.promoted))
+        if self.search:
+            docs = docs.withColumn("docs_search", fulltext.lexemes(fulltext.searchable(F.col("doc")), self.search))
+        return docs
+
+    def backfill(self, tenant: str | None = None) -> int:
+        """Rewrites the folders of documents that were written with other kept columns;
+        the number of folders."""
+        wanted, seen = self.kept_facts().get("columns", []), {}
+
+        def change(state: State) -> Change | None:
+            old = [f for f in state.tables.get("docs", []) if state.facts.get(f, {}).get("columns", []) != wanted]
+            seen["n"] = len(old)
+            if not old:
+                return None
+            log, found = self.log(tenant), [state.facts.get(f, {}) for f in old]
+            frame = log.read_folders("docs", old).select(*DOCS.names)
+            return Change(swap={"docs": (old, [Part(self.with_kept(frame), merged_facts(found) | {"level": max(f.get("level", 0) for f in found), "columns": wanted})])})
+
+        self.commit(change, tenant)
+        return seen["n"]
+
+    def set_archive_redirect(self, on: bool, tenant: str | None = None) -> None:
+        """Whether events of archived streams are accepted and go cold; kept in the log."""
+        self.commit(lambda s: Change(set={"archive_redirect": on}), tenant)
 
     # --- tenants ---------------------------------------------------------------
     def _tenants(self) -> CommitLog:
@@ -166,9 +290,14 @@ class Store:
         self._tenants().commit(lambda s: None if f"tenant:{tenant}" in s.values else Change(set={f"tenant:{tenant}": name}))
         return name
 
-    def drop_tenant(self, tenant: str) -> None:
+    def drop_tenant(self, tenant: str, data: bool = True) -> None:
+        """Forgets a tenant and, unless told otherwise, removes its folder."""
+        name = ctx.tenant_schema(tenant)
         self._tenants().commit(lambda s: Change(set={f"tenant:{tenant}": None}))
-        self._logs.pop(ctx.tenant_schema(tenant), None)
+        self._logs.pop(name, None)
+        if data and self.mode == ctx.SCHEMA_PER_TENANT:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def list_tenants(self) -> list[str]:
         return sorted(k.removeprefix("tenant:") for k in self._tenants().state().values)

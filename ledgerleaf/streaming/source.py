@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -10,6 +9,8 @@ from urllib.parse import urlparse
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..sources.commitlog import State, advanced
+
 #: Columns as the stream gives them: JSON text for body and headers.
 SCHEMA = "global_seq long, stream_id string, stream_seq int, event_type string, body string, headers string, event_version int, tenant_id string, created_at timestamp"
 NAME = "ledgerleaf_events"
@@ -21,7 +22,8 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceStreamReader):
-    """Reads the files that the commit log names, one partition for each file.
+    """Reads the files that the commit log names, one partition for each file of a
+    folder that holds sequence numbers of the batch.
 
     Spark tells a reader neither the trigger nor the offset of the checkpoint before
     it asks for an end, and asks once in an availableNow run: the first end is the
@@ -34,33 +36,35 @@ class _Reader(DataSourceStreamReader):
         self.root, self.most = parsed.path.rstrip("/"), int(options.get("maxeventspertrigger", 0))
         self.start = int(options.get("startafter", 0))
         self._at = None  # the end given last
+        self._known = State()
+
+    def _read(self, name: str) -> str:
+        with open(os.path.join(self.root, name), encoding="utf-8") as f:
+            return f.read()
 
-    def _state(self) -> dict:
+    def _state(self) -> State:
+        """The state of the log; entries read before are not read again."""
         folder = os.path.join(self.root, "_log")
-        tables, head, n = [], 0, 1
-        while os.path.exists(path := os.path.join(folder, f"{n:012d}.json")):
-            with open(path, encoding="utf-8") as f:
-                entry = json.load(f)
-            if "events" in entry.get("replace", {}):
-                tables = list(entry["replace"]["events"])
-            tables += entry.get("add", {}).get("events", [])
-            head = entry.get("set", {}).get("global_seq", head)
-            n += 1
-        return {"folders": tables, "head": head}
+        names = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        self._known = advanced(self._known, names, self._read)
+        return self._known
 
     def initialOffset(self) -> dict:
         return {"seq": self.start}
 
     def latestOffset(self) -> dict:
-        head = max(self._state()["head"], self.start)
+        head = max(self._state().values.get("global_seq", 0), self.start)
         if self.most and self._at is not None:
             head = min(head, self._at + self.most)
         self._at = head
         return {"seq": head}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        files = []
-        for folder in self._state()["folders"]:
+        files, state = [], self._state()
+        for folder in state.tables.get("events", []):
+            facts = state.facts.get(folder, {})
+            if facts.get("hi", end["seq"]) <= start["seq"] or facts.get("lo", end["seq"]) > end["seq"]:
+                continue  # nothing of this batch is there
             path = os.path.join(self.root, folder)
             files += [os.path.join(path, n) for n in sorted(os.listdir(path)) if n.endswith(".parquet")]
         return [_Range(f, start["seq"], end["seq"]) for f in files]
@@ -72,7 +76,13 @@ class _Reader(DataSourceStreamReader):
 
         names = ["global_seq", "stream_id", "stream_seq", "event_type", "body", "headers", "event_version", "tenant_id", "created_at"]
         file = pq.ParquetFile(partition.path)
-        for batch in file.iter_batches(columns=names, batch_size=4096):
+        at = file.schema_arrow.get_field_index("global_seq")
+        groups = []  # row groups with numbers of the batch
+        for g in range(file.num_row_groups):
+            about = file.metadata.row_group(g).column(at).statistics
+            if about is None or not about.has_min_max or about.max > partition.after and about.min <= partition.upto:
+                groups.append(g)
+        for batch in file.iter_batches(columns=names, batch_size=4096, row_groups=groups):
             seq = batch.column("global_seq")
             found = batch.filter(pc.and_(pc.greater(seq, partition.after), pc.less_equal(seq, partition.upto)))
             at = found.schema.get_field_index("created_at")

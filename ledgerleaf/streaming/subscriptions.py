@@ -10,6 +10,8 @@ import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import functions as F
+
 from ..operators.events import Envelope, Events, envelopes
 from ..plans import event_ops as ev
 from ..plans.event_ops import SubscriptionFilter
@@ -68,11 +70,12 @@ class Subscriptions:
         self._log().commit(lambda s: Change(set=values))
 
     # --- records -----------------------------------------------------------------
-    def checkpoint(self, name: str, seq: int, group: str | None = None, change: Change | None = None) -> None:
-        """Never moves back.  With a change, the checkpoint joins that commit."""
+    def checkpoint(self, name: str, seq: int, group: str | None = None, change: Change | None = None, state: State | None = None) -> None:
+        """Never moves back.  With a change, the checkpoint joins that commit; state is the
+        one the change is made on."""
         key = self._key("last", name, group)
         if change is not None:
-            change.set[key] = seq
+            change.set[key] = max(seq, self.last(name, group, state))
             return
         self._log().commit(lambda s: Change(set={key: seq}) if s.values.get(key, 0) < seq else None)
 
@@ -115,7 +118,19 @@ class Subscriptions:
 
     def poll(self, name: str, wanted: SubscriptionFilter, cursor: int, batch: int, most: int) -> list[Envelope]:
         """One batch; events are not upcast here."""
-        return envelopes(ev.subscription_batch(self.events.frame(), wanted, cursor, batch, most).orderBy("global_seq"))
+        state = self._log().state()
+        head, found = state.values.get("global_seq", 0), []
+        while cursor < head and not found:  # a window of the log at a time
+            upto = self.events.window(cursor, min(batch, most), state)
+
+            def holds(facts: dict, cursor: int = cursor, upto: int | None = upto) -> bool:
+                return facts.get("hi", cursor + 1) > cursor and (upto is None or facts.get("lo", upto) <= upto)
+
+            frame = self.events.frame(holds, state)
+            frame = frame if upto is None else frame.where(F.col("global_seq") <= upto)
+            found = envelopes(ev.subscription_batch(frame, wanted, cursor, batch, most).orderBy("global_seq"))
+            cursor = head if upto is None else upto
+        return found
 
     def _run(self, sub: Subscription, wanted: SubscriptionFilter) -> None:
         o, cursor = sub.options, None

@@ -13,7 +13,11 @@ from ..plans import event_ops
 
 def _folder(spark: SparkSession) -> str:
     """A folder that all executors see: the cluster's checkpoint folder where set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerleaf-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines see")
+        base = "file://" + tempfile.mkdtemp(prefix="ledgerleaf-")
     return f"{base.rstrip('/')}/view-{uuid.uuid4().hex}"
 
 
