@@ -68,7 +68,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 7, 40
 K = ROWS * BANDS
 #: Classes of numbers of edits: each is wider than the one before by 1 / CLASSES.
-CLASSES = 4
+CLASSES = 2
 #: Ids that are sent to all executors at most; beyond that they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -224,20 +224,6 @@ class _Shingles:
         return self.known[node]
 
 
-def _compared(pairs: DataFrame, needed: DataFrame) -> DataFrame:
-    """a, b, similarity of every pair (a, b) of nodes."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Shingles()
-        for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns))
-            found = [similarity(own.of(i, s), own.of(j, t)) for i, j, s, t in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
-
-    rows = _with_texts(pairs, needed).select("a", "b", "text_a", "text_b")
-    return common.stored(rows.mapInArrow(compare, "a long, b long, similarity double"), "similarities")
-
-
 def occurrences(found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """A weighted set as a plain one: each occurrence of a shingle is an element."""
     ids, counts = found
@@ -245,24 +231,29 @@ def occurrences(found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return _mix(np.repeat(ids, counts) + number.astype(np.uint64) * _C2)
 
 
-def _edits(pairs: DataFrame, needed: DataFrame) -> DataFrame:
-    """centre, node, open, root, size (of the node), centre_size, edits of pairs
-    (centre a, node b, open, root)."""
+def _compared(pairs: DataFrame, needed: DataFrame, with_edits: bool) -> DataFrame:
+    """a, b, similarity of every pair (a, b) of nodes and, if wanted, size (of b),
+    centre_size (of a) and edits; both texts are brought together once."""
 
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _Shingles()
         for batch in batches:
-            sizes, around, edits = [], [], []
-            for i, j, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-                x, y = occurrences(own.of(i, s)), occurrences(own.of(j, t))
-                around.append(len(x))
-                sizes.append(len(y))
-                edits.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
-            kept = [batch.column(c) for c in ("a", "b", "open", "root")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int64()), pa.array(around, pa.int64()), pa.array(edits, pa.list_(pa.int64()))], ["centre", "node", "open", "root", "size", "centre_size", "edits"])
-
-    rows = _with_texts(pairs, needed).select("a", "b", "open", "root", "text_a", "text_b")
-    return common.stored(rows.mapInArrow(differ, "centre long, node long, open boolean, root long, size long, centre_size long, edits array<long>"), "edits")
+            found, sizes, around, edits = [], [], [], []
+            for i, j, s, t in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = own.of(i, s), own.of(j, t)
+                found.append(similarity(x, y))
+                if with_edits:
+                    x, y = occurrences(x), occurrences(y)
+                    around.append(len(x))
+                    sizes.append(len(y))
+                    edits.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(found, pa.float64())]
+            columns += [pa.array(sizes, pa.int32()), pa.array(around, pa.int32()), pa.array(edits, pa.list_(pa.int64()))] if with_edits else []
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["a", "b", "similarity"] + (["size", "centre_size", "edits"] if with_edits else [])
+    rows = _with_texts(pairs, needed).select("a", "b", "text_a", "text_b")
+    return common.stored(rows.mapInArrow(compare, "a long, b long, similarity double" + (", size int, centre_size int, edits array<long>" if with_edits else "")), "similarities")
 
 
 def class_of(d: int) -> int:
@@ -296,7 +287,7 @@ def places(d: int, size: int, centre_size: int) -> list[tuple[int, int]]:
         k += 1
 
 
-_PLACED = "centre long, edit long, own int, other int, node long, open boolean, root long, size long, d long, place long"
+_PLACED = "centre long, edit long, own int, other int, node long, open boolean, root long, size int, d int, place int"
 
 
 def _placed(sets: DataFrame) -> DataFrame:
@@ -322,7 +313,7 @@ def _placed(sets: DataFrame) -> DataFrame:
                     if n:
                         which.append(np.full(n, i))
                         at.append(known[:n])
-                        where.append(place_of[:n])
+                        where.append(place_of[:n].astype(np.int32))
                         own.append(np.full(n, mine, np.int32))
                         other.append(np.full(n, k, np.int32))
             if which:
@@ -334,13 +325,14 @@ def _placed(sets: DataFrame) -> DataFrame:
 
 
 def _edit_links(edits: DataFrame) -> DataFrame:
-    """a, b: possible links of an open node to a node of another component."""
+    """a, b: possible links of an open node to a node of another component.  edits:
+    centre, node, open, root, size, centre_size, edits."""
     each = edits.select("centre", "node", "open", F.explode("edits").alias("edit"))
     shared = each.groupBy("centre", "edit").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("asked")).where("n > 1")
     shared = common.stored(shared, "shared-edits")
     known = common.hot_join(each.drop("open"), shared, ["centre", "edit"], edits.agg(F.sum(F.size("edits"))).first()[0] or 0)
     order = known.groupBy("centre", "node").agg(F.array_sort(F.collect_list(F.struct("n", "edit", "asked"))).alias("order"))
-    sets = edits.withColumn("d", F.size("edits").cast("long")).drop("edits").join(order, ["centre", "node"])
+    sets = edits.withColumn("d", F.size("edits")).drop("edits").join(order, ["centre", "node"])
     rows = _placed(sets)
     open_, rest = rows.where("open").alias("x"), rows.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{e}") for c, e in (("centre", "centre"), ("edit", "edit"), ("own", "other"), ("other", "own"))]
@@ -369,8 +361,8 @@ def _roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     node, keys."""
     pairs = _starred(nodes)
     needed = _texts_of(pairs, texts)
-    links = _compared(pairs, needed).where(F.col("similarity") >= THRESHOLD).select("a", "b")
-    roots = components(links)
+    compared = _compared(pairs, needed, True)
+    roots = components(compared.where(F.col("similarity") >= THRESHOLD).select("a", "b"))
     of_centre = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(roots.toDF("a", "centre_root"), "a", "left")
     around = common.hot_join(pairs, common.stored(of_centre, "star-centres"), ["a"], pairs.count()).join(roots.toDF("b", "root"), "b", "left")
     around = around.select("a", "b", F.coalesce("root", "b").alias("root"), F.coalesce("centre_root", "a").alias("centre_root"), "n")
@@ -378,9 +370,10 @@ def _roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     opened = common.stored(around.groupBy("a").agg(F.max("open").alias("some"), F.count(F.lit(1)).alias("n")).where("some").select("a", "n"), "open-centres")
     if not opened.take(1):
         return roots
-    around = common.stored(common.hot_join(around.drop("n"), opened, ["a"], pairs.count()).drop("n"), "around")
-    more = common.stored(_edit_links(_edits(around, needed)), "pairs")
-    more = _compared(more, needed).where(F.col("similarity") >= THRESHOLD).select("a", "b")
+    around = common.hot_join(around.drop("n"), opened, ["a"], pairs.count()).drop("n")
+    edits = compared.drop("similarity").join(around, ["a", "b"]).withColumnsRenamed({"a": "centre", "b": "node"})
+    more = common.stored(_edit_links(common.stored(edits, "edits")), "pairs")
+    more = _compared(more, needed, False).where(F.col("similarity") >= THRESHOLD).select("a", "b")
     return components(roots.select("root", "node").union(more)) if more.take(1) else roots
 
 

@@ -5,8 +5,9 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerleaf.llm import near_dup
+from ledgerleaf.llm import common, near_dup
 from ledgerleaf.llm.components import components
 
 
@@ -98,3 +99,73 @@ def test_components(spark):
         root[y] = x
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: of(i) for i in root if of(i) != i}
+
+
+def test_rows_that_meet_grow_with_the_input(spark, monkeypatch):
+    """One group of near copies of a text of 120 words, most of them not linked to its
+    middle: what the joins on edits match by key, before any further condition, and what
+    they give stay below a bound in proportion to the edits."""
+    kept = {}
+    stored = common.stored
+    monkeypatch.setattr(common, "drop_path", lambda spark, path: None)
+    monkeypatch.setattr(common, "stored", lambda df, what: kept.setdefault(what, []).append(stored(df, what)) or kept[what][-1])
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    for n in (200, 400, 800):
+        texts = family(rng, base, 7, n)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        kept.clear()
+        got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+        assert got == dict(enumerate(brute_force(texts))), n
+        edits = sum(len(r.edits) for r in kept["edits"][0].collect())
+        placed = kept["placed-edits"][0]
+        other = placed.groupBy("centre", "edit", F.col("own").alias("other"), F.col("other").alias("own")).agg(F.count(F.lit(1)).alias("m"))
+        matches = placed.where("open").join(other, ["centre", "edit", "own", "other"]).agg(F.sum("m")).first()[0] or 0
+        assert kept["pairs"][0].count() <= 10 * n and placed.count() <= 3 * edits, n
+        assert matches <= edits and kept["pairs"][1].count() <= n, (n, matches, edits)
+
+
+def test_odd_tables(spark):
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30_000))
+    rows = [(1, long, "a"), (1, long + " more", "b"), (2, None, "c"), (2, None, "d"), (None, "one two three four five six", "e"), (None, "one two three four five six", "f")]
+    names = ["doc_id", "text", "node"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    for extra in ("__node", "__same", "__mark", "__keys", "same", "keys", "row", "mark", "keeper", "class_id", "n", "part", "a.b"):
+        docs, names = docs.withColumn(extra, F.lit(extra)), [*names, extra]
+    kept = near_dup.deduplicate(docs)
+    assert kept.columns == names and [f.dataType for f in kept.schema] == [f.dataType for f in docs.schema]
+    found = kept.collect()
+    assert sorted(str(r.doc_id) for r in found) == ["1", "2", "None"] and all(r["a.b"] == "a.b" for r in found)
+    rows = near_dup.near_duplicates(docs).collect()
+    assert sorted(r.class_size for r in rows) == [2] * 6 and sum(r.kept for r in rows) == 3
+    assert near_dup.deduplicate(docs.limit(0)).count() == near_dup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_long_loose_texts_give_rows_by_their_length(spark, monkeypatch):
+    """Texts that share a part and no link: rows follow the length, not its square."""
+    kept = {}
+    stored = common.stored
+    monkeypatch.setattr(common, "drop_path", lambda spark, path: None)
+    monkeypatch.setattr(common, "stored", lambda df, what: kept.setdefault(what, []).append(stored(df, what)) or kept[what][-1])
+    rng, sizes = random.Random(6), []
+    for words in (400, 1600):
+        shared = [f"s{rng.randrange(10**6)}" for _ in range(int(words * 0.7))]
+        texts = [" ".join(shared + [f"w{rng.randrange(10**6)}" for _ in range(int(words * 0.3))]) for _ in range(12)]
+        kept.clear()
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert near_dup.near_duplicates(docs).where("class_id <> doc_id").count() == 0
+        sizes.append(kept["placed-edits"][0].count() if "placed-edits" in kept else 0)
+    assert sizes[1] <= 8 * max(1, sizes[0])
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([("h", i) for i in range(50)] + [(f"k{i % 7}", i) for i in range(14)] + [("none", 1)], "k string, v long")
+    table = rows.where("k <> 'none'").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.upper("k"))
+    got = sorted((r.k, r.v, r.w) for r in common.hot_join(rows, table, ["k"], 65).collect())
+    assert got == sorted((r.k, r.v, r.k.upper()) for r in rows.where("k <> 'none'").collect())
+    hot = common.hot_keys(rows, "k")
+    assert {(r.k, r.parts) for r in hot.collect()} == {("h", 17)}
+    got = sorted((r.k, r.v, r.w) for r in common.salted_join(rows, table.drop("n"), "k", "v", hot).collect())
+    assert got == sorted((r.k, r.v, r.k.upper()) for r in rows.where("k <> 'none'").collect())
