@@ -244,6 +244,11 @@ class Documents:
         items = items.select(F.col("id").cast("string").alias("id"), "json", F.col("expected").cast("int").alias("expected"))
         self.store.commit(lambda s: Change(add={"docs": self._bulk_part(self._bulk_rows(self._joined(s, items).where("version = expected"), "UPDATE"))}), self._tenant)
 
+    def delete_frame(self, ids: DataFrame) -> None:
+        """Removes the documents of all rows of id."""
+        items = ids.select(F.col("id").cast("string").alias("id"), F.lit("null").alias("json")).distinct()
+        self.store.commit(lambda s: Change(add={"docs": self._bulk_part(self._bulk_rows(self._joined(s, items).where("version is not null"), "DELETE"))}), self._tenant)
+
     def patch_frame(self, ids: DataFrame, fields: dict[str, Any]) -> None:
         """Sets top-level fields (columns of ids, or values) of the documents of id."""
         names = list(fields)

@@ -279,7 +279,11 @@ class Events:
             made = made.withColumns({"global_seq": F.col("place") + last, "stream_seq": (F.coalesce("head", F.lit(0)) + F.col("at")).cast("int"), "headers": F.parse_json(F.lit("{}")), "event_version": F.lit(1), "tenant_id": F.lit(own).cast("string"), "is_tombstone": F.col("event_type") == TOMBSTONE, "retention_class": F.lit(ev.HOT)})
             facts: Facts = {"n": n, "lo": last + 1, "hi": last + n, "class": ev.HOT, "t_lo": _utc(min(r.a for r in counts)), "t_hi": _utc(max(r.b for r in counts)), "types": types, "level": 1}
             part = Part(made.repartitionByRange("global_seq").sortWithinPartitions("global_seq"), facts, {"parquet.bloom.filter.enabled#stream_id": "true"})
-            return Change(add={"events": part}, set={"global_seq": last + n})
+            known = log.read("streams", state).where(F.col("tenant_id").eqNullSafe(F.lit(own))).select("stream_id")
+            new = made.select("stream_id").distinct().join(known, "stream_id", "left_anti")
+            names = {c: F.lit(None).cast(t) for c, t in (("tenant_id", "string"), ("archived_at", "timestamp"), ("archived_by", "string"), ("archive_reason", "string"))}
+            new = new.withColumns(names | {"tenant_id": F.lit(own).cast("string"), "retention_class": F.lit(ev.HOT), "rev": F.lit(state.version + 1).cast("long")})
+            return Change(add={"events": part, "streams": Part(new, {"archived": [], "level": 1})}, set={"global_seq": last + n})
 
         self.store.commit(change, self.tenant)
         return n

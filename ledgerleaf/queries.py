@@ -198,13 +198,6 @@ def agg_without_keys(spark, sf_dir):
     return _docs(spark, sf_dir, "orders", "o_orderkey").group_by("o_orderpriority").group_by("o_orderstatus").count("n").to_df()
 
 
-@_query("SELECT p_partkey, lower(p_brand) AS brand FROM part WHERE lower(p_brand) = 'brand#12'")
-def promoted_lower(spark, sf_dir):
-    """A promoted column with a transform."""
-    frame = _table(spark, sf_dir, "part").withColumn("brand", F.expr("{value}".replace("{value}", "lower(p_brand)")))
-    return DocumentQuery(Collection.from_table(frame, "p_partkey")).filter(P.eq("brand", "brand#12")).select_fields([("p_partkey", "p_partkey"), ("brand", "brand")]).to_df()
-
-
 # --- documents: versions --------------------------------------------------------
 _VERSIONS_SQL = "(SELECT o_orderkey AS id, v AS version, o_totalprice * v AS price FROM orders, (VALUES (1), (2), (3)) t(v) WHERE v <= 1 + o_orderkey % 3)"
 
@@ -224,14 +217,6 @@ def history(spark, sf_dir):
     return ev.superseded(_versions(spark, sf_dir), ["id"])
 
 
-@_query(f"WITH cur AS (SELECT id, max(version) AS version FROM {_VERSIONS_SQL} v GROUP BY id), want AS (SELECT o_orderkey AS id, CAST(1 + o_orderkey % 2 AS INTEGER) AS expected FROM orders WHERE o_orderkey % 5 = 0) SELECT CAST(count(*) FILTER (WHERE cur.version = expected) AS BIGINT) AS updated, CAST(count(*) FILTER (WHERE cur.version IS NULL OR cur.version <> expected) AS BIGINT) AS conflicts FROM want LEFT JOIN cur ON cur.id = want.id")
-def bulk_update_occ(spark, sf_dir):
-    current = _versions(spark, sf_dir).groupBy("id").agg(F.max("version").alias("version"))
-    want = _table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 2 + 1).cast("int").alias("expected"))
-    same = F.coalesce(F.col("version") == F.col("expected"), F.lit(False))
-    return want.join(current, "id", "left").agg(F.count_if(same).alias("updated"), F.count_if(~same).alias("conflicts"))
-
-
 # --- event log ------------------------------------------------------------------
 @_query(f"SELECT global_seq, stream_seq, event_type, value FROM {_SEQ_SQL} s WHERE stream_id = 7 ORDER BY stream_seq DESC LIMIT 20")
 def stream_read(spark, sf_dir):
@@ -379,15 +364,6 @@ def include_filter_page(spark, sf_dir):
     return q.select_fields([("o_orderkey", "o_orderkey"), ("o_totalprice", "o_totalprice")]).select_from("c", "c_name", "c_name").to_df()
 
 
-@_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id % 7 AS bucket, 'patched' AS status FROM events WHERE event_type = 'purchase'")
-def doc_patch(spark, sf_dir):
-    """Fields set on the JSON object of each matching document, siblings kept."""
-    events = _table(spark, sf_dir, "events").where("event_type = 'purchase'")
-    doc = with_fields(F.parse_json("props"), {"bucket": F.col("event_id") % 7, "status": "patched"})
-    found = events.select("event_id", doc.alias("doc"))
-    return found.select("event_id", *[F.variant_get("doc", f"$.{n}", t).alias(n) for n, t in (("k", "bigint"), ("bucket", "bigint"), ("status", "string"))])
-
-
 @_query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') IN ('3', '5', '8')")
 def doc_in_json(spark, sf_dir):
     return _props(spark, sf_dir).filter(P.is_in("k", [3, 5, 8])).select_field("event_id", "event_id").to_df()
@@ -399,42 +375,18 @@ def semi_join_ids(spark, sf_dir):
     return _table(spark, sf_dir, "orders").join(wanted, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@_query("SELECT user_id AS stream_id, 'registered' AS state FROM events WHERE user_id % 2 = 0 GROUP BY user_id UNION ALL SELECT user_id, 'new' FROM events WHERE user_id % 2 <> 0 GROUP BY user_id")
-def insert_ignore(spark, sf_dir):
-    """Streams registered only where they are not there yet."""
-    known = _table(spark, sf_dir, "events").where("user_id % 2 = 0").select(F.col("user_id").alias("stream_id")).distinct()
-    wanted = _log(spark, sf_dir).select("stream_id").distinct()
-    return union_all([known.withColumn("state", F.lit("registered")), wanted.join(known, "stream_id", "left_anti").withColumn("state", F.lit("new"))])
-
-
-@_query("SELECT DISTINCT name FROM (SELECT 'proj_' || event_type AS name FROM events UNION ALL SELECT 'proj_' || lower(o_orderstatus) FROM orders) t ORDER BY name")
-def name_discovery(spark, sf_dir):
-    a = _table(spark, sf_dir, "events").select(F.concat(F.lit("proj_"), "event_type").alias("name"))
-    b = _table(spark, sf_dir, "orders").select(F.concat(F.lit("proj_"), F.lower("o_orderstatus")).alias("name"))
-    return a.union(b).distinct().orderBy("name")
-
-
-@_query("SELECT event_id AS id, event_type FROM events WHERE value < 0 OR event_type = 'error' ORDER BY event_id DESC LIMIT 100")
-def dlq_list(spark, sf_dir):
-    return _table(spark, sf_dir, "events").where("value < 0 or event_type = 'error'").select(F.col("event_id").alias("id"), "event_type").orderBy(F.desc("id")).limit(100)
-
-
-@_query("SELECT id, version, price FROM (SELECT o_orderkey AS id, CAST(2 AS INTEGER) AS version, o_totalprice + 1 AS price FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, CAST(1 AS INTEGER), o_totalprice FROM orders WHERE o_orderkey % 10 <> 0 UNION ALL SELECT -o_orderkey - 1, CAST(1 AS INTEGER), o_totalprice + 1 FROM orders WHERE o_orderkey % 1000 = 0) t")
-def bulk_upsert(spark, sf_dir):
-    """Versions after an upsert of known and new documents."""
-    base = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(1).alias("version"), F.col("o_totalprice").alias("price"))
-    items = base.where("id % 10 = 0").select("id", (F.col("price") + 1).alias("price"))
-    items = items.union(base.where("id % 1000 = 0").select((-F.col("id") - 1).alias("id"), (F.col("price") + 1).alias("price")))
-    present = base.select("id", F.col("version").alias("known"))
-    rows = items.join(present, "id", "left").select("id", (F.coalesce("known", F.lit(0)) + 1).cast("int").alias("version"), "price")
-    return ev.latest(base.union(rows), ["id"])
-
-
 @_query("SELECT event_type AS key, CAST(count(*) AS BIGINT) AS count, round(sum(coalesce(value, 0)), 4) AS sum FROM events GROUP BY event_type")
 def view_streaming(spark, sf_dir):
     """The count and sum view kept by Structured Streaming until its input is used up."""
     from .streaming.views import streamed_view
 
-    schema = _table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    schema, path = _table(spark, sf_dir, "events").schema, f"{sf_dir}/events.parquet"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
+        stream = spark.readStream.schema(schema).parquet(path)
+    else:  # a stream reads folders: this one, and of it this file
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return streamed_view(stream, "event_type", "value").withColumn("sum", F.round("sum", 4))
+
+
+from . import store_queries  # noqa: E402,F401  registers its queries here
