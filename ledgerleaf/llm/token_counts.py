@@ -4,11 +4,11 @@ Tokens never cross a pre-token, so a text has as many as its pre-tokens have in
 sum.  In one pass the texts are cut into pre-tokens, and their frequencies in each
 document are kept by block: a block is a row with the distinct pre-tokens of some
 BLOCK_CHARS characters of text, and for each document how often it has which.
-The distinct pre-tokens of all blocks are counted once each; a join brings the
-counts to the blocks, where they are multiplied by the frequencies and summed.
-A pre-token travels once for each block that has it and not once for each
-document; no ids are made of texts, and of a distinct pre-token only their number
-is taken.
+All places of a pre-token are brought together, in order, where it is counted once;
+this merge join gives each place its count.  The counts go back to the blocks, where
+they are multiplied by the frequencies and summed.  A pre-token travels once for each
+block that has it and not once for each document; no ids are made of texts, and of a
+distinct pre-token only their number is taken.
 
 Special strings of the vocabulary are one token each, and text around them is cut
 by itself, as the library does.  Null and empty texts have 0 bytes and 0 tokens; a
@@ -33,7 +33,7 @@ from . import common
 from .tokens import PreTokens, vocabulary
 
 #: Characters of text in a block; a longer text is a block alone.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 32 << 20
 
 
 class Block:
@@ -62,13 +62,15 @@ class Block:
 
     def row(self, name: int, schema: pa.Schema) -> pa.RecordBatch:
         pairs = np.concatenate(self.pairs) if self.pairs else np.empty((0, 2), np.uint32)
-        packed = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(pairs.T).tobytes())
+        planes = pairs.view(np.uint8).reshape(-1, 8).T  # high bytes are nearly all 0
+        packed = zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((name, self.docs, self.bytes, self.sizes, packed, list(self.codes)), schema)], schema=schema)
 
 
 def sums(sizes: np.ndarray, packed: bytes, counts: np.ndarray) -> np.ndarray:
     """Tokens of each document of a block: frequencies times counts of pre-tokens."""
-    steps, times = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint32).reshape(2, -1).astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    steps, times = np.ascontiguousarray(planes.T).view(np.uint32).T.astype(np.int64)
     ends = np.cumsum(sizes)
     codes = np.cumsum(steps)
     begins = (ends - sizes)[sizes > 0]
@@ -99,6 +101,23 @@ def frequencies(rows: DataFrame, vocabulary_path: str) -> DataFrame:
     return rows.mapInArrow(cut, f"block long, docs array<{kind.simpleString()}>, bytes array<long>, sizes array<long>, pairs binary, words array<string>")
 
 
+def counted(batches: Iterator[pa.RecordBatch], pre: PreTokens) -> Iterator[pa.RecordBatch]:
+    """block, at, n of rows (block, at, word) in the order of words: a word is counted
+    where it begins."""
+    last, n = None, 0
+    for batch in batches:
+        found = batch.column("word").dictionary_encode()
+        words = found.dictionary.to_pylist()
+        if not words:
+            continue
+        fresh = [w for w in words if w != last]
+        counts = dict(zip(fresh, pre.counts(fresh))) | ({last: n} if last is not None else {})
+        own = np.array([counts[w] for w in words], np.int32)[found.indices.to_numpy()]
+        last = batch.column("word")[-1].as_py()
+        n = counts[last]
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(own)], ["block", "at", "n"])
+
+
 def count_tokens(df: DataFrame, vocabulary_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
     common.prepare(df.sparkSession)
@@ -107,10 +126,7 @@ def count_tokens(df: DataFrame, vocabulary_path: str, limit: int = 2048, id_col:
     out = pa.schema([("doc_id", common._arrow(kind)), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre = PreTokens(vocabulary_path)
-        for batch in batches:
-            words = batch.column(0)
-            yield pa.RecordBatch.from_arrays([words, pa.array(pre.counts(words.to_pylist()), pa.int32())], ["word", "n"])
+        return counted(batches, PreTokens(vocabulary_path))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,9 +136,8 @@ def count_tokens(df: DataFrame, vocabulary_path: str, limit: int = 2048, id_col:
                 yield pa.RecordBatch.from_arrays([pa.array(r["docs"], out[0].type), pa.array(r["bytes"], pa.int64()), pa.array(n), pa.array(n > limit)], schema=out)
 
     blocks = common.stored(frequencies(rows, vocabulary_path), "pre-token-blocks")
-    placed = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    counted = common.stored(placed.select("word").distinct().mapInArrow(count, "word string, n int"), "pre-token-counts")
-    known = placed.join(counted, "word").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("found"))
+    placed = blocks.select("block", F.posexplode("words").alias("at", "word")).repartition("word").sortWithinPartitions("word")
+    known = placed.mapInArrow(count, "block long, at int, n int").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("found"))
     known = known.select("block", F.col("found.n").alias("counts"))
     whole = blocks.drop("words").join(known, "block", "left").select("docs", "bytes", "sizes", "pairs", "counts")
     return whole.mapInArrow(add, f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
