@@ -318,6 +318,21 @@ class Store:
 
         self.commit(put, tenant)
 
+    def observe(self, tenant: str | None = None) -> Metrics:
+        """Gauges of the log, of projections and subscriptions, from its state alone."""
+        state, own = self.log(tenant).state(), self.row_tenant(tenant)
+        head = state.values.get("global_seq", 0)
+        self.metrics.set("log_version", state.version, own)
+        self.metrics.set("events_head", head, own)
+        for table, folders in state.tables.items():
+            self.metrics.set(f"{table}_folders", len(folders), own)
+        for kind, name in (("checkpoint:", "projection"), ("sub_last:", "subscription")):
+            for key, value in state.values.items():
+                if key.startswith(kind):
+                    who = "".join(c if c.isalnum() else "_" for c in key.split(":", 2)[2])
+                    self.metrics.set(f"{name}_lag_{who}", max(head - value, 0), own)
+        return self.metrics
+
     def healthy(self) -> bool:
         return self.spark.range(1).count() == 1
 

@@ -94,6 +94,26 @@ class Subscriptions:
     def group_lag(self, name: str, group: str) -> int:
         return max(self.events.with_archived().head_sequence() - self.last(name, group), 0)
 
+    def names(self) -> list[str]:
+        """All subscriptions that any record knows."""
+        own = self.events.store.row_tenant(self.events.tenant) or ""
+        prefix = [f"sub_{k}:{own}:" for k in ("filter", "last", "paused")]
+        found = {k.removeprefix(p).split(":")[0] for k in self._log().state().values for p in prefix if k.startswith(p)}
+        return sorted(found)
+
+    def groups(self, name: str) -> list[str]:
+        prefix = [f"{self._key(k, name)}:" for k in ("last", "lease", "in_flight")]
+        return sorted({k.removeprefix(p) for k in self._log().state().values for p in prefix if k.startswith(p)})
+
+    def reset(self, name: str, to: int = 0, group: str | None = None) -> None:
+        self._put({self._key("last", name, group): to})
+
+    def status(self, name: str, group: str | None = None) -> dict[str, Any]:
+        values, last = self._log().state().values, self.last(name, group)
+        held = values.get(self._key("lease", name, group))
+        head = self.events.with_archived().head_sequence()
+        return {"name": name, "group": group, "last_seq": last, "head": head, "lag": max(head - last, 0), "paused": bool(values.get(self._key("paused", name))), "filter": values.get(self._key("filter", name)), "max_in_flight": values.get(self._key("in_flight", name, group)) if group else None, "leased_by": held["owner"] if held and held["until"] > time.time() else None}
+
     def _lease(self, sub: Subscription) -> bool:
         key, seen = self._key("lease", sub.name, sub.options.group), {}
 

@@ -67,3 +67,84 @@ def test_cli(spark, store, tmp_path):
     run("tenants", "archive", "--to", str(tmp_path / "out"))
     assert '"event_type":"A"' in spark.read.text(str(tmp_path / "out" / "events")).first().value
     assert [cli.format_duration(s) for s in (0, 40, 185, 93600)] == ["0s", "40s", "3m5s", "1d2h"]
+
+
+def test_more_of_the_command_line(spark, store, tmp_path):
+    from ledgerleaf.operators.events import Event
+    from ledgerleaf.streaming.cluster import ClusterNode
+    from ledgerleaf.streaming.projections import Daemon, FunctionProjection
+    from ledgerleaf.streaming.subscriptions import Subscriptions
+
+    def run(*args):
+        return cli.run(cli.parser().parse_args(["--root", store.root, *args]), spark)
+
+    events = store.events()
+    events.append("s1", [Event("A", {"n": i}) for i in range(3)])
+    store.documents().upsert("d", {"name": "Ann"})
+    subs = Subscriptions(events)
+    subs.checkpoint("sub", 2)
+    subs.checkpoint("sub", 1, "g")
+    assert run("subscriptions", "list") == ["sub"] and run("subscriptions", "groups", "sub") == ["g"]
+    assert run("subscriptions", "status", "sub")["lag"] == 1 and run("subscriptions", "status", "sub", "--group", "g")["lag"] == 2
+    run("subscriptions", "pause", "sub")
+    run("subscriptions", "max-in-flight", "sub", "g", "5")
+    run("subscriptions", "reset", "sub", "--group", "g", "--to", "3")
+    found = run("subscriptions", "status", "sub", "--group", "g")
+    assert (found["lag"], found["max_in_flight"], found["paused"]) == (0, 5, True)
+    run("subscriptions", "resume", "sub")
+    assert run("snapshots", "metrics", "--threshold", "2") == {"candidates": 1, "max_gap": 3}
+    assert [r["stream_id"] for r in run("snapshots", "candidates", "--threshold", "2")] == ["s1"]
+    assert run("snapshots", "run", "test_scale:Sum", "--threshold", "2") == 1 and run("snapshots", "candidates", "--threshold", "2") == []
+    assert run("archive", "redirect", "on") is True and run("archive", "redirect", "show") is True and run("archive", "redirect", "off") is False
+    assert run("--promote", "name:name_n", "schema", "backfill") == 1 and run("schema", "merge") == 0
+    assert "name_n" in run("--promote", "name:name_n", "schema", "show")["docs"]["columns"] and run("schema", "suggest")[0]["path"] == "name"
+    node = ClusterNode(store, "c", ttl_s=60)
+    node.heartbeat()
+    assert run("cluster", "health", "c")["hot"] == 1
+    run("cluster", "promote", "c", "other")
+    assert not node._log().state().values["cluster:c:leader"]["node"] == node.node
+    Daemon(events).register("p", FunctionProjection(lambda e, v: None)).run_until_idle("p")
+    run("projections", "rebuild", "p")
+    assert run("projections", "status", "p")["last_seq"] == 0
+    assert any(line.startswith("ledgerleaf_projection_lag_p 3") for line in run("metrics"))
+    assert run("docs", "explain-sql", "SELECT id FROM range(10) WHERE id > 4", "--analyze")["rows"] == 5
+    run("tenants", "archive", "t", "--to", str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "projections")).first().name == "p"
+    assert run("archive", "move", "--before", "2999-01-01T00:00:00+00:00", "--batches", "10") == 3 and events.is_archived("s1")
+
+
+def test_http_and_streaming_metrics(spark, store):
+    import urllib.error
+    import urllib.request
+
+    from ledgerleaf.operators.events import Event
+    from ledgerleaf.serving import serve, watch
+    from ledgerleaf.streaming.source import read_stream
+
+    store.events().append("s", [Event("A", {})] * 2)
+    listener = watch(store)
+    query = read_stream(spark, store.log().root).writeStream.format("memory").queryName("m").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    spark.streams.removeListener(listener)
+    server = serve(store)
+    at = f"http://127.0.0.1:{server.server_address[1]}"
+    try:
+        assert urllib.request.urlopen(f"{at}/health").read() == b'{"healthy": true}'
+        text = urllib.request.urlopen(f"{at}/metrics").read().decode()
+        assert "ledgerleaf_events_head 2" in text and "ledgerleaf_events_appended 2" in text and "# TYPE ledgerleaf_events_head gauge" in text
+        with pytest.raises(urllib.error.HTTPError):
+            urllib.request.urlopen(f"{at}/other")
+    finally:
+        server.shutdown()
+
+
+def test_legacy_upcasters(store):
+    from ledgerleaf.operators.events import Event, envelopes
+    from ledgerleaf.operators.upcasting import LegacyUpcasters
+
+    events = store.events()
+    events.append("a", [Event("A", {"n": 1}), Event("A", {"x": 1}), Event("B", {"n": 1})])
+    old = LegacyUpcasters().register("A", 1, lambda b: b | {"one": 1}).register("A", 2, lambda b: b | {"two": b["n"]})
+    found = envelopes(old.apply(events.frame()).orderBy("global_seq"))
+    assert [(e.event_version, e.body) for e in found] == [(3, {"n": 1, "one": 1, "two": 1}), (2, {"one": 1, "x": 1}), (1, {"n": 1})]
