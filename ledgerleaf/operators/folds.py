@@ -1,10 +1,11 @@
 """Ordered folds of event streams into aggregate states.
 
 fold_native() folds with Column expressions: the events of a stream are gathered
-sorted and reduced by a higher-order function, in the JVM.  Streams longer than
-an executor should hold are what fold_frame() is for: it hash-partitions by
-stream, sorts within partitions and folds while reading, so no stream is ever
-gathered.
+sorted and reduced by a higher-order function, in the JVM.  Where states of
+neighbouring stretches of a stream can be merged, stretches of SEGMENT events are
+folded apart and then merged, so no more than that is ever gathered, and a very long
+stream is folded by many tasks.  fold_frame() is for all other folds of long streams:
+it hash-partitions by stream, sorts within partitions and folds while reading.
 """
 
 from __future__ import annotations
@@ -18,11 +19,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fold_native(events: DataFrame, start: Column, step: Callable[[Column, Column], Column], fields: list[str], finish: Callable[[Column], Column] | None = None) -> DataFrame:
-    """stream_id, version, state.  step(state, event) sees a struct of stream_seq and `fields`."""
-    row = F.struct("stream_seq", *fields)
+#: Events of a stream that are gathered at once, where states can be merged.
+SEGMENT = 4096
+
+
+def fold_native(events: DataFrame, start: Column, step: Callable[[Column, Column], Column], fields: list[str], finish: Callable[[Column], Column] | None = None, merge: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """stream_id, version, state.  step(state, event) sees a struct of stream_seq and
+    `fields`; merge(earlier, later) gives the state of two neighbouring stretches, each
+    folded from `start`."""
+    row, finish = F.struct("stream_seq", *fields), finish or (lambda s: s)
+    if merge is not None:
+        stretch = F.floor(F.col("stream_seq") / SEGMENT).alias("__stretch")
+        parts = events.groupBy("stream_id", stretch).agg(F.array_sort(F.collect_list(row)).alias("__events"), F.max("stream_seq").alias("version"))
+        parts = parts.select("stream_id", "version", F.struct("__stretch", F.aggregate("__events", start, step).alias("state")).alias("__part"))
+        whole = parts.groupBy("stream_id").agg(F.array_sort(F.collect_list("__part")).alias("__parts"), F.max("version").alias("version"))
+        return whole.select("stream_id", "version", F.aggregate("__parts", start, lambda s, p: merge(s, p["state"]), finish).alias("state"))
     gathered = events.groupBy("stream_id").agg(F.array_sort(F.collect_list(row)).alias("__events"), F.max("stream_seq").alias("version"))
-    return gathered.select("stream_id", "version", F.aggregate("__events", start, step, finish or (lambda s: s)).alias("state"))
+    return gathered.select("stream_id", "version", F.aggregate("__events", start, step, finish).alias("state"))
 
 
 def fold_frame(events: DataFrame, new: Callable[[], Any], apply: Callable[[Any, str, Any], Any], body: str = "body", state: str | None = None) -> DataFrame:

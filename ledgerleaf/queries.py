@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import jsonpath
 from .operators import folds
 from .operators.upcasting import UpcasterRegistry, with_fields
 from .plans import event_ops as ev
@@ -259,8 +260,8 @@ def view_count_sum(spark, sf_dir):
 @_query(f"SELECT json_extract_string(props, '$.k') AS key, CAST(count(*) AS BIGINT) AS count, CAST(sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS DOUBLE) AS sum FROM {_LOG_SQL} e GROUP BY 1")
 def view_json(spark, sf_dir):
     """The same view read by path from event bodies."""
-    body = F.parse_json("props")
-    return ev.view(_log(spark, sf_dir), ev.view_key(body, "k"), ev.view_number(body, "k"))
+    log = _log(spark, sf_dir).withColumn("found", jsonpath.value(F.parse_json("props"), "k"))  # parsed once
+    return ev.view(log, ev.view_key(F.col("found"), ""), ev.view_number(F.col("found"), ""))
 
 
 _FOLD_SQL = f"SELECT stream_id, CAST(max(stream_seq) AS INTEGER) AS version, CAST(sum(points * (CASE WHEN stream_seq % 2 = 0 THEN -1 ELSE 1 END)) AS BIGINT) AS balance, arg_max(event_type, stream_seq) AS last_type FROM (SELECT *, CASE WHEN event_type = 'purchase' THEN 10 ELSE 1 END AS points FROM {_SEQ_SQL} s) p GROUP BY stream_id"
@@ -273,7 +274,10 @@ def _balance(events: DataFrame) -> DataFrame:
         points = F.when(e["event_type"] == "purchase", F.lit(10)).otherwise(F.lit(1)) * F.when(e["stream_seq"] % 2 == 0, F.lit(-1)).otherwise(F.lit(1))
         return F.struct((state["balance"] + points).cast("long").alias("balance"), e["event_type"].alias("last_type"))
 
-    return folds.fold_native(events, start, step, ["event_type"]).select("stream_id", "version", "state.balance", "state.last_type")
+    def merge(a, b):
+        return F.struct((a["balance"] + b["balance"]).alias("balance"), b["last_type"].alias("last_type"))
+
+    return folds.fold_native(events, start, step, ["event_type"], merge=merge).select("stream_id", "version", "state.balance", "state.last_type")
 
 
 @_query(_FOLD_SQL)
@@ -335,7 +339,7 @@ def upcast_chain(spark, sf_dir):
     reg.register(("purchase", 1), ("purchase", 2), lambda b: with_fields(b, {"currency": "USD"}), native=True)
     reg.register(("purchase", 2), ("order_placed", 3), lambda b: with_fields(b, {"label": F.concat(F.lit("K"), F.variant_get(b, "$.k", "string"))}), native=True)
     events = _table(spark, sf_dir, "events").select("event_id", "event_type", F.lit(1).alias("event_version"), F.parse_json("props").alias("body"))
-    found = reg.apply(events)
+    found = reg.apply(events, pairs=[("purchase", 1)])
     return found.select("event_id", "event_version", "event_type", F.variant_get("body", "$.currency", "string").alias("currency"), F.variant_get("body", "$.label", "string").alias("label"), F.variant_get("body", "$.k", "bigint").alias("k"))
 
 
