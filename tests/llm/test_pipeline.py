@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerleaf.llm import common, decontaminate, secrets
@@ -36,3 +37,33 @@ def test_stages_against_brute_force(spark):
     want = sum(len(np.frombuffer(raw, enc.dtype)) + 1 for raw in enc.encode(list(masked.values())))
     assert sum(r.length for r in rows) == want and {r.doc_id for r in rows} == set(masked)
     assert corpus_pipeline.run(spark, SF).count() == len(rows)
+
+
+ODD = [None, "", "", "!!!", "汉字 かな", "one two three", "one two three", "x" * 3000 + " " + "long text of words " * 8000, "password = 'abc123DEF456ghi' and some more plain words in a row here"]
+
+
+def test_every_stage_on_odd_repeated_and_empty_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing columns, no rows."""
+    rows = [(i // 2, t, "junk", i) for i, t in enumerate([*ODD, *ODD])] + [(None, "a row without an id", "junk", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars int")
+    for name in ("node", "same", "keys", "__h", "label", "quality", "score", "spans", "redacted", "items", "item_id", "sequence_id", "offset", "length", "piece"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(9)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("1", "some item text that no document has"), (None, None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            found = stage(spark, table, str(tmp_path))
+            kept = found.collect()
+            if name != "packing":
+                assert found.columns == docs.columns, name
+                assert len(kept) == table.count() if name in ("secrets", "decontamination") else len(kept) <= table.count(), name
+            if name == "near_duplicates" and kept:
+                assert len(kept) == len({t or "" for t in ODD}) + 1
+            if name == "secrets" and kept:
+                assert sum(r.text is None for r in kept) == 2 and any("[SECRET]" in (r.text or "") for r in kept)
+            if name == "packing":
+                assert len({(r.doc_id, r.sequence_id, r.offset) for r in kept}) == len(kept) and (len(kept) == 0) == (table is not docs)
+    for missing in ("labels", "benchmark"):  # nothing labelled, nothing to look for
+        spark.read.parquet(f"{tmp_path}/{missing}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{missing}.parquet")
+    none = f"{tmp_path}/none"
+    assert corpus_pipeline.keep_quality(spark, docs, none).count() == docs.count() == corpus_pipeline.drop_contaminated(spark, docs, none).count()
