@@ -7,9 +7,12 @@ length a table gives how far a block of two words allows the search to shift; at
 shift 0 the suffix block chooses a bucket, the prefix block narrows it, and a
 direct comparison of the words confirms an occurrence.
 
-The benchmark reaches the executors in blocks of a bounded number of bytes; each
-block is searched for in every whole text and the findings are united, so
-neither side is cut: a benchmark of n blocks is n passes over the words of a text.
+The benchmark is written in blocks of about BLOCK_BYTES to the shared folder, and
+workers read it from there: up to KEPT_BLOCKS are kept by a worker, more are read one
+after another for each CHUNK_BYTES of texts.  Each block is searched for in every whole
+text and the findings are united, so neither side is cut and none comes to the driver.
+A benchmark of n blocks takes n passes over the words of a text.
+
 Null, empty and very long texts are taken whole; such without words are clean.  Items
 without a text or words have no windows; items without an id are searched for like
 the others, count as one item in all and have no part in the list of ids; rows that
@@ -19,9 +22,11 @@ columns are ignored, or kept by without_contaminated(), whatever their names.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +34,9 @@ from pyspark.sql import types as T
 from . import common
 
 WINDOW = 10
-#: Bytes of benchmark text that one search takes; a longer item is a block alone.
-BLOCK_BYTES = 1 << 20
+#: Bytes of benchmark text in a block (more where an item is longer), blocks that a worker
+#: keeps, and bytes of texts that are searched for one block after another beyond that.
+BLOCK_BYTES, KEPT_BLOCKS, CHUNK_BYTES = 1 << 20, 4, 32 << 20
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _FOUND = T.StructType(
@@ -90,64 +96,82 @@ def searchers(items: list[tuple[str | None, str]], window: int = WINDOW) -> list
     return [WuManber(m, iter(found)) for m, found in sorted(by_length.items())]
 
 
-def search(texts: list[str], machines: list[WuManber]) -> list[dict]:
+def _stored_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[str, int]:
+    """The folder of the blocks (block=0, block=1, ...) and their number."""
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null").distinct()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n, path = -(-size // BLOCK_BYTES), common.fresh_path(benchmark.sparkSession, "benchmark-blocks")
+    if n:
+        block = F.pmod(F.xxhash64("item", "text"), F.lit(n)).alias("block")
+        rows.select("item", "text", block).repartition(min(n, 4096), "block").write.partitionBy("block").parquet(path)
+    return path, n
+
+
+_KEPT: dict[tuple[str, int], list[WuManber]] = {}
+
+
+def _machines(path: str, block: int, keep: bool) -> list[WuManber]:
+    """The searchers of a block; a worker keeps those of one small benchmark."""
+    if (path, block) in _KEPT:
+        return _KEPT[path, block]
+    where, top = fs.FileSystem.from_uri(path)
+    names = [f.path for f in where.get_file_info(fs.FileSelector(f"{top}/block={block}", allow_not_found=True)) if f.path.endswith(".parquet")]
+    items = [(r["item"], r["text"]) for name in names for r in pq.ParquetFile(where.open_input_file(name)).read(columns=["item", "text"]).to_pylist()]
+    found = searchers(items)
+    if keep:
+        if any(p != path for p, _ in _KEPT):
+            _KEPT.clear()
+        _KEPT[path, block] = found
+    return found
+
+
+def search(texts: list[str], blocks: Iterator[list[WuManber]]) -> list[dict]:
+    words = [words_of(t) for t in texts]
+    starts, items = [set() for _ in texts], [set() for _ in texts]
+    for machines in blocks:
+        for i, own in enumerate(words):
+            for machine in machines:
+                for start, item in machine.find(own):
+                    starts[i].add((start, start + machine.m))
+                    items[i].add(item)
     out = []
-    for text in texts:
-        words = words_of(text)
-        starts, items = set(), set()
-        for machine in machines:
-            for start, item in machine.find(words):
-                starts.add((start, start + machine.m))
-                items.add(item)
+    for own, hit, found in zip(words, starts, items):
         spans: list[list[int]] = []
-        for a, b in sorted(starts):
+        for a, b in sorted(hit):
             if spans and a <= spans[-1][1]:
                 spans[-1][1] = max(b, spans[-1][1])
             else:
                 spans.append([a, b])
-        out.append({"n_words": len(words), "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(items - {None}) + [None] * (None in items)})
+        out.append({"n_words": len(own), "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(found - {None}) + [None] * (None in found)})
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, str]]]:
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    block, size = [], 0
-    for r in rows.distinct().toLocalIterator():
-        if block and size + len(r.text) > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((r.item, r.text))
-        size += len(r.text)
-    yield block
-
-
-_KEPT: dict[str, list[WuManber]] = {}
-
-
 def findings(df: DataFrame, benchmark: DataFrame, text: Column, item_col: str = "item_id", item_text_col: str = "text") -> Column:
     """A struct column: n_words, spans (of hit words), items (ids, distinct)."""
-    spark = df.sparkSession
-    common.prepare(spark)
-    found = []
-    for block in _blocks(benchmark, item_col, item_text_col):
-        sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
-
-        def make(sent=sent, key=key):
-            if key not in _KEPT:  # once a worker
-                while len(_KEPT) > 4:
-                    _KEPT.pop(next(iter(_KEPT)))
-                _KEPT[key] = searchers(sent.value)
-            machines = _KEPT[key]
-            return lambda texts: search(texts, machines)
-
-        found.append(common.per_text(make, _FOUND)(text))
-    if len(found) == 1:
-        return found[0]
-    return F.struct(
-        found[0]["n_words"].alias("n_words"),
-        F.array_sort(F.concat(*[f["spans"] for f in found])).alias("spans"),
-        F.array_distinct(F.concat(*[f["items"] for f in found])).alias("items"),
-    )
+    common.prepare(df.sparkSession)
+    path, n = _stored_blocks(benchmark, item_col, item_text_col)
+    few, chunk, arrow = n <= KEPT_BLOCKS, CHUNK_BYTES, common._arrow(_FOUND)
+
+    def searched(held: list[pa.Array]) -> Iterator[pa.Array]:
+        rows = search([t or "" for texts in held for t in texts.to_pylist()], (_machines(path, b, few) for b in range(n)))
+        at = 0
+        for texts in held:
+            yield pa.array(rows[at : at + len(texts)], arrow)
+            at += len(texts)
+
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held, size = [], 0
+        for texts in it:
+            held.append(texts)
+            size += texts.nbytes
+            if few or size >= chunk:
+                yield from searched(held)
+                held, size = [], 0
+        if held:
+            yield from searched(held)
+
+    run.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, _FOUND)(text)
 
 
 def _covered(spans: Column) -> Column:
