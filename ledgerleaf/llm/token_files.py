@@ -8,7 +8,7 @@ Layout of a data set, one pair of files for each range of ids:
   one), then n + 1 offsets (uint64, in ids, from 0), then n bytes, 1 where the id is
   missing.
 
-Documents are dealt out by ranges of (doc_id, text hash), so files hold them in
+Documents are dealt out by ranges of (doc_id, text hash, row), so files hold them in
 ascending order; a manifest names the files of the attempts that succeeded, and
 the place of a file in the whole sequence is the prefix sum of the lengths
 before it.  A task that runs again writes under another name, so a lost executor
@@ -18,7 +18,8 @@ through their file system.
 Null and empty texts give the end id alone; very long texts are written in parts; an
 empty table gives no files and an empty result.  Document ids are integers (others
 raise TypeError); missing ones come first and stay missing.  Equal doc_ids keep all
-their rows, ordered by a hash of the text; rows that are equal in both lie together.
+their rows, ordered by a hash of the text and then as they were read; a range may end
+between them.
 The driver collects a row for each file.  Other columns are ignored, whatever their
 names.
 """
@@ -85,8 +86,8 @@ def write_token_files(df: DataFrame, out: str, vocabulary_path: str, end_id: int
             f.write(np.concatenate(missing).tobytes())
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "width": pa.array([enc.dtype.itemsize], pa.int32()), "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])]})
 
-    rows = common.id_and_text(df, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    rows = common.id_and_text(df, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    dealt = rows.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
     parts = common.stored(dealt.mapInArrow(write, "part long, file string, width int, n_docs long, n_tokens long"), "token-manifest")
     found, base = [], 0
     for r in sorted(parts.collect(), key=lambda r: r.part):  # a row for each file
