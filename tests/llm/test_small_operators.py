@@ -134,7 +134,12 @@ def test_blocks_of_benchmark_agree(spark, monkeypatch):
     docs = spark.createDataFrame([(0, "alpha1 beta gamma alpha3 beta gamma")], "doc_id long, text string")
     one = decontaminate.contamination(docs, bench).collect()
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10)
-    assert decontaminate.contamination(docs, bench).collect() == one and one[0].n_hit == 6
+    for kept, chunk in ((100, 1 << 20), (0, 1 << 20), (0, 1)):  # kept by workers, or read for each chunk of texts
+        monkeypatch.setattr(decontaminate, "KEPT_BLOCKS", kept)
+        monkeypatch.setattr(decontaminate, "CHUNK_BYTES", chunk)
+        assert decontaminate.contamination(docs, bench).collect() == one and one[0].n_hit == 6
+        many = spark.range(3000).select("id", F.concat(F.lit("x alpha"), F.col("id") % 7, F.lit(" beta gamma")).alias("text")).withColumnRenamed("id", "doc_id")
+        assert decontaminate.contamination(many, bench).where("contaminated").count() == sum(i % 7 < 5 for i in range(3000))
 
 
 def test_secrets():
