@@ -277,6 +277,17 @@ class Store:
         """Whether events of archived streams are accepted and go cold; kept in the log."""
         self.commit(lambda s: Change(set={"archive_redirect": on}), tenant)
 
+    def publish(self, prefix: str = "", tenant: str | None = None) -> list[str]:
+        """Temporary views of the store's tables as they are now, for SQL: versions as docs,
+        the present documents as docs_current, and the others under their names."""
+        made = []
+        for table in self.tables:
+            self.scan(table, tenant).createOrReplaceTempView(f"{prefix}{table}")
+            made.append(f"{prefix}{table}")
+        docs = self.documents() if tenant is None else self.documents().for_tenant(tenant)
+        docs.current().createOrReplaceTempView(f"{prefix}docs_current")
+        return [*made, f"{prefix}docs_current"]
+
     # --- tenants ---------------------------------------------------------------
     def _tenants(self) -> CommitLog:
         return CommitLog(self.spark, f"{self.root}/_tenants", {})

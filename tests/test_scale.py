@@ -250,6 +250,16 @@ def test_frames_of_documents(store):
     assert docs.current().count() == 49 and docs.get_field("3", "w") == 9 and docs.get_field("3", "none") is None and docs.get_field("no", "v") is None
 
 
+def test_published_views(store):
+    store.documents().upsert("1", {"a": 1})
+    store.documents().upsert("1", {"a": 2})
+    store.events().append("s", ping(3))
+    names = store.publish("led_")
+    assert {"led_docs", "led_events", "led_docs_current"} <= set(names)
+    row = store.spark.sql("SELECT (SELECT count(*) FROM led_docs) v, (SELECT max(variant_get(doc, '$.a', 'int')) FROM led_docs_current) a, (SELECT count(*) FROM led_events) e").first()
+    assert (row.v, row.a, row.e) == (2, 2, 3)
+
+
 class Sum(Aggregate):
     def new(self):
         return {"n": 0}
