@@ -16,6 +16,14 @@ def tenant_schema(tenant: str) -> str:
     return "tenant_" + re.sub(r"[^A-Za-z0-9_]", "_", tenant).lower()
 
 
+def lock_key(text: str) -> int:
+    """The 64-bit FNV-1a hash of a name as a signed number."""
+    h = 0xCBF29CE484222325
+    for byte in text.encode():
+        h = (h ^ byte) * 0x100000001B3 % (1 << 64)
+    return h - (1 << 64) if h >> 63 else h
+
+
 @dataclass(frozen=True)
 class Context:
     tenant: str | None = None

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import CONJOINED, SCHEMA_PER_TENANT, SINGLE, tenant_schema
+from ..functions import jsonpath
 from ..promoted import PROMOTED_TYPES, Promoted, promote  # noqa: F401  promote is part of this module's interface
 from ..store import TABLES
 
@@ -109,3 +110,48 @@ def suggest_promoted(docs: DataFrame, doc: str = "doc", sample: int = 1000, shar
         if kind and r["count"] >= share * n:
             out.append(Promoted(r.k, f"d_{r.k}", kind))
     return out
+
+
+@dataclass(frozen=True)
+class Advice:
+    """What would help the queries on a path: promote, sort, bloom or lexemes."""
+
+    path: str
+    action: str
+    uses: int
+    reason: str
+
+
+def advise(queries: list, promoted: list[Promoted] = (), least: int = 2) -> list[Advice]:
+    """Advice from document queries (such as a slow-query log keeps): paths that `least`
+    of them compare, and how.  Equality wants a promoted column with a Bloom filter,
+    ranges and orders one that files are sorted by, full text kept lexemes."""
+    from ..plans.predicate import _And, _Compare, _FullText, _Not, _Or
+
+    uses: dict[tuple[str, str], int] = {}
+
+    def walk(part: object) -> None:
+        if isinstance(part, _Compare):
+            kind = "bloom" if part.op == "eq" else "sort" if part.op in ("gt", "ge", "lt", "le", "between") else "promote"
+            key = (".".join(jsonpath.parse(part.path)), kind)
+            uses[key] = uses.get(key, 0) + 1
+        elif isinstance(part, _FullText):
+            uses["", "lexemes"] = uses.get(("", "lexemes"), 0) + 1
+        elif isinstance(part, _Not):
+            walk(part.part)
+        elif isinstance(part, (_And, _Or)):
+            for p in part.parts:
+                walk(p)
+
+    for query in queries:
+        for p in query.spec.filters:
+            walk(p)
+        for source, path, *_ in query.spec.order:
+            if source in (None, "docs"):
+                key = (".".join(jsonpath.parse(path)), "sort")
+                uses[key] = uses.get(key, 0) + 1
+    known = {".".join(jsonpath.parse(p.path)) for p in promoted}
+    why = {"bloom": "compared for equality", "sort": "compared by range or ordered by", "promote": "read by filters", "lexemes": "searched by words"}
+    found = [Advice(path, action, n, why[action]) for (path, action), n in uses.items() if n >= least]
+    found += [Advice(a.path, "promote", a.uses, "no native column yet") for a in found if a.action in ("bloom", "sort") and a.path not in known]
+    return sorted(set(found), key=lambda a: (-a.uses, a.path, a.action))

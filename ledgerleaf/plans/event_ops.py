@@ -47,6 +47,15 @@ def visible(events: DataFrame, include_archived: bool, tenant: str | None = None
     return events if tenant is None else events.where(F.col("tenant_id") == tenant)
 
 
+def header(name: str) -> Column:
+    """The text of a header, null where there is none."""
+    return jsonpath.text(F.col("headers"), (name,))
+
+
+def has_header(name: str) -> Column:
+    return jsonpath.value(F.col("headers"), (name,)).isNotNull()
+
+
 def after(events: DataFrame, last: int, limit: int | None = None) -> DataFrame:
     """Global order: events past a sequence number, lowest first."""
     found = events.where(F.col("global_seq") > last).orderBy("global_seq")

@@ -113,7 +113,17 @@ class Metrics:
 
 
 class LiveCache:
-    """Scalars of ad-hoc SQL, kept for a time to live."""
+    """Scalars of ad-hoc SQL, kept for a time to live; shared() is one for a process."""
+
+    _shared: LiveCache | None = None
+
+    @classmethod
+    def shared(cls, spark: SparkSession, ttl_s: float = 1.0) -> LiveCache:
+        """The cache of this process; the session and the time to live given last hold."""
+        if LiveCache._shared is None:
+            LiveCache._shared = cls(spark, ttl_s)
+        LiveCache._shared.spark, LiveCache._shared.ttl_s = spark, ttl_s
+        return LiveCache._shared
 
     def __init__(self, spark: SparkSession, ttl_s: float = 1.0):
         self.spark, self.ttl_s, self._kept = spark, ttl_s, {}
@@ -361,3 +371,68 @@ class Store:
         from .operators.documents import DocumentSession
 
         return DocumentSession(self, self.defaults.merged(context))
+
+    def session_builder(self) -> SessionBuilder:
+        return SessionBuilder(self)
+
+
+class StoreBuilder:
+    """The options of a store, written as a chain."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._spark, self._root, self._options = spark, root, {}
+
+    def _with(self, **options: Any) -> StoreBuilder:
+        self._options |= options
+        return self
+
+    def tenancy(self, mode: str, resolver: Callable[[], str | None] | None = None) -> StoreBuilder:
+        return self._with(mode=mode, resolver=resolver)
+
+    def defaults(self, context: ctx.Context) -> StoreBuilder:
+        return self._with(defaults=context)
+
+    def promote(self, *fields: Promoted) -> StoreBuilder:
+        return self._with(promoted=(*self._options.get("promoted", ()), *fields))
+
+    def search(self, config: str) -> StoreBuilder:
+        return self._with(search=config)
+
+    def archive_redirect(self, on: bool = True) -> StoreBuilder:
+        return self._with(archive_redirect=on)
+
+    def build(self) -> Store:
+        return Store(self._spark, self._root, **self._options)
+
+
+class SessionBuilder:
+    """The context of a session, written as a chain; build() refuses a missing tenant."""
+
+    def __init__(self, store: Store):
+        self._store, self._context = store, ctx.Context()
+
+    def _with(self, **values: Any) -> SessionBuilder:
+        self._context = self._context.merged(ctx.Context(**values))
+        return self
+
+    def tenant(self, name: str) -> SessionBuilder:
+        return self._with(tenant=name)
+
+    def user(self, id_: str) -> SessionBuilder:
+        return self._with(user_id=id_)
+
+    def headers(self, **headers: Any) -> SessionBuilder:
+        return self._with(headers=headers)
+
+    def causation(self, id_: str) -> SessionBuilder:
+        return self._with(causation_id=id_)
+
+    def correlation(self, id_: str) -> SessionBuilder:
+        return self._with(correlation_id=id_)
+
+    def with_archived(self) -> SessionBuilder:
+        return self._with(include_archived=True)
+
+    def build(self):
+        self._store.tenant(self._context.tenant)
+        return self._store.session(self._context)

@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import functions as F
 
+from ..errors import LeaseMismatch
 from ..operators.events import Envelope, Events, envelopes
 from ..plans import event_ops as ev
 from ..plans.event_ops import SubscriptionFilter
@@ -50,7 +51,9 @@ class Subscription:
             return None
 
     def ack(self, event: Envelope) -> None:
-        self.subscriptions.checkpoint(self.name, event.global_seq, self.options.group)
+        """LeaseMismatch if another worker has taken this group over."""
+        owner = self.owner if self.options.group is not None else None
+        self.subscriptions.checkpoint(self.name, event.global_seq, self.options.group, owner=owner)
 
     def stop(self) -> None:
         self.stopped.set()
@@ -70,14 +73,21 @@ class Subscriptions:
         self._log().commit(lambda s: Change(set=values))
 
     # --- records -----------------------------------------------------------------
-    def checkpoint(self, name: str, seq: int, group: str | None = None, change: Change | None = None, state: State | None = None) -> None:
+    def checkpoint(self, name: str, seq: int, group: str | None = None, change: Change | None = None, state: State | None = None, owner: str | None = None) -> None:
         """Never moves back.  With a change, the checkpoint joins that commit; state is the
-        one the change is made on."""
+        one the change is made on.  With an owner, only the one that holds the group's
+        lease may move it."""
         key = self._key("last", name, group)
         if change is not None:
             change.set[key] = max(seq, self.last(name, group, state))
             return
-        self._log().commit(lambda s: Change(set={key: seq}) if s.values.get(key, 0) < seq else None)
+
+        def move(s: State) -> Change | None:
+            if owner is not None and s.values.get(self._key("lease", name, group), {}).get("owner") != owner:
+                raise LeaseMismatch(f"{name}:{group}")
+            return Change(set={key: seq}) if s.values.get(key, 0) < seq else None
+
+        self._log().commit(move)
 
     def last(self, name: str, group: str | None = None, state: State | None = None) -> int:
         return (state or self._log().state()).values.get(self._key("last", name, group), 0)
@@ -180,6 +190,9 @@ class Subscriptions:
             if found:
                 cursor = found[-1].global_seq
                 if o.ack == AUTO:
-                    self.checkpoint(sub.name, cursor, o.group)
+                    try:
+                        self.checkpoint(sub.name, cursor, o.group, owner=sub.owner if o.group is not None else None)
+                    except LeaseMismatch:  # another worker goes on from the last checkpoint
+                        cursor = None
             else:
                 sub.stopped.wait(o.poll_s)

@@ -148,3 +148,58 @@ def test_legacy_upcasters(store):
     old = LegacyUpcasters().register("A", 1, lambda b: b | {"one": 1}).register("A", 2, lambda b: b | {"two": b["n"]})
     found = envelopes(old.apply(events.frame()).orderBy("global_seq"))
     assert [(e.event_version, e.body) for e in found] == [(3, {"n": 1, "one": 1, "two": 1}), (2, {"one": 1, "x": 1}), (1, {"n": 1})]
+
+
+def test_builders_cache_headers_and_schemas(spark, store, tmp_path):
+    from ledgerleaf.context import Context, lock_key
+    from ledgerleaf.functions.json_schema import violations
+    from ledgerleaf.operators.events import Event
+    from ledgerleaf.operators.schema import advise
+    from ledgerleaf.plans import event_ops as ev
+    from ledgerleaf.plans.predicate import Predicate as P
+    from ledgerleaf.promoted import Promoted
+    from ledgerleaf.store import LiveCache, StoreBuilder
+
+    made = StoreBuilder(spark, str(tmp_path / "b")).tenancy("conjoined", lambda: None).defaults(Context(user_id="u")).promote(Promoted("a", "a_n", "integer")).search("simple").archive_redirect().build()
+    with pytest.raises(errors.TenantRequired):
+        made.session_builder().user("v").build()
+    session = made.session_builder().tenant("t").user("v").headers(a=1).headers(b=2).correlation("c").build()
+    assert (session.context.tenant, session.context.user_id, session.context.headers, session.context.correlation_id) == ("t", "v", {"a": 1, "b": 2}, "c")
+    session.store_doc("1", {"a": 5})
+    session.save_changes()
+    assert made.documents().for_tenant("t").query().filter(P.eq("a", 5)).fetch_first() is not None
+    cache = LiveCache.shared(spark, 60)
+    n = cache.scalar("k", "SELECT rand()")
+    assert LiveCache.shared(spark, 60).scalar("k", "SELECT rand()") == n
+    cache.invalidate("k")
+    assert cache.scalar("k", "SELECT rand()") != n
+    store.events().append("s", [Event("A", {})], context=Context(headers={"req": "x"}))
+    store.events().append("s", [Event("A", {})])
+    rows = store.events().frame().select("global_seq", ev.header("req").alias("h"), ev.has_header("req").alias("has")).orderBy("global_seq").collect()
+    assert [(r.h, r.has) for r in rows] == [("x", True), (None, False)]
+    assert lock_key("") == 0xCBF29CE484222325 - (1 << 64) and lock_key("a") == 0xAF63DC4C8601EC8C - (1 << 64)
+    schema = {"$defs": {"id": {"type": "string", "minLength": 2}}, "properties": {"id": {"$ref": "#/$defs/id"}, "n": {"anyOf": [{"type": "integer"}, {"const": None}]}, "l": {"uniqueItems": True, "maxItems": 3}}, "patternProperties": {"^x_": {"exclusiveMinimum": 0}}, "additionalProperties": {"type": "boolean"}, "not": {"required": ["bad"]}}
+    assert violations({"id": "ab", "n": None, "l": [1, 2], "x_a": 1, "other": True}, schema) == []
+    for wrong in ({"id": "a"}, {"n": "x"}, {"l": [1, 1]}, {"l": [1, 2, 3, 4]}, {"x_a": 0}, {"other": 1}, {"bad": True}):
+        assert violations(wrong, schema), wrong
+    q = store.documents().query()
+    found = advise([q.filter(P.eq("email", "x")).order_by("age"), q.filter(P.eq("email", "y") | P.gt("age", 1)), q.full_text_search("a"), q.full_text_search("b")], [Promoted("email", "e")])
+    assert {(a.path, a.action) for a in found} == {("email", "bloom"), ("age", "sort"), ("age", "promote"), ("", "lexemes")}
+
+
+def test_a_group_checkpoint_is_fenced(store):
+    from ledgerleaf.operators.events import Event
+    from ledgerleaf.sources.commitlog import Change
+    from ledgerleaf.streaming.subscriptions import MANUAL, Options, Subscriptions
+
+    store.events().append("s", [Event("A", {}) for _ in range(3)])
+    subs = Subscriptions(store.events())
+    sub = subs.subscribe("x", options=Options(group="g", ack=MANUAL, poll_s=0.05))
+    first, second = sub.receive(30), sub.receive(30)
+    sub.ack(first)
+    sub.stop()
+    key = subs._key("lease", "x", "g")
+    store.log().commit(lambda s: Change(set={key: {"owner": "another", "until": 4e9}}))
+    with pytest.raises(errors.LeaseMismatch):
+        sub.ack(second)
+    assert subs.last("x", "g") == 1
