@@ -1,7 +1,9 @@
 """Full-text search: lexemes of documents and AND queries over them.
 
 The "simple" configuration lower-cases words; "english" also drops stop words
-and strips suffixes by the published Porter algorithm.  The words of a document
+and strips suffixes by the published Porter algorithm; "german", "french" and
+"spanish" drop a few stop words and strip endings by the published light (for French
+minimal) stemmers of the University of Neuchatel.  The words of a document
 are those of its keys, strings, numbers and booleans.  A query of stop words
 alone matches nothing.
 """
@@ -98,7 +100,54 @@ def stem(w: str) -> str:
     return w
 
 
-CONFIGS = ("simple", "english")
+def _german(w: str) -> str:
+    w = w.translate(str.maketrans("äàáâöòóôïìíîüùúû", "aaaaooooiiiiuuuu"))
+    ends = "bdfghklmnt"
+    if len(w) > 5 and w.endswith("ern"):
+        w = w[:-3]
+    elif len(w) > 4 and w.endswith(("em", "en", "er", "es")):
+        w = w[:-2]
+    elif len(w) > 3 and (w.endswith("e") or w[-1] == "s" and w[-2] in ends):
+        w = w[:-1]
+    if len(w) > 5 and w.endswith("est"):
+        return w[:-3]
+    if len(w) > 4 and (w.endswith(("er", "en")) or w.endswith("st") and w[-3] in ends):
+        return w[:-2]
+    return w
+
+
+def _french(w: str) -> str:
+    if len(w) < 6:
+        return w
+    if w.endswith("x"):
+        return w[:-2] + "l" if w.endswith("aux") else w[:-1]
+    for end in "sreé":
+        if w.endswith(end):
+            w = w[:-1]
+    return w[:-1] if w[-1] == w[-2] else w
+
+
+def _spanish(w: str) -> str:
+    if len(w) < 5:
+        return w
+    w = w.translate(str.maketrans("àáâäòóôöèéêëùúûüìíîï", "aaaaooooeeeeuuuuiiii"))
+    if w[-1] in "oae":
+        return w[:-1]
+    if w.endswith("eses"):
+        return w[:-2]
+    if w.endswith("ces"):
+        return w[:-3] + "z"
+    return w[:-2] if w[-1] == "s" and w[-2] in "oae" else w
+
+
+#: Stemmers and fixed stop words by configuration.
+_LANGUAGES = {
+    "english": (stem, STOP_WORDS),
+    "german": (_german, frozenset("der die das und oder ist sind war ein eine einer eines im in den dem des von zu mit auf für nicht auch es er sie wir ihr ich als an bei".split())),
+    "french": (_french, frozenset("le la les un une des du de et ou est sont au aux en dans pour par sur ne pas ce cette il elle nous vous je que qui se".split())),
+    "spanish": (_spanish, frozenset("el la los las un una de del y o es son en con por para no se que lo su al como más pero este esta".split())),
+}
+CONFIGS = ("simple", *_LANGUAGES)
 
 
 def known_config(config: str) -> str:
@@ -112,8 +161,9 @@ def lexemes_of(text: str, config: str = "english") -> list[str]:
     """Distinct lexemes of a text, in order of their first place."""
     known_config(config)
     words = [w.lower() for w in _WORD.findall(text)]
-    if config == "english":
-        words = [stem(w) for w in words if w not in STOP_WORDS]
+    if config in _LANGUAGES:
+        stemmed, stops = _LANGUAGES[config]
+        words = [stemmed(w) for w in words if w not in stops]
     return list(dict.fromkeys(words))
 
 

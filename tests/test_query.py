@@ -120,3 +120,18 @@ def test_compiled_and_tenant(spark):
             return query.for_tenant("t2")
 
     assert ids(Own().on(c)) == ["b"]
+
+
+def test_languages_of_full_text(spark):
+    from ledgerleaf.errors import QueryError
+    from ledgerleaf.functions.fulltext import lexemes_of
+
+    for config, text, other in (("german", "Die Häuser und das Kind", "haus kinder"), ("french", "les chevaux et la maison", "cheval maisons"), ("spanish", "las canciones y los peces", "pez")):
+        assert set(lexemes_of(other, config)) & set(lexemes_of(text, config)), config
+    assert "und" not in lexemes_of("Kind und Haus", "german") and lexemes_of("The Runs", "simple") == ["the", "runs"]
+    docs = spark.createDataFrame([(1, "Die Kinder"), (2, "das Haus")], "id long, text string")
+    q = DocumentQuery(Collection(docs, "id", "text", None, search_col="text", promoted={"id": "id"}))
+    assert [r.id for r in q.full_text_search("Kindern", "german").select_field("id", "id").to_df().collect()] == [1]
+    with pytest.raises(QueryError):
+        q.full_text_search("a b", "klingon").to_df()
+
