@@ -96,6 +96,7 @@ def parser() -> argparse.ArgumentParser:
     schema = sub.add_parser("schema").add_subparsers(dest="action", required=True)
     for name in ("show", "merge", "backfill", "suggest"):
         schema.add_parser(name)
+    schema.add_parser("vacuum").add_argument("--hours", type=float, default=168.0)
     cluster = sub.add_parser("cluster").add_subparsers(dest="action", required=True)
     for name in ("health", "promote", "relinquish"):
         own = cluster.add_parser(name)
@@ -200,6 +201,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> object:
         if args.action == "show":
             state = store.log(args.tenant).state()
             return {t: {"columns": {f.name: f.dataType.simpleString() for f in s}, "folders": len(state.tables.get(t, []))} for t, s in store.tables.items()}
+        if args.action == "vacuum":
+            return store.log(args.tenant).vacuum(args.hours * 3600)
         if args.action == "suggest":
             return [vars(p) for p in suggest_promoted(docs.current())]
         return getattr(store, args.action)(args.tenant)

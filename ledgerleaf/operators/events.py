@@ -255,7 +255,8 @@ class Events:
         is to be kept, created_at.  Expected heads, keys and schemas are not checked and
         archived streams are not refused: this is for imports."""
         own, log = self.store.row_tenant(self.tenant), self.store.log(self.tenant)
-        spark, scratch = self.store.spark, f"{log.root}/_import/{uuid.uuid4().hex}"
+        spark, aside = self.store.spark, f"_import/{uuid.uuid4().hex}"
+        scratch = f"{log.root}/{aside}"
         at = F.col("created_at") if "created_at" in events.columns else F.current_timestamp()
         sorted_ = events.select("stream_id", "event_type", "body", at.alias("created_at"), "order").repartitionByRange("order", "stream_id").sortWithinPartitions("order", "stream_id")
         sorted_.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}).write.parquet(scratch)
@@ -285,7 +286,10 @@ class Events:
             new = new.withColumns(names | {"tenant_id": F.lit(own).cast("string"), "retention_class": F.lit(ev.HOT), "rev": F.lit(state.version + 1).cast("long")})
             return Change(add={"events": part, "streams": Part(new, {"archived": [], "level": 1})}, set={"global_seq": last + n})
 
-        self.store.commit(change, self.tenant)
+        try:
+            self.store.commit(change, self.tenant)
+        finally:
+            log.files.delete(aside)
         return n
 
     def append_tombstone(self, stream_id: str, reason: str) -> int:

@@ -63,6 +63,10 @@ def test_small_folders_are_merged(store, monkeypatch, opened):
     assert [e.body["i"] for e in events.fetch_after(0, 100)] == list(range(18))
     assert [e.body["i"] for e in events.read_stream_envelopes("s2")] == [2, 7, 12, 17] and events.append("s2", ping(1)) == 5
     assert docs.get("d1") == ({"i": 16}, 6) and docs.history().count() == 15
+    names = lambda: sum(len(store.log().files.names(t)) for t in ("events", "docs", "streams"))
+    before, kept = names(), sum(len(store.log().state().tables[t]) for t in ("events", "docs", "streams"))
+    assert store.log().vacuum(3600) == 0 and store.log().vacuum(-1) == before - kept and names() == kept
+    assert store.log().files.names("_import") == []
     again = Store(store.spark, store.root)  # from the log's files alone
     assert again.log().state().facts == store.log().state().facts and again.events().head_sequence() == 19
 
