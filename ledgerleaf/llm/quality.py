@@ -158,11 +158,11 @@ class Scorer:
         return round(float(1 / (1 + np.exp(-(total / n + self.model.bias)))), 9)
 
 
-_SHARES = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("part", T.ArrayType(T.FloatType()))])
+_SHARES = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("part", T.BinaryType())])
 
 
 def _shares(texts: list[str]) -> list[dict]:
-    return [{"ids": ids.astype(np.int32), "part": part} for ids, part in map(shares_of, texts)]
+    return [{"ids": ids.astype("<i4").tobytes(), "part": part.astype("<f4").tobytes()} for ids, part in map(shares_of, texts)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy("__h", "doc_id", "label").agg(F.min("text").alias("text"))
     found = found.select("__h", "doc_id", "label", common.per_text(lambda: _shares, _SHARES)("text").alias("r")).collect()
     found = sorted(found, key=lambda r: (r["__h"], r.doc_id))
-    return train([(np.array(r.r.ids, np.int64), np.array(r.r.part, np.float32)) for r in found], [r.label for r in found])
+    return train([(np.frombuffer(r.r.ids, "<i4").astype(np.int64), np.frombuffer(r.r.part, "<f4")) for r in found], [r.label for r in found])
 
 
 _SCORE = T.StructType([T.StructField("score", T.DoubleType())])
