@@ -84,6 +84,7 @@ class AggregateRepository:
 def save_snapshots(events: Events, found: list[tuple[str, int, Any]]) -> None:
     own, at = events.store.row_tenant(events.tenant), now()
     rows = [(own, s, v, json.dumps(b), at) for s, v, b in found]
+    events.store.metrics.add("snapshots_written", len(rows), events.tenant)
     events.store.commit(lambda state: Change(add={"snapshots": events.store.part(rows, "snapshots", "stream_id")}), events.tenant)
 
 

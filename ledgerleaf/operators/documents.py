@@ -109,6 +109,7 @@ class Documents:
 
     def get(self, id_: str) -> tuple[Any, int] | None:
         """(document, version), or None if it is missing or soft-deleted."""
+        self.store.metrics.add("doc_reads", tenant=self._tenant)
         row = self._row(id_)
         return None if row is None or row.deleted_at is not None else (json.loads(row.json), row.version)
 
@@ -139,7 +140,11 @@ class Documents:
             seen["row"] = row
             return None if row is None else Change(add={"docs": self.store.part([row], "docs", "id")})
 
-        self.store.commit(change, self._tenant)
+        try:
+            self.store.commit(change, self._tenant)
+        except DocVersionConflict:
+            self.store.metrics.add("doc_conflicts", tenant=self._tenant)
+            raise
         self.store.metrics.add("doc_writes", tenant=self._tenant)
         return seen["row"][3] if seen["row"] else 0
 

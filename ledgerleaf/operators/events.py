@@ -12,6 +12,7 @@ folder.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -30,6 +31,8 @@ from ..store import MAX_KEYS, Store, key_of, may_hold, merged_facts, now
 from .upcasting import UpcasterRegistry
 
 ANY, NO_STREAM = None, 0
+#: Counters of refused appends.
+_REFUSED = {StreamVersionConflict: "append_conflicts", IdempotencyConflict: "idempotency_conflicts", SchemaViolation: "schema_violations", StreamArchived: "archived_writes_refused"}
 TOMBSTONE = "$tombstone"
 IDEMPOTENCY = "idempotency_key"
 
@@ -118,9 +121,10 @@ class Events:
             return None
         found, n = sorted((f for f in found if f["hi"] > last), key=lambda f: f["hi"]), 0
         for f in found:
-            n += f["n"] if f["lo"] > last else 0
+            dense = f["n"] == f["hi"] - f["lo"] + 1  # it has every number of its range
+            n += f["hi"] - max(last, f["lo"] - 1) if dense else f["n"] if f["lo"] > last else 0
             if n >= limit:
-                return f["hi"]
+                return f["hi"] - (n - limit if dense else 0)
         return None
 
     def after(self, last: int, limit: int | None = None, state: State | None = None) -> DataFrame:
@@ -190,8 +194,15 @@ class Events:
             seen["head"] = self.stage(state, [(str(stream_id), events, expected, about)], out)
             return out
 
-        self.store.commit(change, about.tenant)
+        began = time.monotonic()
+        try:
+            self.store.commit(change, about.tenant)
+        except (StreamVersionConflict, IdempotencyConflict, SchemaViolation, StreamArchived) as e:
+            self.store.metrics.add(_REFUSED[type(e)], 1, self.tenant)
+            raise
         self.store.metrics.add("events_appended", len(events), self.tenant)
+        self.store.metrics.add("appends", 1, self.tenant)
+        self.store.metrics.add("append_seconds", time.monotonic() - began, self.tenant)
         return seen["head"]
 
     def builder(self, stream_id: str) -> AppendBuilder:
@@ -288,6 +299,7 @@ class Events:
 
         try:
             self.store.commit(change, self.tenant)
+            self.store.metrics.add("events_imported", n, self.tenant)
         finally:
             log.files.delete(aside)
         return n
@@ -375,6 +387,8 @@ class Events:
             return Change(swap={"events": (folders, parts)})
 
         self.store.commit(change, self.tenant)
+        if not dry_run:
+            self.store.metrics.add("events_archived", seen["n"], self.tenant)
         return seen["n"]
 
     def archive_in_batches(self, before: datetime, streams: int = 100, max_batches: int | None = None) -> int:

@@ -228,6 +228,8 @@ class Store:
                 return Part(arranged, facts | {"n": n}, {f"parquet.bloom.filter.enabled#{looked_up}": "true"})
 
             done += log.merge(table, make)
+        if done:
+            self.metrics.add("folder_merges", done, self.row_tenant(tenant))
         return done
 
     def frame(self, rows: list[tuple], table: str) -> DataFrame:
@@ -345,6 +347,11 @@ class Store:
         head = state.values.get("global_seq", 0)
         self.metrics.set("log_version", state.version, own)
         self.metrics.set("events_head", head, own)
+        context = self.spark.sparkContext
+        memory = context._jvm.java.lang.Runtime.getRuntime()
+        self.metrics.set("driver_memory_used_bytes", memory.totalMemory() - memory.freeMemory())
+        self.metrics.set("executors", context._jsc.sc().getExecutorMemoryStatus().size())
+        self.metrics.set("active_jobs", len(context.statusTracker().getActiveJobsIds()))
         for table, folders in state.tables.items():
             self.metrics.set(f"{table}_folders", len(folders), own)
         for kind, name in (("checkpoint:", "projection"), ("sub_last:", "subscription")):

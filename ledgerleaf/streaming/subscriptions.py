@@ -188,6 +188,7 @@ class Subscriptions:
                     except queue.Full:
                         continue
             if found:
+                self.events.store.metrics.add("subscription_events", len(found), self.events.tenant)
                 cursor = found[-1].global_seq
                 if o.ack == AUTO:
                     try:

@@ -132,6 +132,7 @@ def test_http_and_streaming_metrics(spark, store):
     try:
         assert urllib.request.urlopen(f"{at}/health").read() == b'{"healthy": true}'
         text = urllib.request.urlopen(f"{at}/metrics").read().decode()
+        assert "ledgerleaf_executors 1" in text and "ledgerleaf_appends 1" in text
         assert "ledgerleaf_events_head 2" in text and "ledgerleaf_events_appended 2" in text and "# TYPE ledgerleaf_events_head gauge" in text
         with pytest.raises(urllib.error.HTTPError):
             urllib.request.urlopen(f"{at}/other")

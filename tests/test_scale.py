@@ -199,6 +199,8 @@ def test_append_frame(store):
     events.append("a", ping(2))
     rows = store.spark.range(100).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("stream_id"), F.lit("Bulk").alias("event_type"), F.parse_json(F.format_string('{"i":%d}', "id")).alias("body"), (-F.col("id")).alias("order"))
     assert events.append_frame(rows) == 100 and events.append_frame(rows.limit(0)) == 0
+    state = store.log().state()
+    assert [events.window(a, n, state) for a, n in ((0, 1), (0, 2), (1, 5), (40, 7), (95, 7), (95, 8))] == [1, 2, 6, 47, 102, None]
     found = events.fetch_after(2, 200)
     assert [e.global_seq for e in found] == list(range(3, 103)) and [e.body["i"] for e in found] == list(range(99, -1, -1))
     assert [s for s, _ in events.read_stream("a")] == list(range(1, 53)) and events.append("b", ping(1)) == 51
