@@ -149,17 +149,18 @@ class Subscriptions:
     def poll(self, name: str, wanted: SubscriptionFilter, cursor: int, batch: int, most: int) -> list[Envelope]:
         """One batch; events are not upcast here."""
         state = self._log().state()
-        head, found = state.values.get("global_seq", 0), []
-        while cursor < head and not found:  # a window of the log at a time
-            upto = self.events.window(cursor, min(batch, most), state)
+        head, want, found = state.values.get("global_seq", 0), min(batch, most), []
+        size = want
+        while cursor < head and len(found) < want:  # a window of the log at a time, each wider
+            upto = self.events.window(cursor, size, state)
 
             def holds(facts: dict, cursor: int = cursor, upto: int | None = upto) -> bool:
                 return facts.get("hi", cursor + 1) > cursor and (upto is None or facts.get("lo", upto) <= upto)
 
             frame = self.events.frame(holds, state)
             frame = frame if upto is None else frame.where(F.col("global_seq") <= upto)
-            found = envelopes(ev.subscription_batch(frame, wanted, cursor, batch, most).orderBy("global_seq"))
-            cursor = head if upto is None else upto
+            found += envelopes(ev.subscription_batch(frame, wanted, cursor, want - len(found), most).orderBy("global_seq"))
+            cursor, size = head if upto is None else upto, size * 4
         return found
 
     def _run(self, sub: Subscription, wanted: SubscriptionFilter) -> None:

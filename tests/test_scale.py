@@ -177,6 +177,8 @@ def test_subscription_polls_read_windows(store, opened):
     assert [e.body["i"] for e in subs.poll("s", SubscriptionFilter(event_types=["Y"]), 2, 1, 10)] == [2] and len(opened) == 1
     assert [e.body["i"] for e in subs.poll("s", SubscriptionFilter(event_types=["X"]), 0, 2, 10)] == [5]  # windows without it are passed
     assert subs.poll("s", SubscriptionFilter(event_types=["Z"]), 0, 2, 10) == []
+    assert [e.body["i"] for e in subs.poll("s", SubscriptionFilter(stream_ids=["a"]), 0, 3, 10)] == [1, 3, 5]  # a batch is filled
+    assert [e.body["i"] for e in subs.poll("s", SubscriptionFilter(stream_ids=["a"]), 0, 3, 2)] == [1, 3]
     subs.checkpoint("s", 5)
     change = Change()
     subs.checkpoint("s", 3, change=change)
