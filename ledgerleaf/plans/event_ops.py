@@ -143,6 +143,13 @@ def cluster_health(nodes: DataFrame, min_cold: Column | None = None) -> DataFram
     return found.select("cluster", "hot", "cold", ((F.col("hot") == 1) & (F.col("cold") >= F.col("min_cold"))).alias("healthy"))
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """A side of a join that grows with the log, to be dealt out by key.  Spark's estimate
+    takes a variant for 2048 bytes, so that without it any table seems small enough to
+    be broadcast through the driver."""
+    return table.hint("merge")
+
+
 def latest(versions: DataFrame, key: Sequence[str], version: str = "version") -> DataFrame:
     """The row of the greatest version of each key, without a sort of the groups."""
     rest = [c for c in versions.columns if c not in key]
@@ -154,4 +161,4 @@ def superseded(versions: DataFrame, key: Sequence[str], version: str = "version"
     """All rows but the latest of each key: the history."""
     heads = versions.groupBy(*key).agg(F.max(version).alias("__head")).withColumnsRenamed({k: f"__{k}" for k in key})
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])  # a missing tenant is a key too
-    return versions.join(heads, same).where(F.col(version) < F.col("__head")).select(*versions.columns)
+    return versions.join(dealt(heads), same).where(F.col(version) < F.col("__head")).select(*versions.columns)

@@ -318,3 +318,16 @@ def test_log_files_are_made_once(spark, tmp_path):
     files.jvm, files.fs = spark.sparkContext._jvm, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     assert files.create("_log/1.json", "one") and not files.create("_log/1.json", "two")
     assert files.read("_log/1.json") == "one" and [n for n in files.names("_log") if not n.startswith(".")] == ["1.json"]
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_history_is_dealt_by_key(store):
+    docs = store.documents()
+    docs.bulk_upsert([("a", {"i": 1}), ("b", {"i": 1})])
+    docs.upsert("a", {"i": 2})
+    found = docs.history().select("id", "version")
+    assert "BroadcastExchange" not in plan_of(found)
+    assert [tuple(r) for r in found.collect()] == [("a", 1)]
