@@ -214,8 +214,8 @@ class Documents:
         own = self.store.row_tenant(self._tenant)
         if own is not None:
             frame = frame.where(F.col("tenant_id") == own)
-        present = event_ops.latest(frame, _KEY).where("op <> 'DELETE'").drop("doc")
-        return items.join(present, "id", "left")
+        present = event_ops.latest(frame.select(*[c for c in DOCS.names if c != "doc"]), _KEY).where("op <> 'DELETE'")
+        return items.join(event_ops.dealt(present), "id", "left")
 
     def _bulk_rows(self, joined: DataFrame, op: str) -> DataFrame:
         at, own = F.current_timestamp(), F.lit(self.store.row_tenant(self._tenant)).cast("string")

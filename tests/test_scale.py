@@ -331,3 +331,13 @@ def test_history_is_dealt_by_key(store):
     found = docs.history().select("id", "version")
     assert "BroadcastExchange" not in plan_of(found)
     assert [tuple(r) for r in found.collect()] == [("a", 1)]
+
+
+def test_bulk_writes_deal_the_present_rows_by_key(store, spark):
+    docs = store.documents()
+    docs.bulk_upsert([("a", {"i": 1}), ("b", {"i": 1})])
+    items = spark.createDataFrame([("a", '{"i": 2}'), ("c", '{"i": 2}')], "id string, json string")
+    plan = plan_of(docs._joined(store.log().state(), items))
+    assert "BroadcastExchange" not in plan and "doc#" not in plan
+    docs.upsert_frame(items)
+    assert {(r.id, r.version) for r in docs.current().collect()} == {("a", 2), ("b", 1), ("c", 1)}
