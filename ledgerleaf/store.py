@@ -256,7 +256,7 @@ class Store:
         return fields + ([T.StructField("docs_search", T.ArrayType(_S))] if self.search else [])
 
     def kept_facts(self) -> Facts:
-        names = [f"{p.path}>{p.column}:{p.kind}:{p.transform}" for p in self.promoted] + ([f"search:{self.search}"] if self.search else [])
+        names = [f"{p.path}>{p.column}:{p.kind}:{p.transform}" for p in self.promoted] + ([f"search:{self.search}:lower-cased words"] if self.search else [])  # a change of lexemes needs a backfill
         return {"columns": names} if names else {}
 
     def with_kept(self, docs: DataFrame) -> DataFrame:

@@ -341,3 +341,11 @@ def test_bulk_writes_deal_the_present_rows_by_key(store, spark):
     assert "BroadcastExchange" not in plan and "doc#" not in plan
     docs.upsert_frame(items)
     assert {(r.id, r.version) for r in docs.current().collect()} == {("a", 2), ("b", 1), ("c", 1)}
+
+
+def test_kept_lexemes_are_the_words_of_the_text(spark, tmp_path):
+    docs = Store(spark, str(tmp_path / "search"), search="simple").documents()
+    texts = ["that\nthing", "thing\tThat", '"thing"\\that', "that\x01thing", "nthat thing", "thatK thing", "that İthing", "Ɓthat thing", None]
+    docs.bulk_upsert([(str(i), {"text": t}) for i, t in enumerate(texts)])
+    assert sorted(int(r.id) for r in docs.query().full_text_search("that thing", "simple").to_df().collect()) == [0, 1, 2, 3, 7]
+    assert [r.id for r in docs.query().full_text_search("ithing", "simple").to_df().collect()] == ["6"]
