@@ -14,12 +14,13 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
+from itertools import islice
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..context import Context
@@ -35,6 +36,8 @@ ANY, NO_STREAM = None, 0
 _REFUSED = {StreamVersionConflict: "append_conflicts", IdempotencyConflict: "idempotency_conflicts", SchemaViolation: "schema_violations", StreamArchived: "archived_writes_refused"}
 TOMBSTONE = "$tombstone"
 IDEMPOTENCY = "idempotency_key"
+#: Events on the driver at once, about, however large a batch is.
+SLICE = 10_000
 
 
 @dataclass(frozen=True)
@@ -62,10 +65,17 @@ class Envelope:
     created_at: datetime
 
 
+def _plain(events: DataFrame) -> DataFrame:
+    return events.select("global_seq", "stream_id", "stream_seq", "event_type", F.to_json("body").alias("b"), F.to_json("headers").alias("h"), "causation_id", "correlation_id", "event_version", "tenant_id", "user_id", "created_at")
+
+
+def _envelope(r: Row) -> Envelope:
+    return Envelope(r[0], r[1], r[2], r[3], json.loads(r[4]) if r[4] else None, json.loads(r[5]) if r[5] else {}, *r[6:])
+
+
 def envelopes(events: DataFrame) -> list[Envelope]:
     """A bounded frame of events as envelopes, in the frame's order."""
-    rows = events.select("global_seq", "stream_id", "stream_seq", "event_type", F.to_json("body").alias("b"), F.to_json("headers").alias("h"), "causation_id", "correlation_id", "event_version", "tenant_id", "user_id", "created_at").collect()
-    return [Envelope(r[0], r[1], r[2], r[3], json.loads(r[4]) if r[4] else None, json.loads(r[5]) if r[5] else {}, *r[6:]) for r in rows]
+    return [_envelope(r) for r in _plain(events).collect()]
 
 
 def _aware(at: datetime) -> datetime:
@@ -130,6 +140,11 @@ class Events:
     def after(self, last: int, limit: int | None = None, state: State | None = None) -> DataFrame:
         """Global order, upcast; only the folders of the next `limit` events are read."""
         state = state or self.store.log(self.tenant).state()
+        found, wanted = self._window(last, limit, state)
+        return self.upcasters.apply(ev.after(found, last, limit), pairs=self._pairs(wanted, state))
+
+    def _window(self, last: int, limit: int | None, state: State) -> tuple[DataFrame, Callable[[Facts], bool]]:
+        """Events up to window(), and which folders hold them."""
         upto = self.window(last, limit, state)
 
         def wanted(facts: Facts) -> bool:
@@ -138,7 +153,18 @@ class Events:
         found = self.frame(wanted, state)
         if upto is not None:
             found = found.where(F.col("global_seq") <= upto)
-        return self.upcasters.apply(ev.after(found, last, limit), pairs=self._pairs(wanted, state))
+        return found, wanted
+
+    def in_order(self, last: int, limit: int, state: State) -> Iterator[Envelope]:
+        """The next `limit` events; of many, the driver gets ranges of about SLICE by turns."""
+        if limit <= SLICE:
+            yield from envelopes(self.after(last, limit, state).orderBy("global_seq"))
+            return
+        found, wanted = self._window(last, limit, state)
+        found = found.where(F.col("global_seq") > last)
+        parts = -(-found.count() // SLICE) or 1
+        rows = _plain(self.upcasters.apply(found, pairs=self._pairs(wanted, state))).repartitionByRange(parts, "global_seq").sortWithinPartitions("global_seq")
+        yield from islice(map(_envelope, rows.toLocalIterator()), limit)
 
     def fetch_after(self, last: int, limit: int) -> list[Envelope]:
         return envelopes(self.after(last, limit).orderBy("global_seq"))

@@ -349,3 +349,35 @@ def test_kept_lexemes_are_the_words_of_the_text(spark, tmp_path):
     docs.bulk_upsert([(str(i), {"text": t}) for i, t in enumerate(texts)])
     assert sorted(int(r.id) for r in docs.query().full_text_search("that thing", "simple").to_df().collect()) == [0, 1, 2, 3, 7]
     assert [r.id for r in docs.query().full_text_search("ithing", "simple").to_df().collect()] == ["6"]
+
+
+def test_a_batch_is_taken_in_slices(store, monkeypatch):
+    from ledgerleaf.operators import events as log
+    from ledgerleaf.streaming import projections
+
+    held, taken = [], []
+    kind = type(store.spark.range(0))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: held.append(collect(self)) or held[-1])
+    for module in (log, projections):
+        monkeypatch.setattr(module, "SLICE", 4, raising=False)
+    events = store.events()
+    for i in range(3):
+        events.append(f"s{i}", ping(7, 7 * i))
+
+    def odd(event, values):
+        taken.append(event.global_seq)
+        if event.body["i"] % 3:
+            raise ValueError("odd")
+        values["sum"] = values.get("sum", 0) + event.body["i"]
+
+    before = store.log().state().version
+    daemon = Daemon(events, batch=20, backoff_base_s=0.01).register("p", FunctionProjection(odd))
+    assert daemon.tick_once("p") == ("processed", 20)
+    assert max(map(len, held), default=0) <= 4 and taken == list(range(1, 21))
+    state = store.log().state()
+    assert state.version == before + 2 and daemon.checkpoint("p") == 20  # the lease and the batch
+    assert state.values["sum"] == 63 and state.values["dlq_id"] == 13
+    assert [(r.id, r.global_seq) for r in daemon.dlq("p").orderBy("id").collect()] == list(enumerate((i + 1 for i in range(20) if i % 3), 1))
+    assert not store.log().files.names("_dead")
+    assert daemon.run_until_idle("p") == 1 and daemon.dlq("p").count() == 14
