@@ -100,7 +100,7 @@ def bulk_update_occ(spark, sf_dir):
     want = _items(orders.where("o_orderkey % 5 = 0").withColumn("mark", F.lit("updated")), "o_orderkey").withColumn("expected", (F.col("id").cast("long") % 2 + 1).cast("int"))
     docs.update_frame(want)
     done = F.coalesce(F.variant_get("doc", "$.mark", "string") == "updated", F.lit(False))
-    return want.join(docs.current(), "id", "left").agg(F.count_if(done).alias("updated"), F.count_if(~done).alias("conflicts"))
+    return want.join(ev.dealt(docs.current()), "id", "left").agg(F.count_if(done).alias("updated"), F.count_if(~done).alias("conflicts"))
 
 
 @_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id % 7 AS bucket, 'patched' AS status, CAST(2 AS INTEGER) AS version FROM events WHERE event_type = 'purchase'")

@@ -381,3 +381,12 @@ def test_a_batch_is_taken_in_slices(store, monkeypatch):
     assert [(r.id, r.global_seq) for r in daemon.dlq("p").orderBy("id").collect()] == list(enumerate((i + 1 for i in range(20) if i % 3), 1))
     assert not store.log().files.names("_dead")
     assert daemon.run_until_idle("p") == 1 and daemon.dlq("p").count() == 14
+
+
+def test_update_counts_are_dealt_by_key(spark):
+    from ledgerleaf.queries import QUERIES
+    from ledgerleaf import store_queries  # noqa: F401  registers its queries
+
+    found = QUERIES["bulk_update_occ"](spark, "/root/testdata/sf0.001")
+    assert "BroadcastExchange" not in plan_of(found)
+    assert found.first().updated > 0
