@@ -70,7 +70,8 @@ def _plain(events: DataFrame) -> DataFrame:
 
 
 def _envelope(r: Row) -> Envelope:
-    return Envelope(r[0], r[1], r[2], r[3], json.loads(r[4]) if r[4] else None, json.loads(r[5]) if r[5] else {}, *r[6:])
+    seq, stream, at, typ, body, headers, *rest = r
+    return Envelope(seq, stream, at, typ, json.loads(body) if body else None, json.loads(headers) if headers else {}, *rest)
 
 
 def envelopes(events: DataFrame) -> list[Envelope]:
