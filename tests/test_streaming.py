@@ -8,6 +8,7 @@ from ledgerleaf import errors
 from ledgerleaf.operators.events import Event
 from ledgerleaf.operators.upcasting import UpcasterRegistry
 from ledgerleaf.plans.event_ops import SubscriptionFilter
+from ledgerleaf.sources.commitlog import Change
 from ledgerleaf.streaming.projections import CustomProjection, Daemon, FunctionProjection, ViewProjection, read_view
 from ledgerleaf.streaming.source import _Reader, read_stream
 from ledgerleaf.streaming.subscriptions import MANUAL, Options, Subscriptions
@@ -159,3 +160,43 @@ def test_live_cache(spark):
     b = Breadcrumbs()
     b.note("a", "b", "go")
     assert "a->>b: go" in b.mermaid()
+
+
+def test_values_last_over_batches(store):
+    e = store.events()
+    e.append("s", [Event("Boom" if i % 3 == 2 else "Ok", {"i": i}) for i in range(8)])
+
+    def handle(event, values):
+        values[f"n:{event.typ}"] = values.get(f"n:{event.typ}", 0) + 1
+        values.setdefault("seen", []).append(event.body["i"])
+        values["last"] = event.body["i"]
+        if event.body["i"] == 6:
+            del values["last"]
+        if event.typ == "Boom":
+            raise ValueError("boom")
+
+    d = Daemon(e, batch=3, backoff_base_s=0.01).register("p", FunctionProjection(handle))
+    want = {"n:Ok": 6, "seen": [0, 1, 3, 4, 6, 7], "last": 7}
+    for run in (d.run_until_idle, d.replay):
+        assert run("p") == 8
+        values = store.log().state().values
+        assert {k: values.get(k) for k in (*want, "n:Boom")} == want | {"n:Boom": None}
+    d.rebuild("p")
+    assert not want.keys() & store.log().state().values.keys()
+    assert d.tick_once("p") == ("processed", 3) and store.log().state().values["seen"] == [0, 1]
+
+
+def test_values_that_another_writer_set_are_not_overwritten(store):
+    e = store.events()
+    e.append("s", [Event("Ok", {}), Event("Ok", {})])
+
+    def handle(event, values):
+        if event.global_seq == 2:
+            store.commit(lambda s: Change(set={"n": 10}))
+        values["n"] = values.get("n", 0) + 1
+
+    d = Daemon(e, batch=1).register("p", FunctionProjection(handle))
+    assert d.tick_once("p") == ("processed", 1)
+    with pytest.raises(errors.LeaseMismatch):
+        d.tick_once("p")
+    assert store.log().state().values["n"] == 10 and d.checkpoint("p") == 1
