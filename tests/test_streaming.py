@@ -9,7 +9,7 @@ from ledgerleaf.operators.events import Event
 from ledgerleaf.operators.upcasting import UpcasterRegistry
 from ledgerleaf.plans.event_ops import SubscriptionFilter
 from ledgerleaf.sources.commitlog import Change
-from ledgerleaf.streaming.projections import CustomProjection, Daemon, FunctionProjection, ViewProjection, read_view
+from ledgerleaf.streaming.projections import CustomProjection, Daemon, FunctionProjection, Projection, ViewProjection, read_view
 from ledgerleaf.streaming.source import _Reader, read_stream
 from ledgerleaf.streaming.subscriptions import MANUAL, Options, Subscriptions
 
@@ -200,3 +200,30 @@ def test_values_that_another_writer_set_are_not_overwritten(store):
     with pytest.raises(errors.LeaseMismatch):
         d.tick_once("p")
     assert store.log().state().values["n"] == 10 and d.checkpoint("p") == 1
+
+
+def test_all_that_a_batch_gives_is_kept(store):
+    e = store.events()
+    e.append("s", [Event("Keep", {"i": i}) for i in range(4)] + [Event("Anew", {"i": 4}), Event("Keep", {"i": 5}), Event("Boom", {})])
+
+    class Rows(Projection):
+        def apply(self, event, change):
+            i = event.body["i"]
+            row = store.frame([(f"v{i}", None, "k", i, float(i), event.global_seq)], "views")
+            if event.typ == "Anew":
+                change.replace["views"] = row
+            else:
+                change.add["views"] = row
+            change.add["dlq"] = store.frame([(100 + i, "own", None, event.global_seq, event.typ, None, None, None)], "dlq")
+
+    d = Daemon(e, batch=4, backoff_base_s=0.01).register("p", Rows())
+
+    def kept():
+        return sorted(r.view for r in store.scan("views").collect())
+
+    assert d.tick_once("p") == ("processed", 4) and kept() == ["v0", "v1", "v2", "v3"]
+    assert d.tick_once("p") == ("processed", 3) and kept() == ["v4", "v5"]
+    assert d.dlq("p").count() == 1 and d.dlq("own").count() == 6
+    swap = Change(add={"views": 1, "dlq": 1}, swap={"docs": (["a"], [1])})
+    swap.take(Change(add={"views": [2, 3]}, replace={"dlq": 2}, swap={"docs": (["b"], [2])}))
+    assert (swap.add, swap.replace, swap.swap) == ({"views": [1, 2, 3]}, {"dlq": 2}, {"docs": (["a", "b"], [1, 2])})
