@@ -20,17 +20,20 @@ from pyspark.sql.window import Window
 
 #: Rows of an Arrow batch: whole texts travel to Python, so batches are kept short.
 BATCH_ROWS = 512
-#: Spark's own default, which is the only value that prepare() replaces.
-_DEFAULT_BATCH = "10000"
+#: Bytes of an Arrow batch: very long texts make it shorter still.
+BATCH_BYTES = 8 << 20
+#: Spark's own defaults, which are the only values that prepare() replaces.
+_DEFAULT_BATCH, _DEFAULT_BYTES = "10000", "67108864b"
 #: Keys that are treated as hot at most, and rows of a key that never make it hot.
 HOT_KEYS, HOT_ROWS = 20_000, 1_000
 
 
 def prepare(spark: SparkSession) -> None:
     """Keeps Arrow batches of whole texts small unless the user has chosen a size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, _DEFAULT_BATCH) == _DEFAULT_BATCH:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, default, own in (("Records", _DEFAULT_BATCH, BATCH_ROWS), ("Bytes", _DEFAULT_BYTES, BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.max{key}PerBatch"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, str(own))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -69,6 +69,8 @@ ROWS, BANDS = 7, 40
 K = ROWS * BANDS
 #: Classes of numbers of edits: each is wider than the one before by 1 / CLASSES.
 CLASSES = 2
+#: Edits of pairs that a Python worker holds at once, about.
+EDIT_BYTES = 4 << 20
 #: Ids that are sent to all executors at most; beyond that they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -216,11 +218,11 @@ class _Shingles:
     def __init__(self) -> None:
         self.known: dict[int, tuple] = {}
 
-    def of(self, node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, node: int, text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
         if node not in self.known:
             while len(self.known) >= 64:
                 self.known.pop(next(iter(self.known)))
-            self.known[node] = shingles(word_hashes(text))
+            self.known[node] = shingles(word_hashes(text.as_py()))
         return self.known[node]
 
 
@@ -231,6 +233,30 @@ def occurrences(found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return _mix(np.repeat(ids, counts) + number.astype(np.uint64) * _C2)
 
 
+def compared(batch: pa.RecordBatch, own: _Shingles, with_edits: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of _compared() for a batch a, b, text_a, text_b, in parts of about
+    EDIT_BYTES of edits; texts become Python's one by one."""
+    a, b = batch.column(0), batch.column(1)
+    names = ["a", "b", "similarity"] + (["size", "centre_size", "edits"] if with_edits else [])
+    begin, held = 0, 0
+    found, sizes, around, edits = [], [], [], []
+    for at in range(len(batch)):
+        x, y = own.of(a[at].as_py(), batch.column(2)[at]), own.of(b[at].as_py(), batch.column(3)[at])
+        found.append(similarity(x, y))
+        if with_edits:
+            x, y = occurrences(x), occurrences(y)
+            around.append(len(x))
+            sizes.append(len(y))
+            edits.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
+            held += edits[-1].nbytes
+        if held > EDIT_BYTES or at + 1 == len(batch):
+            columns = [a.slice(begin, len(found)), b.slice(begin, len(found)), pa.array(found, pa.float64())]
+            columns += [pa.array(sizes, pa.int32()), pa.array(around, pa.int32()), pa.array(edits, pa.list_(pa.int64()))] if with_edits else []
+            yield pa.RecordBatch.from_arrays(columns, names)
+            begin, held = at + 1, 0
+            found, sizes, around, edits = [], [], [], []
+
+
 def _compared(pairs: DataFrame, needed: DataFrame, with_edits: bool) -> DataFrame:
     """a, b, similarity of every pair (a, b) of nodes and, if wanted, size (of b),
     centre_size (of a) and edits; both texts are brought together once."""
@@ -238,20 +264,8 @@ def _compared(pairs: DataFrame, needed: DataFrame, with_edits: bool) -> DataFram
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _Shingles()
         for batch in batches:
-            found, sizes, around, edits = [], [], [], []
-            for i, j, s, t in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = own.of(i, s), own.of(j, t)
-                found.append(similarity(x, y))
-                if with_edits:
-                    x, y = occurrences(x), occurrences(y)
-                    around.append(len(x))
-                    sizes.append(len(y))
-                    edits.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(found, pa.float64())]
-            columns += [pa.array(sizes, pa.int32()), pa.array(around, pa.int32()), pa.array(edits, pa.list_(pa.int64()))] if with_edits else []
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield from compared(batch, own, with_edits)
 
-    names = ["a", "b", "similarity"] + (["size", "centre_size", "edits"] if with_edits else [])
     rows = _with_texts(pairs, needed).select("a", "b", "text_a", "text_b")
     return common.stored(rows.mapInArrow(compare, "a long, b long, similarity double" + (", size int, centre_size int, edits array<long>" if with_edits else "")), "similarities")
 

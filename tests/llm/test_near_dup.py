@@ -169,3 +169,20 @@ def test_hot_keys_are_joined_apart(spark, monkeypatch):
     assert {(r.k, r.parts) for r in hot.collect()} == {("h", 17)}
     got = sorted((r.k, r.v, r.w) for r in common.salted_join(rows, table.drop("n"), "k", "v", hot).collect())
     assert got == sorted((r.k, r.v, r.k.upper()) for r in rows.where("k <> 'none'").collect())
+
+
+def test_long_pairs_are_compared_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    common.prepare(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == common.BATCH_BYTES
+    texts = [" ".join(f"w{(i * j) % 997}" for j in range(3000)) for i in range(1, 21)] + [""]
+    batch = pa.RecordBatch.from_pydict({"a": [0] * 21, "b": list(range(21)), "text_a": [texts[0]] * 21, "text_b": texts})
+    for edits in (True, False):
+        monkeypatch.setattr(near_dup, "EDIT_BYTES", 1 << 40)
+        (whole,) = near_dup.compared(batch, near_dup._Shingles(), edits)
+        monkeypatch.setattr(near_dup, "EDIT_BYTES", 100_000)
+        parts = list(near_dup.compared(batch, near_dup._Shingles(), edits))
+        assert pa.Table.from_batches(parts) == pa.Table.from_batches([whole])
+        assert max(p.nbytes for p in parts) < 200_000 and (len(parts) > 5) == edits
+    assert whole.column("similarity").to_pylist()[0] == 1.0 and list(near_dup.compared(batch.slice(0, 0), near_dup._Shingles(), True)) == []
