@@ -16,7 +16,8 @@ leaves a stray file at most.  Local files are memory-mapped, others are read
 through their file system.
 
 Null and empty texts give the end id alone; very long texts are written in parts; an
-empty table gives no files and an empty result.  Document ids are integers (others
+empty table gives no files and an empty result.  A task encodes batches of
+_COLUMN_BYTES together, each distinct pre-token of them once.  Document ids are integers (others
 raise TypeError); missing ones come first and stay missing.  Equal doc_ids keep all
 their rows, ordered by a hash of the text and then as they were read; a range may end
 between them.
@@ -43,6 +44,21 @@ from .tokens import encoder, vocabulary
 
 #: Ids held in memory before they go to the file.
 _BUFFER_BYTES = 4 << 20
+#: Bytes of texts that are encoded together; a larger batch is encoded alone.
+_COLUMN_BYTES = 24 << 20
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of several batches at a time."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > _COLUMN_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 def write_token_files(df: DataFrame, out: str, vocabulary_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,10 +78,10 @@ def write_token_files(df: DataFrame, out: str, vocabulary_path: str, end_id: int
         name = f"{part:06d}-{uuid.uuid4().hex}"
         where, top = fs.FileSystem.from_uri(out)
         ids, missing, lengths, sink, held, size = [], [], [], None, [], 0
-        for batch in batches:
+        for batch in _columns(batches):
             ids.append(batch.column(0).fill_null(0).to_numpy().astype("<i8"))
             missing.append(batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
-            for raw in enc.encode(batch.column(1).to_pylist()):
+            for raw in enc.encode_column(batch.column(1)):
                 lengths.append(len(raw) // enc.dtype.itemsize + 1)
                 held += (raw, end)
                 size += len(raw)

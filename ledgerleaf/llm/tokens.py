@@ -8,6 +8,10 @@ library whole, pieces with letters outside Latin go to it piece by piece, and
 plain Latin pieces reach its BPE model as ready pre-tokens.  Memory is bounded:
 two generations of cached pieces, each of at most `cap` entries of KEPT_CHARS
 characters; longer pieces are encoded where they occur.
+
+Columns of texts of a byte-level vocabulary are cut, told apart and joined again by
+Arrow, without a Python object a piece: only the distinct pre-tokens of a column go to
+the library, and nothing is kept for the next one.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _L = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
 _N = "0-9²³¹¼-¾"
@@ -39,6 +45,25 @@ _PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Characters of a cached piece at most.
 KEPT_CHARS = 64
+#: For Arrow, in columns without odd spaces: texts with white space in a row, pieces to
+#: split here, and their pre-tokens; white space ends a piece or is a single character.
+_RUN, _PLAIN_PIECE = "[ \t\n\r]{2}", "^[\t\n\r -~¡-ſ]*$"
+_PRE_TOKEN = f"{_CONTRACTIONS}| ?[{_L}]+| ?[{_N}]+| ?[^ \t\n\r{_L}{_N}]+|[ \t\n\r]+"
+#: Bytes of a column that Arrow takes at once; a longer text goes to encode().
+COLUMN_BYTES = 64 << 20
+#: Distinct pre-tokens of a column that the library gets at once.
+COLUMN_WORDS = 1024
+
+
+def _binary(ends: np.ndarray, data: pa.Buffer) -> pa.Array:
+    """Binary values that lie one after another; ends begins with 0."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), data])
+
+
+def _joined(lists: pa.Array, values: pa.Array) -> pa.Array:
+    """The joined binary values of each list; values has one for each list element."""
+    ends = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1)
+    return _binary(ends[lists.offsets.to_numpy()], values.buffers()[2])
 
 
 def _byte_letters() -> dict[int, str]:
@@ -76,6 +101,7 @@ class TextEncoder:
         for token, i in spec["model"]["vocab"].items():
             self.lengths[i] = len(token.removesuffix(suffix) if suffix else token)
         self.cap, self.young, self.old = cap, {}, {}
+        self.words = None if self.by_word else Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": {"type": "WhitespaceSplit"}}))
 
     def _cut(self, text: str) -> list[str]:
         if self.by_word:
@@ -163,6 +189,54 @@ class TextEncoder:
             for t, vals in zip(texts, self.looked_up(texts))
         ]
 
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """As encode, for strings none of which is missing."""
+        large = texts.nbytes > COLUMN_BYTES
+        if self.by_word or large and len(texts) == 1:
+            return self.encode(texts.to_pylist())
+        if large:
+            half = len(texts) // 2
+            return self.encode_column(texts[:half]) + self.encode_column(texts[half:])
+        alone = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, _ODD.pattern))
+        if not pc.any(alone).as_py():
+            return self._encode_plain(texts).to_pylist()
+        rest = iter(self._encode_plain(texts.filter(pc.invert(alone))).to_pylist())
+        return [self.encode([t.as_py()])[0] if a else next(rest) for t, a in zip(texts, alone.to_pylist())]
+
+    def _encode_plain(self, texts: pa.Array) -> pa.Array:
+        # the last white space before another character begins a pre-token, or is one if it is no space
+        cut = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+        runs = pc.match_substring_regex(texts, _RUN)
+        if pc.any(runs).as_py():
+            found = pc.replace_substring_regex(texts.filter(runs), " ([^ \t\n\r])", "\0 \\1")
+            found = pc.replace_substring_regex(found, "([\t\n\r])([^ \t\n\r\0])", "\0\\1\0\\2")
+            cut = pc.replace_with_mask(cut, runs, found)
+        cut = pc.split_pattern(cut, "\0")
+        pieces = cut.values.dictionary_encode()
+        plain, at = pc.match_substring_regex(pieces.dictionary, _PLAIN_PIECE), pieces.indices
+        ids = self._encode_pieces(pieces.dictionary.filter(plain))
+        if not pc.all(plain).as_py():
+            other = pieces.dictionary.filter(pc.invert(plain))
+            ids = pa.concat_arrays([ids, pa.array([np.array(self.whole.encode_batch_fast([p.as_py()], add_special_tokens=False)[0].ids, self.dtype).tobytes() for p in other], pa.binary())])
+            at = pa.array(np.argsort(np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable"))).take(at)
+        return _joined(cut, ids.take(at))
+
+    def _encode_pieces(self, pieces: pa.Array) -> pa.Array:
+        split = pc.split_pattern(pc.replace_substring_regex(pieces, _PRE_TOKEN, "\\0\0"), "\0")
+        words = split.values.dictionary_encode()
+        ids, sizes = [], []
+        for a in range(0, len(words.dictionary), COLUMN_WORDS):
+            shown = "\0".join(words.dictionary[a : a + COLUMN_WORDS].to_pylist()).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
+            got = np.array(self.words.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, self.dtype)
+            # tokens cover their pre-token letter by letter, so lengths tell where each ends
+            spans, lengths = np.cumsum(self.lengths[got]), np.cumsum(np.fromiter(map(len, shown), np.int64, len(shown)))
+            if (spans[-1] if len(got) else 0) != lengths[-1]:
+                raise RuntimeError("the vocabulary does not cover all bytes")
+            ids.append(got.tobytes())
+            sizes.append(np.diff(np.searchsorted(spans, lengths, "right"), prepend=0))
+        ends = np.cumsum(np.concatenate(([0], *sizes))) * self.dtype.itemsize
+        return _joined(split, _binary(ends, pa.py_buffer(b"".join(ids))).take(words.indices))
+
 
 class PreTokens:
     """The pre-tokens of texts of a word-split vocabulary, and how many tokens each has."""

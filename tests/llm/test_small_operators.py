@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -40,6 +41,56 @@ def test_encoder_equals_the_library(name):
             assert np.frombuffer(raw, enc.dtype).tolist() == enc.whole.encode(t, add_special_tokens=False).ids, t[:50]
 
 
+def test_columns_equal_the_library(monkeypatch):
+    """Runs of white space at all places, odd texts between plain ones, cut columns, texts
+    longer than a column, and columns of odd or empty texts alone."""
+    enc = TextEncoder(vocabulary("byte_bpe_50k.json"))
+    rng = np.random.default_rng(2)
+    spaces, letters = list("ab. \n\t\r"), list("ab '\n\tS.,é 1½́İΣ  <|>🙂漢\u180e\u200b\xad\xa0\x0b\x1c\u2003\0")
+    texts = [t or "" for t in ODD] + ["".join(rng.choice(kind, rng.integers(0, 30))) for kind in (spaces, letters) for _ in range(3000)]
+    want = [enc.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for bound, step, kind in ((tokens.COLUMN_BYTES, 50, pa.string()), (tokens.COLUMN_BYTES, len(texts), pa.large_string()), (1000, 300, pa.string())):
+        monkeypatch.setattr(tokens, "COLUMN_BYTES", bound)
+        monkeypatch.setattr(tokens, "COLUMN_WORDS", 100 if step < 300 else 1024)
+        got = [raw for a in range(0, len(texts), step) for raw in enc.encode_column(pa.array(texts, kind)[a : a + step])]
+        for t, raw, ids in zip(texts, got, want, strict=True):
+            assert np.frombuffer(raw, enc.dtype).tolist() == ids, t[:50]
+    for own in ([], ["", ""], ["a\xa0b"], ["漢"], [" "], ["\n"]):
+        assert enc.encode_column(pa.array(own, pa.string())) == enc.encode(own)
+    word = TextEncoder(vocabulary("word_bpe_49k.json"))
+    assert word.encode_column(pa.array(["A b", ""])) == word.encode(["A b", ""])
+
+
+def test_columns_cost_less_than_texts():
+    """CPU seconds over texts of many rare words, batch by batch as op7 had it and as a column."""
+    rng = np.random.default_rng(3)
+    words = ["".join(w) for w in rng.choice(["th", "er", "on", "in", "an", "é", "ti", "sh"], (60_000, 6))]
+    texts = [" ".join(words[i] for i in rng.zipf(1.2, 500) % len(words)) + "." for _ in range(1500)]
+    enc, took = TextEncoder(vocabulary("byte_bpe_50k.json")), {}
+    for _ in range(3):  # the first one also loads code
+        for name, run in (("column", lambda: enc.encode_column(pa.array(texts))), ("batches", lambda: [raw for a in range(0, len(texts), 512) for raw in enc.encode(texts[a : a + 512])])):
+            enc.young, enc.old, began = {}, {}, time.process_time()
+            took.setdefault(name, []).append((hash(tuple(run())), time.process_time() - began))
+    assert len({h for runs in took.values() for h, _ in runs}) == 1
+    assert min(s for _, s in took["column"]) < 0.85 * min(s for _, s in took["batches"])
+
+
+def test_token_files_encode_batches_together(spark, monkeypatch):
+    """Batches of a row or two: a word of all of them goes to the library once, and the
+    bound on their bytes holds."""
+    batches = [pa.record_batch([pa.array([i]), pa.array(["same word" * (1 + 40 * (i == 3))])], ["doc_id", "text"]) for i in range(6)]
+    assert [b.num_rows for b in token_files._columns(iter(batches))] == [6]
+    monkeypatch.setattr(token_files, "_COLUMN_BYTES", 60)
+    found = list(token_files._columns(iter(batches)))
+    assert [b.num_rows for b in found] == [2, 1, 1, 2] and pa.Table.from_batches(found) == pa.Table.from_batches(batches)
+    assert list(token_files._columns(iter([]))) == []
+    enc, asked = TextEncoder(vocabulary("byte_bpe_50k.json")), []
+    words = enc.words
+    enc.words = type("Words", (), {"encode_batch_fast": lambda self, blocks, **more: asked.extend(blocks) or words.encode_batch_fast(blocks, **more)})()
+    enc.encode_column(pa.array(["one two, one", "two. one two", "one two"]))
+    assert sorted(" ".join(asked).split()) == sorted(["one", "two", ",", ".", "Ġone", "Ġtwo"])
+
+
 def test_token_counts(spark, odd):
     whole = TextEncoder(vocabulary("word_bpe_49k.json")).whole
     got = {r.doc_id: r for r in token_counts.count_tokens(odd, vocabulary("word_bpe_49k.json")).collect()}
